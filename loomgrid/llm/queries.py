@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import covertree, huffman, packing, quality_rules, sentencepieces, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op3_sentencepiece": sentencepieces.op3,
+        "op4_huffman": huffman.op4,
+        "op5_warc": warc.op5,
+        "op6_toxicity": toxicity.op6,
+        "op7_cover_tree": covertree.op7,
         "op8_quality_rules": quality_rules.op8,
+        "op9_packing": packing.op9,
+        "op10_simhash": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.OP5_SQL, "op7_cover_tree": covertree.OP7_SQL}
