@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 
 #: Words up to so many bytes are compared as 8-byte lanes; longer ones as bytes objects.
-LANE_BYTES = 64
+LANE_BYTES = 96
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
 
 
