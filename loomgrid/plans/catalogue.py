@@ -1,11 +1,498 @@
-"""The registry of the engine's own queries and their oracle SQL."""
+"""The registry of the engine's own queries and their DuckDB SQL, by the survey's operator ids."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalar import number
+from ..operators import aggregates, batch, features, joins, partitioning, predicates
 
-def oracle_sql() -> dict:
-    return {}
+from ..sources import tables
+from ..sources.tables import AS_OF, TX_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+TS = f"TIMESTAMP '{AS_OF}'"
+WINDOWS = features.WINDOWS
+
+
+def _query(name: str, sql: str | None = None):
+    """Registers a query; ``sql`` that starts with SELECT may use the view tx."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            text = sql.strip()
+            if text.startswith("SELECT") and ("tx" in text.replace("(", " ").replace(")", " ").replace(",", " ").split()):
+                text = f"{TX_SQL}\n{text}"
+            elif text.startswith("WITH") and " tx" in text:
+                text = f"{TX_SQL},\n{text[4:].strip()}"
+            _SQL[name] = text
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _tx(spark, d):
+    return tables.transactions(spark, d)
+
+
+# ---------------------------------------------------------------------------------------------- inputs with edges
+
+#: A dimension with a null key, a key that occurs twice, and only even keys; DIM_SQL is the same for DuckDB.
+DIM_SQL = """SELECT c_custkey AS null_user, c_name AS name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 50
+  UNION ALL SELECT c_custkey, 'again' FROM customer WHERE c_custkey IN (2, 4)
+  UNION ALL SELECT NULL, 'nobody'"""
+
+
+def _dim(spark, d) -> DataFrame:
+    c = tables.read(spark, d, "customer")
+    even = c.where("c_custkey % 2 = 0 and c_custkey < 50").select(F.col("c_custkey").alias("null_user"), F.col("c_name").alias("name"))
+    again = c.where(F.col("c_custkey").isin(2, 4)).select(F.col("c_custkey").alias("null_user"), F.lit("again").alias("name"))
+    return even.unionByName(again).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("null_user"), F.lit("nobody").alias("name")))
+
+
+def _fact(spark, d) -> DataFrame:
+    return _tx(spark, d).select("null_user", "txn_id", "cents")
+
+
+LEFT_SQL = f"WITH dim AS ({DIM_SQL}) SELECT tx.null_user, tx.txn_id, tx.cents, dim.name FROM tx LEFT JOIN dim ON dim.null_user = tx.null_user"
+
+
+# ---------------------------------------------------------------------------------------------- sources
+
+
+@_query("SRC1_parquet_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
+def _(spark, d):
+    return tables.scan(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+
+
+@_query("SRC2_pruned_scan", "SELECT event_id, user_id FROM events")
+def _(spark, d):
+    return tables.scan(spark, f"{d}/events.parquet", ("event_id", "user_id"))
+
+
+@_query("SRC3_range", "SELECT CAST(range AS BIGINT) AS id, CAST(range % 5 AS VARCHAR) AS segment FROM range(1000)")
+def _(spark, d):
+    return spark.range(1000).withColumn("segment", (F.col("id") % 5).cast("string"))
+
+
+@_query("SRC4_calendar", "SELECT CAST(DATE '2024-01-31' - CAST(range AS INTEGER) AS DATE) AS dt, range < 7 AS is_recent FROM range(35)")
+def _(spark, d):
+    return tables.calendar(spark, "2024-01-31", 35)
+
+
+def _bucketed(spark, d) -> tuple[str, str]:
+    """Two tables bucketed on the user, written once per input."""
+    tag = zlib.crc32(f"{spark.sparkContext.applicationId} {d}".encode())
+    left, right = f"loom_txns_{tag}", f"loom_users_{tag}"
+    if not spark.catalog.tableExists(left):
+        joins.write_bucketed(_tx(spark, d).select("txn_id", "user_id", "cents"), left, "user_id", 8)
+    if not spark.catalog.tableExists(right):
+        joins.write_bucketed(tables.users(spark, d), right, "user_id", 8)
+    return left, right
+
+
+@_query("SRC5_bucketed_table", "SELECT txn_id, user_id, cents FROM tx")
+def _(spark, d):
+    return spark.table(_bucketed(spark, d)[0])
+
+
+@_query("SRC6_table_path", "SELECT txn_id, user_id, cents FROM tx")
+def _(spark, d):
+    return spark.read.parquet(tables.table_path(spark, _bucketed(spark, d)[0]))
+
+
+# ---------------------------------------------------------------------------------------------- projections
+
+
+@_query("PRJ1_select_alias", "SELECT txn_id, user_id AS customer FROM tx")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", F.col("user_id").alias("customer"))
+
+
+@_query("PRJ2_with_column", "SELECT txn_id, cents, cents * 2 AS twice FROM tx")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", "cents").withColumn("twice", F.col("cents") * 2)
+
+
+_WIDE = ", ".join(f"CASE WHEN cents > {i} THEN cents + {i} ELSE cents - {i} END AS cents_{i}" for i in range(400))
+
+
+@_query("PRJ3_wide_projection", f"SELECT txn_id, cents, {_WIDE} FROM tx")
+def _(spark, d):
+    return predicates.wide_projection(_tx(spark, d).select("txn_id", "cents"), "cents", 400)
+
+
+@_query("PRJ4_wide_projection_in_steps", f"SELECT txn_id, cents, {_WIDE} FROM tx")
+def _(spark, d):
+    return predicates.wide_projection_in_steps(_tx(spark, d).select("txn_id", "cents"), "cents", 400)
+
+
+@_query("PRJ5_rename_drop_cast", "SELECT CAST(txn_id AS VARCHAR) AS id_text, user_id FROM tx")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", "user_id", "ip").withColumn("txn_id", F.col("txn_id").cast("string")).withColumnRenamed("txn_id", "id_text").drop("ip")
+
+
+@_query("PRJ6_transform_chain", "SELECT txn_id, cents + 1 AS cents FROM tx WHERE cents > 100")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", "cents").transform(lambda x: x.where("cents > 100")).transform(lambda x: x.withColumn("cents", F.col("cents") + 1))
+
+
+@_query("PRJ7_explode_copies", "SELECT n_nationkey, CAST(range AS BIGINT) AS copy FROM nation, range(4)")
+def _(spark, d):
+    return tables.read(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("copy"))
+
+
+# ---------------------------------------------------------------------------------------------- filters
+
+_FILTERS: dict[str, tuple[str, Callable[[], object]]] = {
+    "FLT1_null_checks": ("device_id IS NOT NULL OR null_user IS NULL", lambda: F.col("device_id").isNotNull() | F.col("null_user").isNull()),
+    "FLT2_lower_bound": (f"ts >= {TS} - INTERVAL 7 DAY", lambda: F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(7))),
+    "FLT3_closed_window": (f"ts BETWEEN {TS} - INTERVAL 7 DAY AND {TS}", lambda: features.in_window(AS_OF, 7)),
+    "FLT4_comparison": ("amount > 400.0", lambda: F.col("amount") > 400.0),
+    "FLT5_opaque_comparison": ("amount > 400.0", lambda: predicates.opaque_gt("amount", 400.0)),
+    "FLT6_membership": ("user_id IN (1, 2, 3)", lambda: F.col("user_id").isin(1, 2, 3)),
+    "FLT6_not_member": ("coalesce(null_user NOT IN (1, 2, 3), true)", lambda: ~F.coalesce(F.col("null_user").isin(1, 2, 3), F.lit(False))),
+    "FLT9_starts_with": ("starts_with(channel, 'p')", lambda: F.col("channel").startswith("p")),
+    "FLT10_and_equals_not": ("channel = 'view' AND NOT (cents < 1000)", lambda: (F.col("channel") == "view") & ~(F.col("cents") < 1000)),
+    "FLT11_truncated_comparison": ("CAST(trunc(amount) AS BIGINT) > 400", lambda: predicates.truncated_gt("amount", 400)),
+}
+for _name, (_cond, _make) in _FILTERS.items():
+    _query(_name, f"SELECT txn_id, user_id, cents FROM tx WHERE {_cond}")(lambda spark, d, make=_make: _tx(spark, d).where(make()).select("txn_id", "user_id", "cents"))
+
+
+@_query("FLT7_boolean_column", "SELECT CAST(DATE '2024-01-31' - CAST(range AS INTEGER) AS DATE) AS dt FROM range(7)")
+def _(spark, d):
+    return tables.calendar(spark, "2024-01-31", 35).where("is_recent").select("dt")
+
+
+@_query("FLT8_rank_filter", "SELECT * FROM (SELECT user_id, txn_id, cents, CAST(row_number() OVER (PARTITION BY user_id ORDER BY cents DESC, txn_id) AS INTEGER) AS rn FROM tx) WHERE rn <= 2")
+def _(spark, d):
+    return aggregates.top_rows(_tx(spark, d).select("user_id", "txn_id", "cents"), "user_id", "cents", "txn_id", 2)
+
+
+# ---------------------------------------------------------------------------------------------- joins
+
+_LEFT: dict[str, Callable] = {
+    "JN1_broadcast_join": lambda s, a, b: joins.broadcast_join(a, b, "null_user"),
+    "JN2_sort_merge_join": lambda s, a, b: joins.sort_merge_join(a, b, "null_user"),
+    "JN3_shuffle_hash_join": lambda s, a, b: joins.shuffle_hash_join(a, b, "null_user"),
+    "JN4_safe_join": lambda s, a, b: joins.safe_join(a, b, "null_user", "merge"),
+    "JN5_auto_join": lambda s, a, b: joins.auto_join(a, b, "null_user"),
+    "JN7_adaptive_skew_join": lambda s, a, b: joins.adaptive_skew_join(s, a, b, "null_user", lambda df: df),
+    "JN8_salted_join": lambda s, a, b: joins.salted_join(a, b, "null_user", ["txn_id"], 16),
+    "JN9_hot_cold_join": lambda s, a, b: joins.hot_cold_join(a, b, "null_user", [2, 4, 7]),
+    "JN11_null_key_join": lambda s, a, b: joins.auto_join(a, b, "null_user"),
+    "JN13_null_safe_join": lambda s, a, b: joins.null_safe_join(a, b, "null_user"),
+    "JN16_forced_broadcast": lambda s, a, b: joins.broadcast_join(a, b, "null_user"),
+    "JN17_merge_fallback": lambda s, a, b: joins.broadcast_join(a, b, "null_user", most=0),
+}
+for _name, _join in _LEFT.items():
+    _query(_name, LEFT_SQL)(lambda spark, d, join=_join: join(spark, _fact(spark, d), _dim(spark, d)).select("null_user", "txn_id", "cents", "name"))
+
+
+@_query("JN10_top_hot_keys", "SELECT hot_user, count(*) AS count FROM tx WHERE hot_user IS NOT NULL GROUP BY hot_user ORDER BY count DESC, hot_user LIMIT 50")
+def _(spark, d):
+    return joins.top_hot_keys(_tx(spark, d), "hot_user", 50)
+
+
+@_query("JN12_join_without_null_keys", LEFT_SQL + " WHERE tx.null_user IS NOT NULL")
+def _(spark, d):
+    return joins.join_without_null_keys(_fact(spark, d), _dim(spark, d), "null_user").select("null_user", "txn_id", "cents", "name")
+
+
+def _text_users(spark, d):
+    return tables.users(spark, d).select(F.col("user_id").cast("string").alias("user_text"), "user_name")
+
+
+@_query("JN14_mixed_type_join", "SELECT tx.txn_id, tx.user_id, CAST(c_custkey AS VARCHAR) AS user_text, c_name AS user_name FROM tx LEFT JOIN customer ON c_custkey = tx.user_id")
+def _(spark, d):
+    return joins.mixed_type_join(_tx(spark, d).select("txn_id", "user_id"), _text_users(spark, d), "user_id", "user_text")
+
+
+@_query("JN15_aligned_join", "SELECT tx.user_id, tx.txn_id, c_name AS user_name FROM tx LEFT JOIN customer ON c_custkey = tx.user_id")
+def _(spark, d):
+    return joins.aligned_join(_tx(spark, d).select("user_id", "txn_id"), _text_users(spark, d), "user_id", "user_text")
+
+
+_LOOKUP_SQL = "WITH dim AS (SELECT null_user, max(name) AS name FROM (" + DIM_SQL + ") WHERE null_user IS NOT NULL GROUP BY null_user) SELECT tx.null_user, tx.txn_id, tx.cents, dim.name FROM tx LEFT JOIN dim ON dim.null_user = tx.null_user"
+
+
+@_query("JN18_lookup", _LOOKUP_SQL)
+def _(spark, d):
+    return joins.lookup(_fact(spark, d), _dim(spark, d), "null_user", "name")
+
+
+@_query("JN19_bucketed_join", "SELECT tx.user_id, tx.txn_id, tx.cents, c_name AS user_name, c_mktsegment AS segment FROM tx JOIN customer ON c_custkey = tx.user_id")
+def _(spark, d):
+    return joins.bucketed_join(spark, *_bucketed(spark, d), "user_id")
+
+
+@_query("JN20_path_join", "SELECT tx.user_id, tx.txn_id, tx.cents, c_name AS user_name, c_mktsegment AS segment FROM tx JOIN customer ON c_custkey = tx.user_id")
+def _(spark, d):
+    return joins.path_join(spark, *_bucketed(spark, d), "user_id")
+
+
+@_query("JN21_calendar_join", "SELECT tx.dt, tx.txn_id, tx.cents, tx.dt > DATE '2024-01-24' AS is_recent FROM tx WHERE dt >= DATE '2024-01-20'")
+def _(spark, d):
+    return joins.calendar_join(_tx(spark, d).select("dt", "txn_id", "cents"), tables.calendar(spark, "2024-01-31", 35), "2024-01-20")
+
+
+_ENRICH = "SELECT tx.txn_id, tx.merchant_id, n_name AS merchant_name, CAST(n_regionkey AS BIGINT) AS mcc, r_name AS mcc_desc FROM tx LEFT JOIN nation ON n_nationkey = tx.merchant_id LEFT JOIN region ON r_regionkey = n_regionkey"
+
+
+@_query("JN22_snowflake", _ENRICH)
+def _(spark, d):
+    return features.enrich(_tx(spark, d).select("txn_id", "merchant_id"), tables.merchants(spark, d), tables.categories(spark, d))
+
+
+# ---------------------------------------------------------------------------------------------- features
+
+
+def _in(w: int) -> str:
+    return f"ts BETWEEN {TS} - INTERVAL {w} DAY AND {TS}"
+
+
+FREQUENCY = ", ".join(
+    f"count(*) FILTER (WHERE {_in(w)}) AS txn_cnt_{w}d, count(*) FILTER (WHERE {_in(w)} AND status = 'purchase') AS txn_succ_cnt_{w}d, count(*) FILTER (WHERE {_in(w)} AND status = 'error') AS txn_fail_cnt_{w}d, "
+    f"count(DISTINCT merchant_id) FILTER (WHERE {_in(w)}) AS distinct_merchants_{w}d, count(DISTINCT ip) FILTER (WHERE {_in(w)}) AS distinct_ips_{w}d"
+    for w in WINDOWS
+)
+_AMOUNT_RAW = ", ".join(f"count(cents) FILTER (WHERE {_in(w)}) AS n{w}, CAST(sum(cents) FILTER (WHERE {_in(w)}) AS BIGINT) AS s{w}, CAST(sum(cents * cents) FILTER (WHERE {_in(w)}) AS BIGINT) AS q{w}, min(cents) FILTER (WHERE {_in(w)}) AS lo{w}, max(cents) FILTER (WHERE {_in(w)}) AS hi{w}, " + ", ".join(f"quantile_disc(cents, {p}) FILTER (WHERE {_in(w)}) AS p{k}_{w}" for k, p in ((50, "0.50"), (95, "0.95"), (99, "0.99"))) for w in WINDOWS)
+_D = lambda x: f"CAST({x} AS DOUBLE)"
+AMOUNT = ", ".join(
+    f"{_D(f's{w}')} / 100 AS amt_sum_{w}d, CASE WHEN n{w} > 0 THEN {_D(f's{w}')} / 100 / {_D(f'n{w}')} END AS amt_avg_{w}d, {_D(f'lo{w}')} / 100 AS amt_min_{w}d, {_D(f'hi{w}')} / 100 AS amt_max_{w}d, "
+    f"CASE WHEN n{w} > 1 THEN sqrt(({_D(f'q{w}')} - {_D(f's{w}')} * {_D(f's{w}')} / {_D(f'n{w}')}) / ({_D(f'n{w}')} - 1)) / 100 END AS amt_std_{w}d, " + ", ".join(f"{_D(f'p{k}_{w}')} / 100 AS amt_p{k}_{w}d" for k in (50, 95, 99))
+    for w in WINDOWS
+)
+DEVICE = ", ".join(f"count(DISTINCT device_id) FILTER (WHERE {_in(w)}) AS distinct_devices_{w}d, count(DISTINCT geo_hash) FILTER (WHERE {_in(w)}) AS distinct_geos_{w}d, count(DISTINCT ip) FILTER (WHERE {_in(w)}) AS distinct_ips_dev_{w}d, count(DISTINCT channel) FILTER (WHERE {_in(w)}) AS distinct_channels_{w}d" for w in WINDOWS) + (
+    f", arg_min(device_id, (ts, txn_id)) FILTER (WHERE {_in(30)}) AS first_device_30d, arg_max(device_id, (ts, txn_id)) FILTER (WHERE {_in(30)}) AS last_device_30d"
+)
+FREQUENCY_SQL = f"SELECT user_id, {FREQUENCY} FROM tx GROUP BY user_id"
+AMOUNT_SQL = f"SELECT user_id, {AMOUNT} FROM (SELECT user_id, {_AMOUNT_RAW} FROM tx GROUP BY user_id)"
+DEVICE_SQL = f"SELECT user_id, {DEVICE} FROM tx WHERE device_id IS NOT NULL GROUP BY user_id"
+WIDE_SQL = f"WITH f AS ({FREQUENCY_SQL}), a AS ({AMOUNT_SQL}), v AS ({DEVICE_SQL}) SELECT *%s FROM f FULL JOIN a USING (user_id) FULL JOIN v USING (user_id)"
+
+
+@_query("AG1_conditional_counts", "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE {_in(w)}) AS txn_cnt_{w}d" for w in WINDOWS) + " FROM tx GROUP BY user_id")
+def _(spark, d):
+    return features.frequency_features(_tx(spark, d), AS_OF).select("user_id", *(f"txn_cnt_{w}d" for w in WINDOWS))
+
+
+_DISTINCT_2 = ", ".join(f"count(DISTINCT merchant_id) FILTER (WHERE {_in(w)}) AS distinct_merchants_{w}d, count(DISTINCT ip) FILTER (WHERE {_in(w)}) AS distinct_ips_{w}d" for w in WINDOWS)
+_COLS_2 = [c for w in WINDOWS for c in (f"distinct_merchants_{w}d", f"distinct_ips_{w}d")]
+
+
+@_query("AG2_distinct_exact", f"SELECT user_id, {_DISTINCT_2} FROM tx GROUP BY user_id")
+def _(spark, d):
+    return features.frequency_features(_tx(spark, d), AS_OF).select("user_id", *_COLS_2)
+
+
+@_query("AG2_distinct_approximate")
+def _(spark, d):
+    return features.frequency_features(_tx(spark, d), AS_OF, approximate=True).select("user_id", *_COLS_2)
+
+
+_COLS_3 = [f"amt_{k}_{w}d" for w in WINDOWS for k in ("sum", "avg", "min", "max", "std")]
+_COLS_4 = [f"amt_{k}_{w}d" for w in WINDOWS for k in ("p50", "p95", "p99")]
+
+
+@_query("AG3_masked_amounts", f"SELECT user_id, {', '.join(_COLS_3)} FROM ({AMOUNT_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return features.amount_features_exact(_tx(spark, d), AS_OF).select("user_id", *_COLS_3)
+
+
+@_query("AG4_percentiles", f"SELECT user_id, {', '.join(_COLS_4)} FROM ({AMOUNT_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return features.amount_features_exact(_tx(spark, d), AS_OF).select("user_id", *_COLS_4)
+
+
+_COLS_5 = [f"distinct_{k}_{w}d" for w in WINDOWS for k in ("devices", "geos", "ips_dev")]
+_COLS_6 = [f"distinct_channels_{w}d" for w in WINDOWS]
+
+
+@_query("AG5_distinct_devices_exact", f"SELECT user_id, {', '.join(_COLS_5)} FROM ({DEVICE_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return features.device_features(_tx(spark, d), AS_OF).select("user_id", *_COLS_5)
+
+
+@_query("AG5_distinct_devices_approximate")
+def _(spark, d):
+    return features.device_features(_tx(spark, d), AS_OF, approximate=True).select("user_id", *_COLS_5)
+
+
+@_query("AG6_distinct_channels", f"SELECT user_id, {', '.join(_COLS_6)} FROM ({DEVICE_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return features.device_features(_tx(spark, d), AS_OF).select("user_id", *_COLS_6)
+
+
+@_query("AG7_constant_of_group", "SELECT c_custkey, any_value(c_name) AS user_name FROM customer GROUP BY c_custkey")
+def _(spark, d):
+    return tables.read(spark, d, "customer").groupBy("c_custkey").agg(F.first("c_name").alias("user_name"))
+
+
+_TOTALS = "SELECT hot_user, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM tx GROUP BY hot_user"
+
+
+@_query("AG8_totals", _TOTALS)
+def _(spark, d):
+    return aggregates.totals(_tx(spark, d), "hot_user", "cents")
+
+
+@_query("AG9_totals_in_stages", _TOTALS)
+def _(spark, d):
+    return aggregates.totals_in_stages(_tx(spark, d), "hot_user", "cents", ["txn_id"])
+
+
+@_query("AG10_most_frequent", "SELECT merchant_id, count(*) AS count FROM tx GROUP BY merchant_id ORDER BY count DESC, merchant_id LIMIT 10")
+def _(spark, d):
+    return joins.top_hot_keys(_tx(spark, d), "merchant_id", 10)
+
+
+_FIRST_LAST = "SELECT user_id, " + ", ".join(f"arg_{m}({c}, (ts, txn_id)) AS {n}_{c}" for n, m in (("first", "min"), ("last", "max")) for c in ("txn_id", "cents", "channel")) + " FROM tx GROUP BY user_id"
+
+
+@_query("AG11_first_last_rows", _FIRST_LAST)
+def _(spark, d):
+    return aggregates.first_last_rows(_tx(spark, d), "user_id", "ts", "txn_id", ["txn_id", "cents", "channel"])
+
+
+@_query("AG12_count", "SELECT count(*) AS n FROM lineitem")
+def _(spark, d):
+    return tables.read(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("AG13_frequency_features", FREQUENCY_SQL)
+def _(spark, d):
+    return features.frequency_features(_tx(spark, d), AS_OF)
+
+
+@_query("AG14_amount_features", f"SELECT x.* FROM ({AMOUNT_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return features.amount_features_exact(_tx(spark, d), AS_OF)
+
+
+@_query("AG15_device_features", DEVICE_SQL)
+def _(spark, d):
+    return features.device_features(_tx(spark, d), AS_OF)
+
+
+@_query("JN23_assemble_aspects", WIDE_SQL % "")
+def _(spark, d):
+    t = _tx(spark, d)
+    return features.assemble(features.frequency_features(t, AS_OF), features.amount_features_exact(t, AS_OF), features.device_features(t, AS_OF))
+
+
+_JN24 = f"WITH v AS ({DEVICE_SQL}) SELECT user_id, c_name AS user_name, first_device_30d, last_device_30d FROM v LEFT JOIN customer ON c_custkey = user_id, (SELECT 1 FROM tx LIMIT 1) AS one"
+
+
+@_query("JN24_device_join", _JN24)
+def _(spark, d):
+    device = features.device_features(_tx(spark, d), AS_OF).select("user_id", "first_device_30d", "last_device_30d")
+    return device.join(tables.users(spark, d).select("user_id", "user_name"), "user_id", "left")
+
+
+@_query("AG16_feature_pipeline", WIDE_SQL % ", DATE '2024-01-31' AS compute_dt")
+def _(spark, d):
+    return features.feature_pipeline(_tx(spark, d), AS_OF)
+
+
+# ---------------------------------------------------------------------------------------------- windows, sorts, sets
+
+
+@_query("WN1_first_by_window", "SELECT user_id, txn_id, first_value(channel) OVER (PARTITION BY user_id ORDER BY ts, txn_id) AS first_channel FROM tx")
+def _(spark, d):
+    return aggregates.first_by_window(_tx(spark, d).select("user_id", "txn_id", "ts", "channel"), "user_id", "channel", "ts", "txn_id").select("user_id", "txn_id", "first_channel")
+
+
+@_query("WN2_last_by_window", "SELECT user_id, txn_id, last_value(channel) OVER (PARTITION BY user_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_channel FROM tx")
+def _(spark, d):
+    return aggregates.last_by_window(_tx(spark, d).select("user_id", "txn_id", "ts", "channel"), "user_id", "channel", "ts", "txn_id").select("user_id", "txn_id", "last_channel")
+
+
+_TOP = "SELECT * FROM (SELECT hot_user, txn_id, cents, CAST(row_number() OVER (PARTITION BY hot_user ORDER BY cents DESC, txn_id) AS INTEGER) AS rn FROM tx) WHERE rn <= 5"
+
+
+@_query("WN3_top_rows", _TOP)
+def _(spark, d):
+    return aggregates.top_rows(_tx(spark, d).select("hot_user", "txn_id", "cents"), "hot_user", "cents", "txn_id")
+
+
+@_query("WN4_top_rows_in_stages", _TOP)
+def _(spark, d):
+    return aggregates.top_rows_in_stages(_tx(spark, d).select("hot_user", "txn_id", "cents"), "hot_user", "cents", "txn_id")
+
+
+@_query("WN5_first_last_without_window", "SELECT user_id, arg_min(channel, (ts, txn_id)) AS first_channel, arg_max(channel, (ts, txn_id)) AS last_channel FROM tx GROUP BY user_id")
+def _(spark, d):
+    return aggregates.first_last_rows(_tx(spark, d), "user_id", "ts", "txn_id", ["channel"])
+
+
+@_query("SL1_order_limit", "SELECT txn_id, cents FROM tx ORDER BY cents DESC, txn_id LIMIT 100")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", "cents").orderBy(F.desc("cents"), "txn_id").limit(100)
+
+
+@_query("SO1_union_by_name", "SELECT user_id, cents FROM tx WHERE cents < 5000 UNION ALL SELECT user_id, cents FROM tx WHERE cents > 2000")
+def _(spark, d):
+    t = _tx(spark, d)
+    return t.where("cents < 5000").select("user_id", "cents").unionByName(t.where("cents > 2000").select("cents", "user_id"))
+
+
+@_query("PT3_hot_key_partitions", "SELECT hot_user, count(*) AS n FROM tx GROUP BY hot_user")
+def _(spark, d):
+    return partitioning.deal_hot_keys(_tx(spark, d).select("hot_user"), "hot_user", [0], 8).groupBy("hot_user").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("PT4_partition_sizes", "SELECT CAST(range AS INTEGER) AS part, CASE WHEN range = 8 THEN 10 ELSE 0 END AS rows FROM range(9)")
+def _(spark, d):
+    few = spark.range(10).select(F.lit(0).cast("long").alias("k"))
+    return partitioning.partition_sizes(partitioning.deal_hot_keys(few, "k", [0], 8), 9).withColumn("rows", F.col("rows").cast("int"))
+
+
+# ---------------------------------------------------------------------------------------------- Python functions
+
+
+@_query("UD1_predicate", "SELECT txn_id FROM tx WHERE amount > 250.0")
+def _(spark, d):
+    return _tx(spark, d).where(predicates.opaque_gt("amount", 250.0)).select("txn_id")
+
+
+@_query("UD2_lookup", _LOOKUP_SQL)
+def _(spark, d):
+    return joins.lookup(_fact(spark, d), _dim(spark, d), "null_user", "name")
+
+
+_SCORES = "SELECT txn_id, 7 * txn_id + 3 AS score FROM tx"
+
+
+@_query("UD3_score_rows", _SCORES)
+def _(spark, d):
+    return batch.score_rows(_tx(spark, d).select("txn_id"), "txn_id")
+
+
+@_query("UD4_score_batches", _SCORES)
+def _(spark, d):
+    return batch.score_batches(_tx(spark, d).select("txn_id"), "txn_id")
+
+
+@_query("FN_number_of_text", "SELECT txn_id, TRY_CAST(device_id AS BIGINT) AS device FROM tx")
+def _(spark, d):
+    return _tx(spark, d).select("txn_id", number("device_id").alias("device"))
+
+
+__all__ = ["oracle_sql", "queries"]
