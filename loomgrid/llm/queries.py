@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import covertree, huffman, packing, quality_rules, sentencepieces, simhash, toxicity, warc
+import corpus_pipeline
+
+from . import covertree, huffman, packing, pseudolikelihood, quality_rules, sentencepieces, simhash, suffixdedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pseudo_likelihood": pseudolikelihood.op1,
+        "op2_suffix_dedup": suffixdedup.op2,
         "op3_sentencepiece": sentencepieces.op3,
         "op4_huffman": huffman.op4,
         "op5_warc": warc.op5,
@@ -15,6 +19,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8,
         "op9_packing": packing.op9,
         "op10_simhash": simhash.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
