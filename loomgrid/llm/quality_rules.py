@@ -7,7 +7,8 @@ over the statistics, which is all that runs over the documents: no Python sees a
 
 Defined results: null text counts as empty (no words, so it fails the base rule); repeated rows are judged one by
 one; an empty table gives an empty result; no labels give an empty list, which keeps what the base rule keeps;
-other columns of the input are passed through untouched, statistics of the same name are replaced.
+other columns of the input are passed through, but for those named like a statistic, which are replaced, and those that
+begin with an underscore, which are reserved.
 """
 
 from __future__ import annotations

@@ -353,26 +353,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long), component_id."""
+    """doc_id, fp (signed long), component_id, root (the least fingerprint of the component)."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     total, both = bit_counts(nodes)
     if total < 2:
-        return prints.join(nodes.withColumnRenamed("least", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    edges = links(nodes, total, plan(total, both, tau), tau)
-    roots = components(edges)
+        return prints.join(nodes.withColumnRenamed("least", "component_id"), "fp").select("doc_id", "fp", "component_id", F.col("fp").alias("root"))
+    roots = components(links(nodes, total, plan(total, both, tau), tau))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(materialise(of_node, "components"), "fp").select("doc_id", "fp", "component_id")
+    of_node = named.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
+    return prints.join(materialise(of_node, "components"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, tau: int = TAU, width: int = SHINGLE) -> DataFrame:
-    """The documents with one row of each component kept: that of its smallest doc_id (no ids at all: any one row)."""
-    found = near_duplicates(docs, tau, width)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+    """The documents with one row of each component kept: that of its smallest doc_id (rows without an id come last;
+    of rows alike in id and fingerprint any one)."""
+    found = materialise(near_duplicates(docs, tau, width), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
+    kept = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_loom_id"), F.col("k.fp").alias("_loom_fp"))
+    id_ = F.col("doc_id").cast("long")
+    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.join(kept.select("_loom_id"), id_ == F.col("_loom_id"), "left_semi")
+    # ids do not tell the rows apart, so their fingerprints must
+    text_at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(text_at)):
+                part = batch.slice(a, b - a)
+                got = fingerprints_of(part.column(text_at), width)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.view(np.int64))], names=[*names, "_loom_own"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(run, f"{fields}, _loom_own long")
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["_loom_id"]) & (rows["_loom_own"] == kept["_loom_fp"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_loom_own"]).select(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

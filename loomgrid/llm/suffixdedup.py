@@ -19,7 +19,7 @@ Keys that very many documents share are dealt further, window by window, so no k
 
 Defined results: null text is empty; texts shorter than WIDTH bytes are kept; rows with equal doc_id do not mark each
 other; a null doc_id counts as larger than any other (null rows do not mark each other); an empty table gives no rows;
-other columns are passed through. Bytes of a cut letter that remain are dropped from the text column only, digests
+other columns are passed through, but for those of the names it adds. Bytes of a cut letter that remain are dropped from the text column only, digests
 are over the remaining bytes.
 """
 
@@ -373,6 +373,7 @@ def blocks_of(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of the documents, the text as it remains, then _n_bytes, _n_removed, _n_spans, _kept_sha256."""
     spark = docs.sparkSession
+    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     blocks = blocks_of(docs, block_bytes)
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

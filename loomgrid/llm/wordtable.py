@@ -93,7 +93,8 @@ def intern(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
                 code = seen[word] = found + len(more)
                 more.append(i)
             codes[i] = code
-        rep = np.concatenate([rep, np.array(more, np.int64)])
+        used, codes = np.unique(codes, return_inverse=True)  # some codes stand for odd spans alone, and now for none
+        rep = np.concatenate([rep, np.array(more, np.int64)])[used]
     return codes, rep
 
 
