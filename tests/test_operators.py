@@ -45,7 +45,9 @@ def test_join_edges(spark, pair):
 
 def test_join_plans(pair):
     left, right = pair
-    assert "BroadcastHashJoin" in explain.plan_text(joins.broadcast_join(left, right, "k"))
+    small = right.sparkSession.range(3).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert "BroadcastHashJoin" in explain.plan_text(joins.broadcast_join(left, small, "k"))
+    assert "SortMergeJoin" in explain.plan_text(joins.broadcast_join(left, right, "k"))  # of unknown size
     assert "SortMergeJoin" in explain.plan_text(joins.sort_merge_join(left, right, "k"))
     assert "ShuffledHashJoin" in explain.plan_text(joins.shuffle_hash_join(left, right, "k"))
 
