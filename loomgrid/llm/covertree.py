@@ -55,7 +55,7 @@ class CoverTree:
                 if not len(rest):
                     break
                 pick = int(rest[np.argmax(far[rest])])
-                if at * 4 > len(rows):  # hardly any two points are near each other: halving again gains nothing
+                if at >= 32 and np.count_nonzero(~left) < 4 * at:  # hardly any two points are near each other
                     groups = []
                     break
             if len(groups) > 1:
