@@ -391,13 +391,13 @@ def test_trees_leave_out_pairs():
     ints = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20).astype(np.int64)
     q = ints[:64]
     best = covertree.Best(np.arange(64), 5)
-    tree = covertree.CoverTree(ints).finish()
-    scored = covertree.search(covertree.CoverTree(q, 16).finish(), tree, q, ints, [np.array([i]) for i in range(4000)], best)
+    tree, asked = covertree.CoverTree(ints).finish(), covertree.CoverTree(q, 16).finish()
+    scored = covertree.search(asked, tree, q, ints, [np.array([i]) for i in range(4000)], best)
     dots = q @ ints.T
     dots[np.arange(64), np.arange(64)] = np.iinfo(np.int64).min
     assert (best.score == np.sort(dots, 1)[:, ::-1][:, :5]).all()
-    leaves = sum(not c for c in tree.children) * 4
-    assert scored < leaves / 2
+    pairs = sum(not c for c in tree.children) * sum(not c for c in asked.children)
+    assert scored < pairs / 2
 
 
 # ------------------------------------------------------------------------------------------- 8
