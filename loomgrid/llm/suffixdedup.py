@@ -252,7 +252,14 @@ def window_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         first, last = np.repeat(first, parts) + begin, np.repeat(first + count, parts)
         count = np.minimum(SPAN, last - first)
     row = np.searchsorted(offsets, first, side="right") - 1
-    return first, count, x[first], row
+    key = x[first]  # the least of many hashes is small: mixed again, so that its high bits deal evenly
+    with np.errstate(over="ignore"):
+        key ^= key >> np.uint64(33)
+        key *= np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xC4CEB9FE1A85EC53)
+        key ^= key >> np.uint64(32)
+    return first, count, key, row
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
