@@ -38,7 +38,7 @@ from .wordtable import intern, ragged, text_bytes
 
 WIDTH, GRAM = 50, 24
 #: Text bytes of a block; bytes under one index; documents that share a key before it is dealt by windows.
-BLOCK_BYTES, INDEX_BYTES, HOT_DOCS = 4 << 20, 3 << 20, 20_000
+BLOCK_BYTES, INDEX_BYTES, HOT_DOCS = 4 << 20, 1_800_000, 20_000
 NO_ID = np.iinfo(np.int64).max
 SPAN = WIDTH - GRAM + 1
 
@@ -71,6 +71,12 @@ class RunLengthIndex:
         run_end = np.append(change[1:], self.n) - 1
         self.run_end = run_end
         self.sample_start, self.sample_end = order[change], order[run_end]
+        # a bit per row where a run starts, and the runs before each word of 64 rows
+        begins = np.zeros(-(-self.n // 64) * 64, np.uint8)
+        begins[change] = 1
+        self.begin_bits = np.packbits(begins, bitorder="little").view("<u8")
+        ones = np.bitwise_count(self.begin_bits).astype(np.int64)
+        self.begin_rank = np.cumsum(ones) - ones
         length = run_end - change + 1
         # rows of the first column by letter, and letters of the kind in the runs before
         counts = np.bincount(self.run_letter, weights=length, minlength=258).astype(np.int64)
@@ -103,37 +109,55 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Suffix array by doubling from seven letters; only rows that still tie are sorted again."""
+        """Suffix array by doubling from the first few letters; only rows that still tie are sorted again.
+
+        What is compared and the place of the suffix are sorted as one integer while they fit 63 bits (sets beyond
+        two million letters sort by keys instead). Suffixes that are the same to their end so stay in the order of
+        their places, which LF relies on.
+        """
         n = len(text)
-        key, wide = np.zeros(n, np.int64), np.concatenate([text, np.zeros(8, np.int16)])
-        for k in range(7):
-            key = (key << 9) | np.where(left > k, wide[k : k + n], 0)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.append(True, ranked[1:] != ranked[:-1])
+        letter = 8 if int(text.max(initial=0)) < 256 else 9
+        bits = max(1, int(n + 1).bit_length())
+        depth = max(1, (63 - bits) // letter)
+        packed = 3 * bits <= 63
+        key, wide = np.zeros(n, np.int64), np.concatenate([text, np.zeros(16, np.int16)])
+        for k in range(depth):
+            key = (key << letter) | np.where(left > k, wide[k : k + n], 0)
+        key = (key << bits) | np.arange(n)
+        key.sort()
+        order = key & ((1 << bits) - 1)
+        key >>= bits
+        new = np.append(True, key[1:] != key[:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        depth = 7
+        rows = np.flatnonzero(~(new & np.append(new[1:], True)))
         most = int(left.max(initial=0))
-        while depth < most + 1:
-            tied = ~(new & np.append(new[1:], True))
-            rows = np.flatnonzero(tied)
-            if not len(rows):
-                break
+        while len(rows) and depth <= most:
             p = order[rows]
             # what follows the letters compared so far; nothing, if the string ended before
-            inside = left[p] > depth
-            more = np.where(inside, rank[np.minimum(p + depth, n - 1)] + 1, 0)
-            group = rank[p]
-            at = np.argsort(group * np.int64(n + 1) + more, kind="stable") if n < 3_000_000_000 else np.lexsort((more, group))
-            order[rows] = p[at]
-            g, m = group[at], more[at]
-            fresh = np.append(True, (g[1:] != g[:-1]) | (m[1:] != m[:-1]))
-            new[rows] = fresh
-            rank[p[at]] = np.maximum.accumulate(np.where(fresh, rows, 0))
+            more = np.where(left[p] > depth, rank[np.minimum(p + depth, n - 1)] + 1, 0)
+            both = (rank[p] << bits) | more
+            if packed:
+                both = (both << bits) | p
+                both.sort()
+                p = both & ((1 << bits) - 1)
+                both >>= bits
+            else:
+                at = np.lexsort((p, both))
+                p, both = p[at], both[at]
+            order[rows] = p
+            fresh = np.append(True, both[1:] != both[:-1])
+            rank[p] = np.maximum.accumulate(np.where(fresh, rows, 0))
+            rows = rows[~(fresh & np.append(fresh[1:], True))]
             depth *= 2
         return order
 
+    def _run_of(self, row: np.ndarray) -> np.ndarray:
+        """The run that each row lies in: the number of runs begun up to it, less one."""
+        word = row >> 6
+        upto = np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (row & 63)).astype(np.uint64)
+        return self.begin_rank[word] + np.bitwise_count(self.begin_bits[word] & upto) - 1
+
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Letters that the suffixes at a and b share, at most ``most``."""
         out = np.zeros(len(a), np.int64)
@@ -159,7 +183,7 @@ class RunLengthIndex:
         for step in range(1, int(size.max(initial=0)) + 1):
             live = by_size[: np.searchsorted(-sizes, -step, side="right")]
             letter = flat[ends[live] - step].astype(np.int64) + 1
-            run = np.searchsorted(self.run_start, row[live], side="right") - 1
+            run = self._run_of(row[live])
             there = self.total[letter] > 0
             jump = (self.run_letter[run] != letter) & there
             if jump.any():
