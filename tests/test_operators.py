@@ -39,6 +39,7 @@ def test_join_edges(spark, pair):
     assert [tuple(r) for r in joins.top_hot_keys(left, "k", 2).collect()] == [(1, 3), (2, 1)]
     assert joins.lookup(left, right, "k", "v").count() == left.count()
     assert joins.join_without_null_keys(left, right, "k").count() == 9
+    assert {(r.label, r.rows) for r in joins.benchmark_joins(left, right, "k").collect()} == {(x, 11) for x in ("broadcast", "merge", "shuffle_hash")}
     text = right.select(F.col("k").cast("string").alias("t"), "v").union(spark.createDataFrame([("x", "y")], "t string, v string"))
     assert joins.aligned_join(left, text, "k", "t").count() == joins.auto_join(left, right, "k").count()
 
