@@ -178,8 +178,8 @@ def test_repeated_passages_of_the_sample(sample, empty):
 
 def test_index_gives_matching_statistics():
     rng = np.random.default_rng(1)
-    texts = [bytes(rng.choice(list(b"abc"), rng.integers(5, 76))) for _ in range(60)]
-    asked = [bytes(rng.choice(list(b"abcd"), 60)) for _ in range(40)] + texts[:5]
+    texts = [rng.choice(list(b"abc"), rng.integers(5, 76)).astype(np.uint8).tobytes() for _ in range(60)]
+    asked = [rng.choice(list(b"abcd"), 60).astype(np.uint8).tobytes() for _ in range(40)] + texts[:5]
     lay = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.cumsum([len(x) for x in xs]) - [len(x) for x in xs], np.cumsum([len(x) for x in xs]))
     index = suffixdedup.RunLengthIndex(*lay(texts), np.arange(60), width=12)
     flat, starts, ends = lay(asked)
