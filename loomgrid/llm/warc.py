@@ -3,7 +3,7 @@
 Writing: a response record holds an HTTP message in chunked transfer framing. A message longer than a segment goes
 into a first record and continuation records, which name the first as their origin and are numbered; the last gives
 the total length. Of rows with equal payloads of ``LEAST`` bytes or more, those with the smallest page_id are
-responses and the others revisits without a payload. Archives are files of records, written by Spark's own writer.
+responses and the others revisits without a payload. Archives are compressed files of records, written by Spark's own writer.
 
 Reading: records are found by their Content-Length. A whole message is decoded where it is read; segments are
 grouped by origin, ordered by number, checked against the total length, joined and decoded. Only segments are
@@ -17,6 +17,7 @@ out; other columns are ignored. A record with missing segments or a wrong total
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from urllib.parse import quote
 
@@ -82,7 +83,9 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, name: str
 
 
 def records(raw: bytes):
-    """(headers, block) of each record of an archive."""
+    """(headers, block) of each record of an archive, plain or compressed."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     at = 0
     while at < len(raw):
         end = raw.index(END, at)
@@ -134,7 +137,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         if k and out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).text(path)
+    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def read(spark, path: str, with_payload: bool = True) -> DataFrame:
