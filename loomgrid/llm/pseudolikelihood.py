@@ -1,13 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network that predicts every word from both sides.
 
-The vocabulary is the most frequent words, counted over the whole corpus; other words fall into buckets of their
-bytes' hash, and a bucket's probability is shared evenly by its distinct words. The network sums position-weighted
-embeddings of the ``REACH`` words on either side, passes them through a hidden layer and predicts the word's class,
-then the word within its class, so a prediction costs two small softmaxes and is a proper probability.
+The vocabulary is every word that occurs ``FLOOR`` times or more, counted over the whole corpus (the ``VOCABULARY``
+most frequent ones at least), so it grows with the corpus. Only rarer words have no number of their own: they fall
+into buckets of their bytes' hash, and a bucket's rare words share its probability evenly. The network sums
+position-weighted embeddings of the ``REACH`` words on either side, passes them through a hidden layer and predicts
+the word's class, then the word within its class, which for the most frequent words is the word itself. Words beyond
+those are dealt over the buckets, and two more softmaxes predict the group within the bucket and the word within the
+group, from the first hidden units; each has an embedding of its own. So a prediction is a proper probability.
 
 Training is numpy on the executors: each round, every partition starts from the same weights, goes once over its
-share of all documents (a document belongs to one round), and gives back its weights times its words; the rounds'
-results are averaged by integer sums, key by key, so only one set of weights ever comes to the driver.
+share of all documents (a document belongs to one round), and gives back its weights times its words; of the groups
+it gives back what it changed, times the occurrences it saw. The rounds' results are averaged by integer sums, key by
+key, so only one set of weights ever comes to the driver. Driver and workers hold that set: about 130 bytes a word.
 
 A document's score is the sum over its words of log p(word | words around it).
 
@@ -24,22 +28,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, remove, scratch_path, table
 from .wordtable import intern, slices, spans, text_bytes, words_of
 
 CLASSES, WITHIN, BUCKETS, REACH, EMBED, HIDDEN = 32, 32, 64, 3, 16, 32
 VOCABULARY = CLASSES * WITHIN - BUCKETS
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 PAD = CLASSES * WITHIN
+#: A word of so many occurrences is in the vocabulary. Weights a word has in its group: hidden units and the bias.
+FLOOR, READ = 10, 16
+#: Start of the squares of gradients of words in groups, which are rare in a batch.
+RARE_SQUARE = 1e-8
 #: Weights are summed as integers of this unit, so that the sum has one value in any order.
 UNIT = float(1 << 24)
+#: The same for changes of the groups' weights, which travel as 16 bits.
+GROUP_UNIT = float(1 << 11)
+
+
+def groups_for(words: int) -> int:
+    """Groups a bucket needs for its share of a vocabulary; the first place of a bucket is that of its rare words."""
+    more = max(0, words - VOCABULARY)
+    return -(-(1 + -(-more // BUCKETS)) // WITHIN) if more else 0
+
+
+def ids_of(words: int) -> np.ndarray:
+    """Ids of the words of a vocabulary by rank: up to PAD, then the places in the groups of the buckets."""
+    k = np.arange(words)
+    t = k - VOCABULARY
+    return np.where(t < 0, BUCKETS + k, PAD + 1 + t % BUCKETS * (WITHIN * groups_for(words)) + 1 + t // BUCKETS)
+
+
+def rare_ids(groups: int) -> np.ndarray:
+    """The id of the rare words of each bucket."""
+    return PAD + 1 + np.arange(BUCKETS) * (WITHIN * groups) if groups else np.arange(BUCKETS)
 
 
 class Words:
-    """Ids of the words of texts: frequent words by rank, others by bucket."""
+    """Ids of the words of texts: words of the vocabulary by rank, others by bucket."""
 
     def __init__(self, frequent: list[bytes]):
-        self.ids = {w: BUCKETS + k for k, w in enumerate(frequent)}
+        self.ids = dict(zip(frequent, ids_of(len(frequent)).tolist(), strict=True))
+        self.rare = rare_ids(groups_for(len(frequent))).tolist()
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all rows, and the row of each."""
@@ -47,7 +76,7 @@ class Words:
         if not len(starts):
             return np.zeros(0, np.int64), row
         codes, rep = intern(flat, starts, ends)
-        own = np.array([self.ids[w] if w in self.ids else zlib.crc32(w) % BUCKETS for w in words_of(flat, starts, ends, rep)], np.int64)
+        own = np.array([self.ids[w] if w in self.ids else self.rare[zlib.crc32(w) % BUCKETS] for w in words_of(flat, starts, ends, rep)], np.int64)
         return own[codes], row
 
 
@@ -73,13 +102,17 @@ def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
 class Network:
     SHAPES = {"embed": (PAD + 1, EMBED), "place": (2 * REACH, EMBED), "inner": (EMBED, HIDDEN), "bias": (HIDDEN,), "kind": (HIDDEN, CLASSES), "kind_bias": (CLASSES,), "word": (CLASSES, HIDDEN, WITHIN), "word_bias": (CLASSES, WITHIN)}
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], tail: Tail | None = None):
+        self.w, self.tail = weights, tail
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Network:
-        """Small random weights; biases at the log frequencies."""
+        """Small random weights; biases at the log frequencies. counts: by id."""
         rng = np.random.default_rng(seed)
+        tail = Tail.start(counts[PAD + 1 :], seed) if len(counts) > PAD else None
+        counts = counts[:PAD].astype(np.float64)
+        if tail:
+            counts[:BUCKETS] += tail.mass
         w = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in cls.SHAPES.items()}
         w["place"] = (1 + w["place"]).astype(np.float32)
         w["embed"] *= 3
@@ -87,7 +120,7 @@ class Network:
         by = (counts + 0.5).reshape(CLASSES, WITHIN)
         w["kind_bias"] = np.log(by.sum(1) / by.sum()).astype(np.float32)
         w["word_bias"] = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
-        return cls(w)
+        return cls(w, tail and tail.beside(w))
 
     @classmethod
     def of_vector(cls, flat: np.ndarray) -> Network:
@@ -96,16 +129,23 @@ class Network:
             size = int(np.prod(s))
             out[k] = flat[at : at + size].reshape(s).astype(np.float32)
             at += size
-        return cls(out)
+        if at == len(flat):
+            return cls(out)
+        return cls(out, Tail.of_vector(flat[at:]).beside(out))
 
-    def vector(self) -> np.ndarray:
+    def head(self) -> np.ndarray:
+        """All weights but those of the groups."""
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES]).astype(np.float64)
 
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.head(), self.tail.vector()]).astype(np.float32) if self.tail else self.head()
+
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = self.w
+        embed = self.tail.embed if self.tail else w["embed"]
         total = np.zeros((len(around), EMBED), np.float32)
         for k in range(2 * REACH):
-            total += w["embed"][around[:, k]] * w["place"][k]
+            total += embed[around[:, k]] * w["place"][k]
         return total, np.tanh(total @ w["inner"] + w["bias"])
 
     @staticmethod
@@ -117,6 +157,7 @@ class Network:
         """log p(id | ids around it) for each word."""
         w = self.w
         _, h = self.hidden(around)
+        every, ids = ids, self.tail.heads(ids) if self.tail else ids
         kind = ids // WITHIN
         out = self._log_softmax(h @ w["kind"] + w["kind_bias"])[np.arange(len(ids)), kind].astype(np.float64)
         order = np.argsort(kind, kind="stable")
@@ -125,12 +166,16 @@ class Network:
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
                 out[rows] += self._log_softmax(h[rows] @ w["word"][c] + w["word_bias"][c])[np.arange(len(rows)), ids[rows] % WITHIN]
+        if self.tail:
+            rows = np.flatnonzero(every > PAD)
+            out[rows] += self.tail.log_prob(every[rows], h[rows])
         return out
 
     def step(self, ids: np.ndarray, around: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One step of AdaGrad on the mean log loss of the words."""
         w, n = self.w, len(ids)
         total, h = self.hidden(around)
+        every, ids = ids, self.tail.heads(ids) if self.tail else ids
         kind = ids // WITHIN
         d_kind = np.exp(self._log_softmax(h @ w["kind"] + w["kind_bias"]))
         d_kind[np.arange(n), kind] -= 1
@@ -146,23 +191,201 @@ class Network:
                 d[np.arange(len(rows)), ids[rows] % WITHIN] -= 1
                 grad["word"][c], grad["word_bias"][c] = part.T @ d, d.sum(0)
                 d_h[rows] += d @ w["word"][c].T
+        if self.tail:
+            rows = np.flatnonzero(every > PAD)
+            d_h[rows, : READ - 1] += self.tail.step(every[rows], h[rows], n, rate)
         d_pre = d_h * (1 - h * h)
         grad["inner"], grad["bias"] = total.T @ d_pre, d_pre.sum(0)
         d_total = d_pre @ w["inner"].T
         grad["place"] = np.zeros_like(w["place"])
         grad["embed"] = np.zeros_like(w["embed"])
+        embed, used, code = w["embed"], None, around
+        if self.tail:
+            embed = self.tail.embed
+            used, code = self.tail.codes(around)
+        most = len(used) if self.tail else PAD + 1
+        by_id = np.zeros((most, EMBED), grad["embed"].dtype)
         for k in range(2 * REACH):
-            at = around[:, k]
-            grad["place"][k] = (d_total * w["embed"][at]).sum(0)
+            grad["place"][k] = (d_total * embed[around[:, k]]).sum(0)
             each = d_total * w["place"][k]
             for j in range(EMBED):
-                grad["embed"][:, j] += np.bincount(at, each[:, j], PAD + 1)
+                by_id[:, j] += np.bincount(code[:, k], each[:, j], most)
+        if self.tail:
+            cut = int(np.searchsorted(used, PAD, side="right"))
+            grad["embed"][used[:cut]] = by_id[:cut]
+            self.tail.step_embed(used[cut:], by_id[cut:] / n, rate)
+        else:
+            grad["embed"] = by_id
         for k, g in grad.items():
             g = g / n
             squares[k] += g * g
             w[k] -= (rate * g / (np.sqrt(squares[k]) + 1e-6)).astype(np.float32)
 
 
+class Tail:
+    """The groups of the buckets: their softmax within each bucket, the words' within each group, and embeddings.
+
+    An id beyond PAD is a place: bucket, group and slot. Squares of gradients are kept per row.
+    """
+
+    def __init__(self, embed: np.ndarray, group: np.ndarray, word: np.ndarray):
+        self.own, self.group, self.word = embed, group, word
+        self.groups = group.shape[1]
+        self.mass = None
+
+    @classmethod
+    def start(cls, counts: np.ndarray, seed: int = 1) -> Tail:
+        rng = np.random.default_rng([seed, 1])
+        by = counts.reshape(BUCKETS, -1, WITHIN).astype(np.float64)
+        n = by.shape[1]
+        word = rng.normal(0, 0.1, (BUCKETS * n, WITHIN, READ)).astype(np.float32)
+        group = rng.normal(0, 0.1, (BUCKETS, n, READ)).astype(np.float32)
+        real = by > 0
+        real[:, 0, 0] = True  # rare words may come later
+        by = np.where(real, by + 0.5, 0.0)
+        each = by.sum(2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            word[:, :, -1] = np.where(real, np.log(by / each[:, :, None]), -1e9).reshape(-1, WITHIN)
+            group[:, :, -1] = np.where(each > 0, np.log(each / each.sum(1, keepdims=True)), -1e9)
+        out = cls((rng.normal(0, 0.3, (len(counts), EMBED))).astype(np.float32), group, word)
+        out.mass = by.sum((1, 2))
+        return out
+
+    @classmethod
+    def of_vector(cls, flat: np.ndarray) -> Tail:
+        n = len(flat) // (BUCKETS * (WITHIN * EMBED + READ + WITHIN * READ))
+        a = BUCKETS * n * WITHIN * EMBED
+        b = a + BUCKETS * n * READ
+        flat = flat.astype(np.float32)
+        return cls(flat[:a].reshape(-1, EMBED), flat[a:b].reshape(BUCKETS, n, READ), flat[b:].reshape(-1, WITHIN, READ))
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.embed[PAD + 1 :].ravel(), self.group.ravel(), self.word.ravel()])
+
+    def beside(self, w: dict[str, np.ndarray]) -> Tail:
+        """Puts all embeddings into one table, of which the network's are the first rows."""
+        self.embed = np.concatenate([w["embed"], self.own])
+        self.own, w["embed"] = None, self.embed[: PAD + 1]
+        return self
+
+    def learn(self) -> Tail:
+        self.squares = {"embed": np.full(len(self.embed), RARE_SQUARE, np.float32), "group": np.full(self.group.shape[:2], RARE_SQUARE, np.float32), "word": np.full(self.word.shape[:2], RARE_SQUARE, np.float32)}
+        self.code = np.zeros(len(self.embed), np.int32)
+        return self
+
+    def heads(self, ids: np.ndarray) -> np.ndarray:
+        """The ids as the classes know them: a place is its bucket."""
+        return np.where(ids > PAD, (ids - PAD - 1) // (WITHIN * self.groups), ids)
+
+    def codes(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids, ascending, and for each id its number among them."""
+        self.code[around] = 1
+        used = np.flatnonzero(self.code)
+        self.code[used] = np.arange(len(used))
+        code = self.code[around]
+        self.code[used] = 0
+        return used, code
+
+    def _levels(self, ids: np.ndarray, h: np.ndarray):
+        """Order by place, and in it bucket, group, slot, and what the groups read of the hidden layer."""
+        order = np.argsort(ids, kind="stable")
+        leaf, slot = np.divmod(ids[order] - PAD - 1, WITHIN)
+        read = np.concatenate([h[order, : READ - 1], np.ones((len(ids), 1), h.dtype)], 1)
+        cuts = np.searchsorted(leaf, np.arange(BUCKETS + 1) * self.groups)
+        return order, leaf, slot, read, cuts
+
+    def log_prob(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        order, leaf, slot, read, cuts = self._levels(ids, h)
+        got = np.zeros(len(ids))
+        for b in range(BUCKETS):
+            r = slice(cuts[b], cuts[b + 1])
+            if cuts[b] < cuts[b + 1]:
+                got[r] = Network._log_softmax(read[r] @ self.group[b].T)[np.arange(cuts[b + 1] - cuts[b]), leaf[r] - b * self.groups]
+        x = np.matmul(self.word[leaf], read[:, :, None])[:, :, 0]
+        got += Network._log_softmax(x)[np.arange(len(ids)), slot]
+        out = np.empty(len(ids))
+        out[order] = got
+        return out
+
+    def step(self, ids: np.ndarray, h: np.ndarray, n: int, rate: float) -> np.ndarray:
+        """A step on the groups' weights; gives back the gradient by the hidden units they read."""
+        if not len(ids):
+            return np.zeros((0, READ - 1), h.dtype)
+        order, leaf, slot, read, cuts = self._levels(ids, h)
+        d_read = np.zeros_like(read)
+        for b in range(BUCKETS):
+            r, m = slice(cuts[b], cuts[b + 1]), cuts[b + 1] - cuts[b]
+            if m:
+                d = np.exp(Network._log_softmax(read[r] @ self.group[b].T))
+                d[np.arange(m), leaf[r] - b * self.groups] -= 1
+                d_read[r] = d @ self.group[b]
+                self._move(self.group, self.squares["group"], b, (d.T @ read[r]) / n, rate)
+        weights = self.word[leaf]
+        d = np.exp(Network._log_softmax(np.matmul(weights, read[:, :, None])[:, :, 0]))
+        d[np.arange(len(ids)), slot] -= 1
+        d_read += np.matmul(d[:, None, :], weights)[:, 0]
+        first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        grad = np.add.reduceat(np.multiply(d[:, :, None], read[:, None, :], out=weights), first, axis=0) / np.float32(n)
+        self._move(self.word, self.squares["word"], leaf[first], grad, rate)
+        out = np.empty((len(ids), READ - 1), h.dtype)
+        out[order] = d_read[:, : READ - 1]
+        return out
+
+    def step_embed(self, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        self._move(self.embed, self.squares["embed"], rows, grad, rate)
+
+    @staticmethod
+    def _move(table_: np.ndarray, squares: np.ndarray, rows, grad: np.ndarray, rate: float) -> None:
+        squares[rows] += np.square(grad).mean(-1)
+        table_[rows] -= (rate * grad / np.sqrt(squares[rows])[..., None]).astype(np.float32)
+
+    def changes(self, start: Tail, seen: np.ndarray, words: int):
+        """(key, occurrences, changes as 16-bit integers): of each group seen, and under -1 - b of each bucket."""
+
+        def packed(x: np.ndarray) -> np.ndarray:
+            return np.clip(np.rint(x * np.float32(GROUP_UNIT)), -32767, 32767).astype("<i2")
+
+        seen = seen.reshape(-1, WITHIN)
+        for g in np.flatnonzero(seen.any(1)).tolist():
+            rows = slice(PAD + 1 + g * WITHIN, PAD + 1 + (g + 1) * WITHIN)
+            yield g, seen[g], packed(np.concatenate([self.embed[rows] - start.embed[rows], self.word[g] - start.word[g]], 1))
+        for b in range(BUCKETS):
+            yield -1 - b, np.array([words]), packed(self.group[b] - start.group[b])
+
+    def change(self, key: int, by: np.ndarray) -> None:
+        if key < 0:
+            self.group[-1 - key] += by.reshape(self.groups, READ)
+        else:
+            by = by.reshape(WITHIN, EMBED + READ)
+            self.embed[PAD + 1 + key * WITHIN : PAD + 1 + (key + 1) * WITHIN] += by[:, :EMBED]
+            self.word[key] += by[:, EMBED:]
+
+
+def mean_changes(batches):
+    """Sums the changes of equal keys as integers, weighted by occurrences, and divides once."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for key, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, v = np.frombuffer(n, np.int64), np.frombuffer(v, "<i2").astype(np.int64)
+            if key < 0:
+                v = v * n[0]
+            else:
+                v = v.reshape(WITHIN, EMBED + READ)
+                v = np.concatenate([v[:, :EMBED] * n[:, None], v[:, EMBED:] * n.sum()], 1).ravel()
+            if key in held:
+                held[key][0] += n
+                held[key][1] += v
+            else:
+                held[key] = [n.copy(), v]
+    for key, (n, v) in held.items():
+        if key < 0:
+            mean = v / n[0]
+        else:
+            v = v.reshape(WITHIN, EMBED + READ)
+            mean = np.concatenate([v[:, :EMBED] / np.maximum(n, 1)[:, None], v[:, EMBED:] / n.sum()], 1).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([(mean / GROUP_UNIT).astype("<f4").tobytes()], pa.binary())], names=["key", "v"])
+
+
 # ------------------------------------------------------------------------------------------- Spark
 
 
@@ -180,26 +403,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """The words of the vocabulary by falling count, their counts, and the counts of all other words."""
+    often = counts.where(F.col("n") >= FLOOR)
+    if often.count() > VOCABULARY:
+        got, rest = often.toArrow(), counts.where(F.col("n") < FLOOR)
+    else:
+        got = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+        known = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in got["word"].to_pylist()], "word binary"))
+        rest = counts.join(known, "word", "left_anti")
+    got = got.sort_by([("n", "descending"), ("word", "ascending")])
+    return got["word"].to_pylist(), got["n"].to_numpy(), rest
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The frequent words, the log share of a bucket's word, and the weights."""
+    """The words of the vocabulary, the log share of a rare word by id, and the weights."""
     spark = docs.sparkSession
     counts = word_counts(docs).persist()
-    frequent = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    known = F.broadcast(spark.createDataFrame([(w,) for w, _ in frequent], "word binary"))
-    rest = counts.join(known, "word", "left_anti").groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+    words, often, rest = vocabulary(counts)
+    rest = rest.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
     counts.unpersist()
-    mass, share = np.zeros(PAD), np.zeros(PAD)
+    groups = groups_for(len(words))
+    places = PAD + 1 + BUCKETS * groups * WITHIN if groups else PAD
+    mass, share, rare = np.zeros(places), np.zeros(places), rare_ids(groups)
     for r in rest:
-        mass[r.bucket], share[r.bucket] = r.n, -np.log(r.words)
-    mass[BUCKETS : BUCKETS + len(frequent)] = [n for _, n in frequent]
-    words = [w for w, _ in frequent]
+        mass[rare[r.bucket]], share[rare[r.bucket]] = r.n, -np.log(r.words)
+    mass[ids_of(len(words))] = often
     vector = Network.start(mass).vector()
     belongs = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
+        shared = spark.sparkContext.broadcast((words, vector))
 
-        def learn(batches, start=vector):
+        def learn(batches, shared=shared):
+            words, start = shared.value
             net, coder, seen = Network.of_vector(start), Words(words), 0
             squares = {k: np.full(s, 1e-4, np.float32) for k, s in Network.SHAPES.items()}
+            tail = net.tail and net.tail.learn()
+            met = np.zeros(places, np.int64)
             for batch in batches:
                 for first, last in slices(batch.column(0)):
                     ids, row = coder.of(batch.column(0).slice(first, last - first))
@@ -207,27 +447,57 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarra
                     for at in range(0, len(ids), BATCH):
                         net.step(ids[at : at + BATCH], around[at : at + BATCH], squares)
                     seen += len(ids)
-            if seen:
-                got = np.rint(net.vector() * UNIT).astype(np.int64)
-                weight = np.int64(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(got)), -1)), pa.array(np.append(got, 0)), pa.array(np.full(len(got) + 1, weight))], names=["i", "v", "n"])
-
-        part = id_text(docs).where(belongs == k).select("text").mapInArrow(learn, "i long, v long, n long")
-        sums = part.groupBy("i").agg(F.sum((F.col("v") * F.col("n")).cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n")).collect()  # as many rows as weights
+                    if tail:
+                        met += np.bincount(ids, minlength=places)
+            if not seen:
+                return
+            got = np.rint(net.head() * UNIT).astype(np.int64)
+            none = pa.nulls(len(got) + 1, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(got)), -1)), pa.array(np.append(got, 0)), pa.array(np.full(len(got) + 1, np.int64(seen))), none, none], names=["i", "v", "n", "many", "by"])
+            if tail:
+                held = []
+                for one in tail.changes(Network.of_vector(start).tail, met[PAD + 1 :], seen):
+                    held.append(one)
+                    if len(held) == 512:
+                        yield _changed(held)
+                        held = []
+                yield _changed(held)
+
+        part = id_text(docs).where(belongs == k).select("text").mapInArrow(learn, "i long, v long, n long, many binary, by binary")
+        path = scratch_path(spark, "weights")
+        part.write.option("compression", "zstd").parquet(path)
+        part = spark.read.schema(part.schema).parquet(path)
+        sums = part.where("by is null").groupBy("i").agg(F.sum((F.col("v") * F.col("n")).cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n")).collect()  # as many rows as weights
         if sums:
-            fresh = np.zeros_like(vector)
+            net = Network.of_vector(vector)
+            fresh = np.zeros(len(sums) - 1)
             for r in sums:
                 if r.i >= 0:
                     fresh[r.i] = float(r.v) / r.n / UNIT
-            vector = fresh
+            if net.tail:
+                means = part.where("by is not null").select("i", "many", "by").repartition("i").mapInArrow(mean_changes, "key long, v binary").toArrow()
+                for key, v in zip(means["key"], means["v"], strict=True):
+                    net.tail.change(key.as_py(), np.frombuffer(v.as_py(), "<f4"))
+                vector = np.concatenate([fresh, net.tail.vector()]).astype(np.float32)
+            else:
+                vector = fresh
+        shared.destroy()
+        remove(spark, path)
     return words, share, vector
 
 
+def _changed(rows: list) -> pa.RecordBatch:
+    none = pa.nulls(len(rows), pa.int64())
+    many, by = ([x.tobytes() for x in col] for col in ([n.astype(np.int64) for _, n, _ in rows], [v for _, _, v in rows]))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), none, none, pa.array(many, pa.binary()), pa.array(by, pa.binary())], names=["i", "v", "n", "many", "by"])
+
+
 def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum), mean_log_likelihood."""
-    words, share, vector = model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        words, share, vector = shared.value
         net, coder = Network.of_vector(vector), Words(words)
         for batch in batches:
             for first, last in slices(batch.column(1)):

@@ -95,6 +95,67 @@ def test_network_learns_and_sums(spark, sample):
     assert start.log_prob(ids, around).mean() > before
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    """All words of FLOOR occurrences are predicted one by one, not the most frequent 960 alone."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join(f"w{k} v{k}" for k in rng.permutation(3000)[:500])) for i in range(80)]
+    rows += [(100, " ".join(words)), (101, "once"), (102, "w7 v7"), (103, "w7 v8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = Counter(w for _, t in rows for w in t.split())
+    model = vocabulary, share, vector = pseudolikelihood.train(df)
+    often = {w for w, n in counts.items() if n >= pseudolikelihood.FLOOR}
+    assert len(often) > 4000 and {w.decode() for w in vocabulary} == often
+    net, coder = pseudolikelihood.Network.of_vector(vector), pseudolikelihood.Words(vocabulary)
+    ids = np.concatenate([pseudolikelihood.ids_of(len(vocabulary)), pseudolikelihood.rare_ids(net.tail.groups)])
+    assert len(set(ids.tolist())) == len(vocabulary) + 64
+    around = pseudolikelihood.contexts(*coder.of(pa.array(["w1 v1 w2 v2 w3"])))[2:3]
+    head = np.arange(64 + pseudolikelihood.VOCABULARY)[64:]
+    assert (np.sort(ids)[: len(head)] == head).all()
+    assert np.exp(net.log_prob(ids, np.repeat(around, len(ids), 0))).sum() == pytest.approx(1, abs=1e-3)
+    got = {r.doc_id: r.log_likelihood for r in pseudolikelihood.score(df, model).collect()}
+    assert got[102] != got[103]
+    for i in (102, 103):
+        ids, row = coder.of(pa.array([dict(rows)[i]]))
+        assert got[i] == pytest.approx((net.log_prob(ids, pseudolikelihood.contexts(ids, row)) + share[ids]).sum(), rel=1e-5)
+    # the groups' weights learn: steps over one text make it likelier
+    ids, row = coder.of(pa.array([rows[0][1]]))
+    around, before = pseudolikelihood.contexts(ids, row), 0.0
+    tail, squares = net.tail.learn(), {k: np.full(s, 1e-4, np.float32) for k, s in net.SHAPES.items()}
+    before = tail.log_prob(ids[ids > pseudolikelihood.PAD], net.hidden(around)[1][ids > pseudolikelihood.PAD]).mean()
+    for _ in range(20):
+        net.step(ids, around, squares)
+    assert tail.log_prob(ids[ids > pseudolikelihood.PAD], net.hidden(around)[1][ids > pseudolikelihood.PAD]).mean() > before
+
+
+def test_gradients_of_groups():
+    rng = np.random.default_rng(5)
+    mass = rng.integers(1, 9, pseudolikelihood.PAD + 1 + 64 * 32 * 2).astype(float)
+    net = pseudolikelihood.Network.start(mass)
+    places = pseudolikelihood.PAD + 1 + rng.integers(0, 64 * 32 * 2, 30)
+    h = rng.normal(size=(30, 32))
+    tail = net.tail.learn()
+    d = tail.step(places, h, 30, 0.0)
+    for j in (0, 14):
+        up, down = h.copy(), h.copy()
+        up[:, j] += 1e-3
+        down[:, j] -= 1e-3
+        assert d[:, j] == pytest.approx(-(tail.log_prob(places, up) - tail.log_prob(places, down)) / 2e-3, rel=1e-2, abs=1e-4)
+    for name, table_, at in (("word", tail.word, ((places[0] - pseudolikelihood.PAD - 1) // 32, 3, 15)), ("group", tail.group, (int((places[0] - pseudolikelihood.PAD - 1) // 64), 1, 4))):
+        tail.squares = {k: np.full(v.shape, 1.0, np.float32) for k, v in tail.squares.items()}
+        was = table_.copy()
+        kept = tail.word.copy(), tail.group.copy()
+        tail.step(places, h, 30, 1.0)
+        moved = (was - table_)[at] * np.sqrt(tail.squares[name][at[:-1]])
+        tail.word[:], tail.group[:] = kept
+        slope = []
+        for by in (1e-2, -1e-2):
+            table_[at] = was[at] + by
+            slope.append(tail.log_prob(places, h).mean())
+        table_[at] = was[at]
+        assert moved == pytest.approx(-(slope[0] - slope[1]) / 2e-2, rel=5e-2, abs=1e-5)
+
+
 def test_scores_of_edge_texts(spark, docs, empty):
     model = pseudolikelihood.train(docs)
     rows = pseudolikelihood.score(docs, model).collect()
