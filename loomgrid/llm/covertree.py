@@ -106,6 +106,18 @@ class Best:
         self.id[rows] = np.take_along_axis(names, order, 1)
 
 
+def of_equals(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of the ascending ids of equal vectors those that can be among the k best of any query: k besides its own.
+
+    No id counts more than k times, and a query's own id takes up as many of the first places as it occurs.
+    """
+    if len(ids) <= k:
+        return ids
+    own, many = np.unique(ids, return_counts=True)
+    many = np.minimum(many, k)
+    return np.repeat(own, many)[: k + int(many.max())]
+
+
 def search(queries: CoverTree, tree: CoverTree, ints_q: np.ndarray, ints: np.ndarray, ids: list[np.ndarray], best: Best) -> int:
     """Descends both trees together; returns how many pairs of leaves were scored. ids: of each point, ascending."""
     if not len(ints) or not len(ints_q):
@@ -223,8 +235,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, pack: i
                     points, of = np.unique(v, axis=0, return_inverse=True)
                     by = np.argsort(of.ravel(), kind="stable")
                     cuts = np.cumsum(np.bincount(of.ravel(), minlength=len(points)))[:-1]
-                    # of equal vectors only the k smallest ids and one more can be among the k best
-                    names = [x[: k + 1] if len(np.unique(x[: k + 1])) > 1 or len(x) <= k + 1 else np.concatenate([x[:k], x[x != x[0]][: k + 1]]) for x in np.split(ids[by], cuts)]
+                    names = [of_equals(x, k) for x in np.split(ids[by], cuts)]
                     search(queries, CoverTree(points).finish(), q_v, points, names, best)
             found = best.id != np.iinfo(np.int64).max
             row, at = np.nonzero(found)

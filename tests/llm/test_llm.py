@@ -446,6 +446,15 @@ def test_top_k(spark):
     assert covertree.top_k(none, F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_top_k_of_repeated_queries_among_equal_vectors(spark):
+    """A query's own id may occur often in a large group of equal vectors without taking others' places."""
+    for ids in ([100, 100, *range(101, 120)], [100] * 9 + [*range(101, 120)], [100] * 30 + [101] * 30 + [102], [*range(90, 99)] * 2 + [100] * 4 + [*range(101, 120)]):
+        rows = [(i, [1.0, 2.0]) for i in ids] + [(i, [0.5, 0.25]) for i in range(201, 215)] + [(200, [0.25, 0.5])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        got = _bag(covertree.top_k(df, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == Counter(_top_by_hand(rows, 10))
+
+
 def test_trees_leave_out_pairs():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 8)) * 3000
