@@ -205,6 +205,33 @@ for _name, _join in _LEFT.items():
     _query(_name, LEFT_SQL)(lambda spark, d, join=_join: join(spark, _fact(spark, d), _dim(spark, d)).select("null_user", "txn_id", "cents", "name"))
 
 
+#: The same strategies over all events, by a key with three tenths of the rows on one value and nulls, and all customers.
+_WHOLE_KEY = "CASE WHEN tx.txn_id % 50 = 1 THEN NULL ELSE tx.hot_user END"
+WHOLE_SQL = f"SELECT {_WHOLE_KEY} AS null_user, tx.txn_id, tx.cents, c_name AS name FROM tx LEFT JOIN customer ON c_custkey = {_WHOLE_KEY}"
+
+
+def _whole_fact(spark, d) -> DataFrame:
+    key = F.when(F.col("txn_id") % 50 == 1, F.lit(None)).otherwise(F.col("hot_user")).cast("long")
+    return _tx(spark, d).select(key.alias("null_user"), "txn_id", "cents")
+
+
+def _whole_dim(spark, d) -> DataFrame:
+    return tables.users(spark, d).select(F.col("user_id").cast("long").alias("null_user"), F.col("user_name").alias("name"))
+
+
+for _name, _join in _LEFT.items():
+    _query(f"{_name}_whole", WHOLE_SQL)(lambda spark, d, join=_join: join(spark, _whole_fact(spark, d), _whole_dim(spark, d)).select("null_user", "txn_id", "cents", "name"))
+
+
+@_query("JN12_join_without_null_keys_whole", f"{WHOLE_SQL} WHERE {_WHOLE_KEY} IS NOT NULL")
+def _(spark, d):
+    return joins.join_without_null_keys(_whole_fact(spark, d), _whole_dim(spark, d), "null_user").select("null_user", "txn_id", "cents", "name")
+
+
+for _name in ("JN18_lookup_whole", "UD2_lookup_whole"):
+    _query(_name, WHOLE_SQL)(lambda spark, d: joins.lookup(_whole_fact(spark, d), _whole_dim(spark, d), "null_user", "name").select("null_user", "txn_id", "cents", "name"))
+
+
 @_query("JN10_top_hot_keys", "SELECT hot_user, count(*) AS count FROM tx WHERE hot_user IS NOT NULL GROUP BY hot_user ORDER BY count DESC, hot_user LIMIT 50")
 def _(spark, d):
     return joins.top_hot_keys(_tx(spark, d), "hot_user", 50)

@@ -177,3 +177,15 @@ def test_cache_and_plans(spark, tmp_path):
     path = explain.dump_plan(spark.range(3), f"file://{tmp_path}", "three").removeprefix("file://")
     assert "Range" in open(path).read()
     assert [r.rows for r in explain.compare(spark, {"a": lambda: spark.range(4)}).collect()] == [4]
+
+
+def test_joins_have_a_whole_twin(spark, sf):
+    """Each strategy that joins the few rows of the edge table also joins the whole customer table."""
+    from loomgrid.plans import catalogue
+
+    names = [*catalogue._LEFT, "JN12_join_without_null_keys", "JN18_lookup", "UD2_lookup"]
+    assert {f"{n}_whole" for n in names} <= set(catalogue.queries())
+    assert catalogue._whole_dim(spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    keys = catalogue._whole_fact(spark, sf).groupBy("null_user").count().collect()
+    assert sum(r["count"] for r in keys) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert None in {r.null_user for r in keys} and max(r["count"] for r in keys) > 0.25 * sum(r["count"] for r in keys)
