@@ -189,3 +189,16 @@ def test_joins_have_a_whole_twin(spark, sf):
     keys = catalogue._whole_fact(spark, sf).groupBy("null_user").count().collect()
     assert sum(r["count"] for r in keys) == spark.read.parquet(f"{sf}/events.parquet").count()
     assert None in {r.null_user for r in keys} and max(r["count"] for r in keys) > 0.25 * sum(r["count"] for r in keys)
+
+
+def test_percentiles_of_a_large_group_are_exact(spark):
+    """One user with far more distinct amounts than a sketch keeps."""
+    from loomgrid.operators import features
+    from pyspark.sql import functions as F
+
+    n = 60_001
+    cents = F.pmod(F.col("id") * 7919, F.lit(n))
+    df = spark.range(n).select(F.lit(1).alias("user_id"), cents.alias("cents"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz").alias("ts")).repartition(7)
+    got = features.amount_features_exact(df, "2024-01-31 00:00:00").first()
+    for k in (50, 95, 99):
+        assert got[f"amt_p{k}_1d"] == (-(-n * k // 100) - 1) / 100
