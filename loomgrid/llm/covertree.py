@@ -1,10 +1,16 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are turned into integers, so scores and ties are exact. Candidates are built into cover trees of bounded
-chunks, one row per chunk; equal vectors of a chunk are one point that keeps its smallest ids. Queries come in
-packs of at most ``PACK`` vectors, each with a cover tree of its own. A pack meets every chunk, both trees are
-descended together, and a pair of nodes is left out when the largest inner product their centres and covering radii
-allow is below the worst kth score among the queries of the query node. Only k rows per query and task leave a task.
+Vectors are turned into integers, so scores and ties are exact. Candidates are dealt to the nearest of a bounded set of
+pivots and, where one pivot has more than ``CHUNK`` of them, to parts of its group by hash; each part becomes one cover
+tree, built once and kept as a row of a table in the shared folder. Equal vectors of a part are one point that keeps its
+smallest ids. Queries go the same way into trees of at most ``PACK``. Packs travel in rounds of bounded bytes. A round
+first meets the chunks of its own pivots, which gives every query a lower bound of its kth score, then all other
+chunks. Both trees are descended together, and a pair of nodes is left out when the largest inner product their centres
+and covering radii allow is below the worst kth score among the queries of the query node. Only k rows per query and
+task leave a task.
+
+A node's children have at most half its radius, always: points hardly any two of which are near each other give a node
+many children of one point each, whose bounds are then their scores. ``work`` of ``top_k`` counts what was done.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component, and rows without an id, take no
 part; vectors of another length than the query's are no candidates of it; repeated rows are candidates each, a
@@ -20,90 +26,131 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_path, table
+from .wordtable import ragged
 
-SCALE, PACK, CHUNK, LEAF = 1024, 4096, 8192, 64
+#: Queries of a tree, points of a tree, points of a leaf, queries of a leaf, pivots at most, and bytes of query trees that travel at once.
+SCALE, PACK, CHUNK, LEAF, ASKED_LEAF, PIVOTS, ROUND_BYTES = 1024, 1024, 2048, 16, 4, 4096, 64 << 20
+NONE = np.iinfo(np.int64).min
 
 
 class CoverTree:
-    """Nodes with a centre, a covering radius and children of half the radius; leaves hold points."""
+    """Nodes with a centre, a covering radius and children of at most half of it.
+
+    Points are put into an order in which every node holds the slice ``lo`` to ``hi`` of them; a node's children are
+    the ``kids`` nodes from ``first`` on. Leaves hold ``leaf`` points or fewer, or equal ones.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points.astype(np.float64), leaf
-        self.centres, self.radii, self.children, self.members = [], [], [], []
-        if len(points):
-            far = np.linalg.norm(self.points - self.points[0], axis=1)
-            self._build(np.arange(len(points)), 0, far)
-
-    def _build(self, rows: np.ndarray, centre: int, far: np.ndarray) -> int:
-        node = len(self.centres)
-        radius = float(far.max())
-        self.centres.append(centre)
-        self.radii.append(radius)
-        self.children.append([])
-        self.members.append(rows)
-        if len(rows) > self.leaf and radius > 0:
-            left, at, groups = np.ones(len(rows), bool), 0, []
-            pick = int(np.argmin(far))
-            while True:
-                dist = np.linalg.norm(self.points[rows] - self.points[rows[pick]], axis=1)
-                mine = left & (dist <= radius / 2)
-                mine[pick] = True
-                groups.append((rows[mine], int(rows[pick]), dist[mine]))
-                left &= ~mine
-                at += 1
-                rest = np.flatnonzero(left)
-                if not len(rest):
-                    break
-                pick = int(rest[np.argmax(far[rest])])
-                if at >= 32 and np.count_nonzero(~left) < 4 * at:  # hardly any two points are near each other
-                    groups = []
-                    break
-            if len(groups) > 1:
-                self.children[node] = [self._build(*g) for g in groups]
-                self.members[node] = None
-            elif not groups:
-                # points nearly equidistant: slices by distance from the centre keep leaves small
-                order = np.argsort(far, kind="stable")
-                self.children[node] = [self._leaf(rows[order[k : k + self.leaf]]) for k in range(0, len(rows), self.leaf)]
-                self.members[node] = None
-        return node
-
-    def _leaf(self, rows: np.ndarray) -> int:
-        dist = np.linalg.norm(self.points[rows] - self.points[rows[0]], axis=1)
-        self.centres.append(int(rows[0]))
-        self.radii.append(float(dist.max()))
-        self.children.append([])
-        self.members.append(rows)
-        return len(self.centres) - 1
-
-    def finish(self) -> CoverTree:
-        self.centre = self.points[self.centres] if self.centres else self.points
-        self.radius = np.array(self.radii)
-        self.norm = np.linalg.norm(self.centre, axis=1)
+        n = len(points)
+        self.points, x = points, points.astype(np.float64)
+        square = np.einsum("ij,ij->i", x, x)
+        top = float(square.max(initial=0.0))
+        far = x @ x.T
+        np.multiply(far, -2.0, out=far)
+        far += square[:, None]
+        far += square[None, :]
+        np.sqrt(np.maximum(far, 0.0, out=far), out=far)
+        pad = 0.0 if top < 2**51 else 1e-6 * top**0.5  # sums of squares are exact below
+        order = np.arange(n)
+        centre, radius, lo, hi, first, kids = [0], [0.0], [0], [n], [0], [0]
+        at = 0
+        while at < len(centre) and n:
+            a, b = lo[at], hi[at]
+            rows = order[a:b]
+            near = far[centre[at], rows]
+            radius[at] = float(near.max()) * (1 + 1e-12) + pad
+            if b - a > leaf and near.max() > 0:
+                half, groups = near.max() / 2, []
+                left = np.arange(b - a)
+                pick = int(np.argmin(near))
+                while True:
+                    mine = far[rows[pick], rows[left]] <= half
+                    mine |= left == pick
+                    groups.append((int(rows[pick]), left[mine]))
+                    left = left[~mine]
+                    if not len(left):
+                        break
+                    pick = int(left[np.argmax(near[left])])
+                order[a:b] = rows[np.concatenate([g for _, g in groups])]
+                first[at], kids[at] = len(centre), len(groups)
+                for c, g in groups:
+                    centre.append(c)
+                    radius.append(0.0)
+                    lo.append(a)
+                    a += len(g)
+                    hi.append(a)
+                    first.append(0)
+                    kids.append(0)
+            at += 1
+        self.order = order
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.points = points[order]
+        self.centre = place[np.array(centre, np.int64)] if n else np.zeros(0, np.int64)
+        self.radius, self.lo, self.hi = np.array(radius), np.array(lo, np.int64), np.array(hi, np.int64)
+        self.first, self.kids = np.array(first, np.int64), np.array(kids, np.int64)
+
+    def ready(self) -> CoverTree:
+        """Centres as doubles and their lengths, which a search needs."""
+        self.at = self.points[self.centre].astype(np.float64)
+        self.length = np.sqrt(np.einsum("ij,ij->i", self.at, self.at)) * (1 + 1e-12)
+        self.most = float(np.abs(self.points).max(initial=0))
         return self
 
+    def leaves(self) -> int:
+        return int((self.kids == 0).sum()) if len(self.points) else 0
+
+    PARTS = ("points", "centre", "radius", "lo", "hi", "first", "kids")
+
+    def packed(self, extra: dict[str, np.ndarray]) -> bytes:
+        parts = {k: getattr(self, k) for k in self.PARTS} | extra
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([pa.array([v.ravel()]) for v in parts.values()], names=list(parts))
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes, dim: int) -> tuple[CoverTree, dict[str, np.ndarray]]:
+        batch = pa.ipc.open_stream(pa.py_buffer(raw)).read_next_batch()
+        parts = {name: batch.column(k).values.to_numpy() for k, name in enumerate(batch.schema.names)}
+        tree = cls.__new__(cls)
+        for k in cls.PARTS:
+            setattr(tree, k, parts.pop(k))
+        tree.points = tree.points.reshape(-1, dim)
+        return tree.ready(), parts
+
 
 class Best:
-    """The k best (score, id) of each query, ties to the smaller id."""
+    """The k best (score, id) of each query, ties to the smaller id; ``floor``: what a kth score is known to reach."""
 
-    def __init__(self, ids: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.own, self.k = ids, k
-        self.score = np.full((len(ids), k), np.iinfo(np.int64).min, np.int64)
+        self.score = np.full((len(ids), k), NONE, np.int64)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+        self.worst = np.full(len(ids), NONE, np.int64) if floor is None else floor.copy()
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == self.own[rows][:, None], np.iinfo(np.int64).min, scores)
-        better = (scores >= self.score[rows, -1:]).any(1)
-        rows, scores = rows[better], scores[better]
-        if not len(rows):
+        """scores: a row for each of ``rows``, a column for each of ``ids``; rows of a query's own id don't count."""
+        fit = (scores >= self.worst[rows][:, None]) & (ids[None, :] != self.own[rows][:, None])
+        if scores.shape[1] > 4 * self.k:  # of very many only those that reach the kth of them
+            kth = np.partition(np.where(fit, scores, NONE), -self.k, axis=1)[:, -self.k]
+            fit &= scores >= kth[:, None]
+        r, c = np.nonzero(fit)
+        if not len(r):
             return
-        both = np.concatenate([self.score[rows], scores], 1)
-        names = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)], 1)
-        names = np.where(both == np.iinfo(np.int64).min, np.iinfo(np.int64).max, names)
-        # ascending order of ~score is descending order of score
-        order = np.lexsort((names, ~both), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(both, order, 1)
-        self.id[rows] = np.take_along_axis(names, order, 1)
+        some = np.unique(r)
+        old = np.repeat(some, self.k)
+        row = np.concatenate([old, r])
+        score = np.concatenate([self.score[rows[some]].ravel(), scores[r, c]])
+        name = np.concatenate([self.id[rows[some]].ravel(), ids[c]])
+        order = np.lexsort((name, ~score, row))  # ascending order of ~score is descending order of score
+        row = row[order]
+        begin = np.searchsorted(row, some)
+        take = order[(begin[:, None] + np.arange(self.k)[None, :]).ravel()]
+        self.score[rows[some]] = score[take].reshape(-1, self.k)
+        self.id[rows[some]] = name[take].reshape(-1, self.k)
+        self.worst[rows[some]] = np.maximum(self.worst[rows[some]], self.score[rows[some], -1])
 
 
 def of_equals(ids: np.ndarray, k: int) -> np.ndarray:
@@ -118,48 +165,55 @@ def of_equals(ids: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(own, many)[: k + int(many.max())]
 
 
-def search(queries: CoverTree, tree: CoverTree, ints_q: np.ndarray, ints: np.ndarray, ids: list[np.ndarray], best: Best) -> int:
-    """Descends both trees together; returns how many pairs of leaves were scored. ids: of each point, ascending."""
-    if not len(ints) or not len(ints_q):
-        return 0
-    most = float(np.abs(ints_q).max(initial=0)) * float(np.abs(ints).max(initial=0)) * ints.shape[1]
+def search(queries: CoverTree, tree: CoverTree, ids: np.ndarray, many: np.ndarray, best: Best) -> tuple[int, int]:
+    """Descends both trees together; returns how many pairs of leaves were scored, and how many points met.
+
+    ids: of all points, one point's after the other's; many: how many each point has.
+    """
+    if not len(tree.points) or not len(queries.points):
+        return 0, 0
+    most = queries.most * tree.most * tree.points.shape[1]
     exact = most < 2**53
     slack = 1 + most * 1e-9
-    multiple = np.array([len(x) for x in ids])
-    scored = 0
+    ends = np.cumsum(many)
+    scored = met = 0
     stack = [(0, 0)]
 
-    def bound(q: int, cs: list[int]) -> np.ndarray:
-        dot = tree.centre[cs] @ queries.centre[q]
-        return dot + queries.norm[q] * tree.radius[cs] + tree.norm[cs] * queries.radius[q] + queries.radius[q] * tree.radius[cs] + slack
+    def score(rows: np.ndarray, cols: np.ndarray) -> None:
+        nonlocal met
+        a, b = queries.points[rows], tree.points[cols]
+        dots = (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if exact else a @ b.T
+        n = many[cols]
+        if (n > 1).any():
+            dots = np.repeat(dots, n, axis=1)
+        best.offer(rows, dots, ids[ragged((ends - many)[cols], n)])
+        met += len(rows) * len(cols)
 
     while stack:
         q, c = stack.pop()
-        q_rows = queries.members[q] if queries.members[q] is not None else rows_under(queries, q)
-        worst = best.score[q_rows, -1].min()
-        if bound(q, [c])[0] < worst:
-            continue
-        q_kids, c_kids = queries.children[q], tree.children[c]
-        if not q_kids and not c_kids:
-            rows, cols = queries.members[q], tree.members[c]
-            a, b = (ints_q[rows], ints[cols])
-            dots = (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if exact else a @ b.T
-            names = np.concatenate([ids[j] for j in cols.tolist()])
-            best.offer(rows, np.repeat(dots, multiple[cols], axis=1), names)
-            scored += 1
-        elif c_kids and (not q_kids or tree.radius[c] >= queries.radius[q]):
-            # the most promising child is searched first, so it is put on the stack last
-            stack += [(q, c_kids[j]) for j in np.argsort(bound(q, c_kids), kind="stable").tolist()]
-        else:
-            stack += [(k, c) for k in q_kids]
-    return scored
-
-
-def rows_under(tree: CoverTree, node: int) -> np.ndarray:
-    found = tree.__dict__.setdefault("under", {})
-    if node not in found:
-        found[node] = tree.members[node] if tree.members[node] is not None else np.concatenate([rows_under(tree, k) for k in tree.children[node]])
-    return found[node]
+        qs = np.arange(queries.first[q], queries.first[q] + queries.kids[q]) if queries.kids[q] else np.array([q])
+        cs = np.arange(tree.first[c], tree.first[c] + tree.kids[c]) if tree.kids[c] else np.array([c])
+        rq, rc = queries.radius[qs][:, None], tree.radius[cs][None, :]
+        bound = queries.at[qs] @ tree.at[cs].T + queries.length[qs][:, None] * rc + tree.length[cs][None, :] * rq + rq * rc + slack
+        worst = np.minimum.reduceat(best.worst[queries.lo[q] : queries.hi[q]], queries.lo[qs] - queries.lo[q])
+        open_ = bound >= worst[:, None]
+        leaf = (queries.kids[qs] == 0)[:, None] & (tree.kids[cs] == 0)[None, :]
+        ends_here = open_ & leaf
+        if ends_here.any():
+            scored += int(ends_here.sum())
+            some_q, some_c = np.flatnonzero(ends_here.any(1)), np.flatnonzero(ends_here.any(0))
+            if 2 * ends_here.sum() >= len(some_q) * len(some_c):  # most of the block is needed: at once
+                groups = [(some_q, some_c)]
+            else:
+                groups = [(np.array([i]), np.flatnonzero(ends_here[i])) for i in some_q]
+            for i, j in groups:
+                rows, cols = (ragged(t.lo[x], t.hi[x] - t.lo[x]) for t, x in ((queries, qs[i]), (tree, cs[j])))
+                score(rows, cols)
+        i, j = np.nonzero(open_ & ~leaf)
+        if len(i):
+            by = np.argsort(bound[i, j], kind="stable")  # the most promising pair is searched first: on the stack last
+            stack += list(zip(qs[i[by]].tolist(), cs[j[by]].tolist(), strict=True))
+    return scored, met
 
 
 # ------------------------------------------------------------------------------------------- Spark
@@ -173,81 +227,179 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.where(sound).select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale)))).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
-
+def _pivots(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Vectors of the ``most`` rows of the least hashes, by length: a bounded choice that no layout changes."""
+    picked = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(most).select("v").distinct().collect()
+    out: dict[int, list] = {}
+    for r in sorted(picked):
+        out.setdefault(len(r.v), []).append(r.v)
+    return {d: np.array(vs, np.int64) for d, vs in out.items()}
 
-def _by_length(batch: pa.RecordBatch):
-    """(ids, matrix) for each length of vector in a batch of (id, array of long)."""
-    ids, column = batch.column(0).to_numpy(), batch.column(1)
-    length = np.diff(column.offsets.to_numpy())
-    flat, first = _matrix(column), np.cumsum(length) - length
-    for d in np.unique(length).tolist():
-        rows = np.flatnonzero(length == d)
-        yield ids[rows], flat[(first[rows][:, None] + np.arange(d)[None, :])]
 
-
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """dim, ids, v: up to ``most`` vectors of a length as two blocks of bytes."""
+def _dealt(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, dim, pivot (the nearest of its length; -1 without one), v as bytes."""
 
     def run(batches):
-        held: dict[int, list] = {}
-
-        def out(d):
-            ids, vs = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
-            for k in range(0, len(ids), most):
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids[k : k + most].tobytes()], pa.binary()), pa.array([vs[k : k + most].tobytes()], pa.binary())], names=["dim", "ids", "v"])
-
         for batch in batches:
+            column = batch.column(1)
             if not batch.num_rows:
                 continue
-            for ids, vs in _by_length(batch):
-                d = vs.shape[1]
-                held.setdefault(d, []).append((ids, vs))
-                if sum(len(x) for x, _ in held[d]) >= most:
-                    yield from out(d)
-        for d in list(held):
-            yield from out(d)
-
-    return rows.mapInArrow(run, "dim int, ids binary, v binary")
-
+            offsets = column.offsets.to_numpy()
+            flat, length = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
+            begin, ids = np.cumsum(length) - length, batch.column(0).to_numpy()
+            for d in np.unique(length).tolist():
+                at = np.flatnonzero(length == d)
+                v = flat[begin[at][:, None] + np.arange(d)[None, :]]
+                near = np.full(len(at), -1, np.int32)
+                if d in pivots:
+                    p = pivots[d].astype(np.float64)
+                    half = np.einsum("ij,ij->i", p, p) / 2
+                    step = max(1, (1 << 22) // len(p))
+                    for k in range(0, len(at), step):
+                        near[k : k + step] = np.argmax(v[k : k + step].astype(np.float64) @ p.T - half, axis=1)
+                raw = np.ascontiguousarray(v, "<i8").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(np.full(len(at), d, np.int32)), pa.array(near), pa.array([raw[8 * d * k : 8 * d * (k + 1)] for k in range(len(at))], pa.binary())],
+                    names=["vec_id", "dim", "pivot", "v"],
+                )
+
+    return rows.mapInArrow(run, "vec_id long, dim int, pivot int, v binary")
+
+
+def _trees(dealt: DataFrame, sizes: list, most: int, name: str, k: int | None) -> DataFrame:
+    """dim, pivot, part, n, tree: a packed tree per part of a pivot's group; ``sizes`` has the rows of each group.
+
+    Parts are dealt by the hash of the id, and of equal ids by the vector, so the part of a row never changes. With
+    ``k`` equal vectors are one point that keeps the ids which can be among the k best; without, every row is a point.
+    """
+    spark = dealt.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(r.dim, r.pivot, -(-r.n // most)) for r in sizes], "dim int, pivot int, parts int"))  # PIVOTS rows and a few
+    rows = dealt.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r.n for r in sizes) // (1 << 18)))
+
+    def build(dim, pivot, part, ids, v):
+        ids, v = np.array(ids, np.int64), np.frombuffer(b"".join(v), "<i8").reshape(-1, dim)
+        for at in range(0, len(ids), 2 * most):  # hashing deals unevenly, and equal rows all alike
+            own, rows_ = ids[at : at + 2 * most], v[at : at + 2 * most]
+            if k is None:
+                tree = CoverTree(rows_, ASKED_LEAF)
+                extra = {"ids": own[tree.order]}
+            else:
+                points, of = np.unique(rows_, axis=0, return_inverse=True)
+                by = np.lexsort((own, of.ravel()))
+                names = [of_equals(x, k) for x in np.split(own[by], np.cumsum(np.bincount(of.ravel(), minlength=len(points)))[:-1])]
+                tree = CoverTree(points)
+                extra = {"ids": np.concatenate([names[j] for j in tree.order]), "many": np.array([len(names[j]) for j in tree.order], np.int64)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dim], pa.int32()), pa.array([pivot], pa.int32()), pa.array([part], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([tree.packed(extra)], pa.binary())],
+                names=["dim", "pivot", "part", "n", "tree"],
+            )
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, pack: int = PACK, chunk: int = CHUNK) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows that ``is_query`` (a condition on vec_id) marks."""
+    def run(batches):
+        held, key = ([], []), None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            ids, v = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for one, i, x in zip(keys, ids, v, strict=True):
+                if one != key or len(held[0]) >= 2 * most:
+                    if held[0]:
+                        yield from build(*key, *held)
+                    held, key = ([], []), one
+                held[0].append(i)
+                held[1].append(x)
+        if held[0]:
+            yield from build(*key, *held)
+
+    by = ["dim", "pivot", "part"]
+    ordered = rows.select(*by, "vec_id", "v").repartition(n_tasks, *by).sortWithinPartitions(*by, "vec_id", "v")
+    return materialise(ordered.mapInArrow(run, "dim int, pivot int, part int, n long, tree binary"), name)
+
+
+def _rounds(packs: DataFrame, most: int):
+    """Lists of query trees whose bytes together stay within ``most`` (one tree at least)."""
+    held, size = [], 0
+    for r in packs.toLocalIterator():
+        if held and size + len(r.tree) > most:
+            yield held
+            held, size = [], 0
+        held.append((r.dim, r.pivot, bytes(r.tree)))
+        size += len(r.tree)
+    if held:
+        yield held
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, pack: int = PACK, chunk: int = CHUNK, round_bytes: int = ROUND_BYTES, work: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows that ``is_query`` (a condition on vec_id) marks.
+
+    ``work``, if given, gets the leaf pairs and pairs of points that were scored, and those there are.
+    """
     spark = vectors.sparkSession
+    schema = "query_id long, rank int, vec_id long, score long"
     rows = integers(vectors, scale)
-    chunks = materialise(_packed(rows, chunk), "chunks")
-    asked = rows.where(is_query).dropDuplicates()
-    n = asked.count()
-    packs = materialise(_packed(asked.repartition(max(1, -(-n // pack)), "vec_id"), pack), "packs")
+    n = rows.count()
+    dealt = materialise(_dealt(rows, _pivots(rows, max(1, min(PIVOTS, -(-n // chunk))))), "dealt")
+    count = lambda df: df.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n")).collect()
+    asked = dealt.where(is_query).dropDuplicates(["vec_id", "dim", "v"])
+    packs = _trees(asked, count(asked), pack, "packs", None)
+    chunks = _trees(dealt, count(dealt), chunk, "chunks", k)
     path = scratch_path(spark, "topk")
-    schema = "query_id long, rank int, vec_id long, score long"
-    for p in packs.toLocalIterator():  # a pack is PACK vectors at most
-        d, q_ids, q_v = p.dim, np.frombuffer(p.ids, np.int64), np.frombuffer(p.v, np.int64).reshape(-1, p.dim)
+    found_schema = "query_id long, vec_id long, score long, leaf_pairs long, pairs long"
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (1 << 17)))
+    spread = chunks.select("dim", "pivot", "tree").repartition(n_tasks, F.xxhash64("dim", "pivot", "part"))
+
+    def meet(shared, own: bool):
+        """The search of a round: of the chunks of a pack's own pivot, or of all others."""
 
-        def run(batches, d=d, q_ids=q_ids, q_v=q_v):
-            queries, best = CoverTree(q_v, 32).finish(), Best(q_ids, k)
+        def run(batches):
+            packs_, floors = shared.value
+            held, scored, met = None, 0, 0
             for batch in batches:
-                for raw_ids, raw in zip(batch.column(0), batch.column(1), strict=True):
-                    ids, v = np.frombuffer(raw_ids.as_py(), np.int64), np.frombuffer(raw.as_py(), np.int64).reshape(-1, d)
-                    order = np.argsort(ids, kind="stable")
-                    ids, v = ids[order], v[order]
-                    points, of = np.unique(v, axis=0, return_inverse=True)
-                    by = np.argsort(of.ravel(), kind="stable")
-                    cuts = np.cumsum(np.bincount(of.ravel(), minlength=len(points)))[:-1]
-                    names = [of_equals(x, k) for x in np.split(ids[by], cuts)]
-                    search(queries, CoverTree(points).finish(), q_v, points, names, best)
-            found = best.id != np.iinfo(np.int64).max
-            row, at = np.nonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(best.id[row, at]), pa.array(best.score[row, at])], names=["query_id", "vec_id", "score"])
-
-        near = chunks.where(F.col("dim") == d).select("ids", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+                for dim, pivot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if held is None:
+                        held = []
+                        for j, (d, p, t) in enumerate(packs_):
+                            q, extra = CoverTree.unpacked(t, d)
+                            held.append((d, p, q, Best(extra["ids"], k, floors[j] if floors else None)))
+                    tree = None
+                    for d, p, q, best in held:
+                        if d == dim and (p == pivot) == own:
+                            if tree is None:
+                                tree, extra = CoverTree.unpacked(raw.as_py(), dim)
+                            a, b = search(q, tree, extra["ids"], extra["many"], best)
+                            scored, met = scored + a, met + b
+            out = [(b.own[r], b.id[r, c], b.score[r, c]) for _, _, _, b in held or [] for r, c in [np.nonzero(b.score != NONE)]]
+            if out:
+                ids, names, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                ids, names, scores = np.append(ids, 0), np.append(names, 0), np.append(scores, 0)
+                last = np.arange(len(ids)) == len(ids) - 1  # what the task did goes into a row of its own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array(names), pa.array(scores), pa.array(np.where(last, scored, 0), mask=~last), pa.array(np.where(last, met, 0), mask=~last)],
+                    names=["query_id", "vec_id", "score", "leaf_pairs", "pairs"],
+                )
+
+        return spread.select("dim", "pivot", "tree").mapInArrow(run, found_schema)
+
+    for held in _rounds(packs.select("dim", "pivot", "tree"), round_bytes):
+        shared = spark.sparkContext.broadcast((held, None))
+        near = materialise(meet(shared, True), "near")
+        near.write.mode("append").parquet(path)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        near.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
-    if not n:
+        kth = near.where("leaf_pairs is null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+        floor = {r.query_id: r.score for r in kth.select("query_id", "score").collect()}  # a number per query of the round
+        floors = [np.array([floor.get(i, NONE) for i in CoverTree.unpacked(t, d)[1]["ids"].tolist()], np.int64) for d, _, t in held]
+        again = spark.sparkContext.broadcast((held, floors))
+        meet(again, False).write.mode("append").parquet(path)
+        shared.destroy()
+        again.destroy()
+    if packs.isEmpty():
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(found_schema).parquet(path)
+    if work is not None:
+        did = found.agg(F.coalesce(F.sum("leaf_pairs"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        work |= {"leaf_pairs": did[0], "pairs": did[1], "all_pairs": n * asked.count()}
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.where("leaf_pairs is null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

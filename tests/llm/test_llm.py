@@ -461,13 +461,46 @@ def test_trees_leave_out_pairs():
     ints = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20).astype(np.int64)
     q = ints[:64]
     best = covertree.Best(np.arange(64), 5)
-    tree, asked = covertree.CoverTree(ints).finish(), covertree.CoverTree(q, 16).finish()
-    scored = covertree.search(asked, tree, q, ints, [np.array([i]) for i in range(4000)], best)
+    tree, asked = covertree.CoverTree(ints).ready(), covertree.CoverTree(q, covertree.ASKED_LEAF).ready()
+    best.own = asked.order
+    scored, met = covertree.search(asked, tree, tree.order, np.ones(4000, np.int64), best)
     dots = q @ ints.T
     dots[np.arange(64), np.arange(64)] = np.iinfo(np.int64).min
-    assert (best.score == np.sort(dots, 1)[:, ::-1][:, :5]).all()
-    pairs = sum(not c for c in tree.children) * sum(not c for c in asked.children)
-    assert scored < pairs / 2
+    assert (best.score == np.sort(dots, 1)[asked.order, ::-1][:, :5]).all()
+    assert scored < tree.leaves() * asked.leaves() / 2 and met < dots.size / 2
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.01, 1.0, 30.0])
+def test_cover_trees_halve_their_radii(spread):
+    """Whatever the points: clusters, equal ones, or hardly any two near each other."""
+    rng = np.random.default_rng(9)
+    points = np.floor(100 * (rng.normal(size=(12, 24))[rng.integers(0, 12, 700)] + spread * rng.normal(size=(700, 24)))).astype(np.int64)
+    tree = covertree.CoverTree(points, 4).ready()
+    assert (np.sort(tree.order) == np.arange(700)).all() and (tree.points == points[tree.order]).all()
+    for node in range(len(tree.radius)):
+        here = tree.points[tree.lo[node] : tree.hi[node]].astype(float)
+        assert np.linalg.norm(here - tree.at[node], axis=1).max() <= tree.radius[node] * (1 + 1e-9)
+        kids = np.arange(tree.first[node], tree.first[node] + tree.kids[node])
+        assert len(kids) or len(here) <= 4 or tree.radius[node] == 0
+        if len(kids):
+            assert (tree.radius[kids] <= tree.radius[node] / 2 * (1 + 1e-9)).all()
+            assert tree.lo[kids[0]] == tree.lo[node] and tree.hi[kids[-1]] == tree.hi[node] and (tree.lo[kids[1:]] == tree.hi[kids[:-1]]).all()
+    again, extra = covertree.CoverTree.unpacked(tree.packed({"ids": tree.order}), 24)
+    assert (again.points == tree.points).all() and (again.radius == tree.radius).all() and (extra["ids"] == tree.order).all()
+
+
+def test_top_k_prunes_clusters_and_goes_in_rounds(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(25, 10))
+    vs = centres[rng.integers(0, 25, 3000)] + 0.01 * rng.normal(size=(3000, 10))
+    vs /= np.linalg.norm(vs, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for kw in ({"chunk": 150}, {"chunk": 150, "pack": 5, "round_bytes": 1}):
+        work = {}
+        got = covertree.top_k(df, F.col("vec_id") % 100 == 0, work=work, **kw)
+        assert {tuple(r) for r in got.collect()} == _top_by_hand(rows, 10)
+        assert 0 < work["pairs"] < work["all_pairs"] / 3
 
 
 # ------------------------------------------------------------------------------------------- 8
