@@ -1,519 +1,434 @@
-"""Masked pseudo-likelihood: a bidirectional window network that predicts every word from both sides.
+"""Masked pseudo-likelihood: a bidirectional window network that predicts every token from both sides.
 
-The vocabulary is every word that occurs ``FLOOR`` times or more, counted over the whole corpus (the ``VOCABULARY``
-most frequent ones at least), so it grows with the corpus. Only rarer words have no number of their own: they fall
-into buckets of their bytes' hash, and a bucket's rare words share its probability evenly. The network sums
-position-weighted embeddings of the ``REACH`` words on either side, passes them through a hidden layer and predicts
-the word's class, then the word within its class, which for the most frequent words is the word itself. Words beyond
-those are dealt over the buckets, and two more softmaxes predict the group within the bucket and the word within the
-group, from the first hidden units; each has an embedding of its own. So a prediction is a proper probability.
+Tokens are the subword ids of a published vocabulary (a parameter), so every position of every text is a token of its
+own; nothing is cut off or hashed together. Ids are ranked by their counts over the whole corpus. The network sums
+position-weighted embeddings of the ``REACH`` tokens on either side and passes them through a hidden layer. Softmaxes
+over classes and within a class predict the ``HEAD`` most frequent ids; one class stands for all others, and two more
+softmaxes predict their group and the place within it. So a prediction is a proper probability over all ids.
 
-Training is numpy on the executors: each round, every partition starts from the same weights, goes once over its
-share of all documents (a document belongs to one round), and gives back its weights times its words; of the groups
-it gives back what it changed, times the occurrences it saw. The rounds' results are averaged by integer sums, key by
-key, so only one set of weights ever comes to the driver. Driver and workers hold that set: about 130 bytes a word.
+Training is numpy on the executors, by masked positions: of every document each ``MASK``-th token is masked and
+predicted from its surroundings, all others only surround it. Documents are dealt by a hash of their id and text into
+shards whose number follows the corpus' tokens, and each shard is sorted, so what a shard trains on does not depend on
+files or partitions. In each of ``ROUNDS`` rounds every shard starts from the same weights and learns from its share
+(a document belongs to one round); changes, as integers weighted by the occurrences a shard saw, are summed in any
+order and divided once. Only one set of weights comes to the driver, whose size is that of the vocabulary.
 
-A document's score is the sum over its words of log p(word | words around it).
+A document's score is the sum over all its tokens of log p(token | tokens around it).
 
-Defined results: a text without words (null, empty) has no words, sum 0 and a null mean; repeated rows get equal
-scores; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
+Defined results: a text without tokens (null, empty) has sum 0 and a null mean; repeated rows get equal scores, and
+train side by side in one shard; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, remove, scratch_path, table
-from .wordtable import intern, slices, spans, text_bytes, words_of
-
-CLASSES, WITHIN, BUCKETS, REACH, EMBED, HIDDEN = 32, 32, 64, 3, 16, 32
-VOCABULARY = CLASSES * WITHIN - BUCKETS
-ROUNDS, BATCH, RATE = 2, 8192, 0.1
-PAD = CLASSES * WITHIN
-#: A word of so many occurrences is in the vocabulary. Weights a word has in its group: hidden units and the bias.
-FLOOR, READ = 10, 16
-#: Start of the squares of gradients of words in groups, which are rare in a batch.
-RARE_SQUARE = 1e-8
-#: Weights are summed as integers of this unit, so that the sum has one value in any order.
-UNIT = float(1 << 24)
-#: The same for changes of the groups' weights, which travel as 16 bits.
-GROUP_UNIT = float(1 << 11)
-
-
-def groups_for(words: int) -> int:
-    """Groups a bucket needs for its share of a vocabulary; the first place of a bucket is that of its rare words."""
-    more = max(0, words - VOCABULARY)
-    return -(-(1 + -(-more // BUCKETS)) // WITHIN) if more else 0
-
+from .common import id_text, materialise, table
+from .huffman import global_counts
+from .wordbpe import default_vocabulary, encoder
+from .wordtable import ragged, spans, text_bytes
 
-def ids_of(words: int) -> np.ndarray:
-    """Ids of the words of a vocabulary by rank: up to PAD, then the places in the groups of the buckets."""
-    k = np.arange(words)
-    t = k - VOCABULARY
-    return np.where(t < 0, BUCKETS + k, PAD + 1 + t % BUCKETS * (WITHIN * groups_for(words)) + 1 + t // BUCKETS)
+KINDS, WITHIN, REACH, EMBED, HIDDEN = 32, 32, 3, 16, 32
+#: Ids that have a place in a class; the last class stands for all others.
+HEAD = (KINDS - 1) * WITHIN
+ROUNDS, MASK, BATCH, RATE = 2, 6, 2048, 0.2
+#: Tokens of a shard, tokens that are trained on or scored at once, and tasks that shards are dealt to at most.
+SHARD_TOKENS, PIECE, TASKS = 4_000_000, 1 << 16, 4096
+#: Start of the squares of gradients, and the unit of changes as integers.
+SQUARE, UNIT = 1e-4, float(1 << 20)
+#: Rows of the embeddings that travel as one block.
+BLOCK = 256
 
 
-def rare_ids(groups: int) -> np.ndarray:
-    """The id of the rare words of each bucket."""
-    return PAD + 1 + np.arange(BUCKETS) * (WITHIN * groups) if groups else np.arange(BUCKETS)
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place, a distribution per row."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
-class Words:
-    """Ids of the words of texts: words of the vocabulary by rank, others by bucket."""
+def log_softmax_at(x: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row of x, at one column; x is spent."""
+    x -= x.max(1, keepdims=True)
+    at = x[np.arange(len(x)), col]
+    np.exp(x, out=x)
+    return at - np.log(x.sum(1))
 
-    def __init__(self, frequent: list[bytes]):
-        self.ids = dict(zip(frequent, ids_of(len(frequent)).tolist(), strict=True))
-        self.rare = rare_ids(groups_for(len(frequent))).tolist()
 
-    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of all rows, and the row of each."""
-        flat, starts, ends, row, n = split_words(column)
-        if not len(starts):
-            return np.zeros(0, np.int64), row
-        codes, rep = intern(flat, starts, ends)
-        own = np.array([self.ids[w] if w in self.ids else self.rare[zlib.crc32(w) % BUCKETS] for w in words_of(flat, starts, ends, rep)], np.int64)
-        return own[codes], row
+def runs(sorted_keys: np.ndarray):
+    """(key, first, end) of the runs of equal keys."""
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return zip(sorted_keys[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_keys)], strict=True)
 
 
-def split_words(column: pa.Array):
-    flat, offsets = text_bytes(column)
-    flat = flat + (((flat >= 65) & (flat <= 90)) * np.uint8(32))
-    starts, ends = spans((flat == 32) | ((flat >= 9) & (flat <= 13)), offsets)
-    return flat, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, len(offsets) - 1
-
-
-def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The 2 * REACH ids around each word; PAD beyond the ends of its text."""
-    n = len(ids)
-    out = np.full((n, 2 * REACH), PAD, np.int64)
-    for k, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        a, b = max(0, -step), min(n, n - step)
-        if a < b:
-            same = row[a:b] == row[a + step : b + step]
-            out[a:b, k] = np.where(same, ids[a + step : b + step], PAD)
-    return out
+class Network:
+    """Weights of a network over ``size`` ranked ids; id ``size`` stands for what lies beyond a text."""
 
+    #: The weights that every batch changes, and those of rare ids, which are changed by rows.
+    DENSE = ("place", "inner", "bias", "kind", "kind_bias", "word", "word_bias", "group", "group_bias")
+    ROWS = ("embed", "slot")
 
-class Network:
-    SHAPES = {"embed": (PAD + 1, EMBED), "place": (2 * REACH, EMBED), "inner": (EMBED, HIDDEN), "bias": (HIDDEN,), "kind": (HIDDEN, CLASSES), "kind_bias": (CLASSES,), "word": (CLASSES, HIDDEN, WITHIN), "word_bias": (CLASSES, WITHIN)}
+    def __init__(self, size: int):
+        self.size = size
+        self.side = max(1, int(np.ceil(np.sqrt(max(0, size - HEAD)))))  # groups of the others, and ids of a group
 
-    def __init__(self, weights: dict[str, np.ndarray], tail: Tail | None = None):
-        self.w, self.tail = weights, tail
+    def shapes(self) -> dict[str, tuple]:
+        g = self.side
+        return {
+            "place": (2 * REACH, EMBED), "inner": (EMBED, HIDDEN), "bias": (HIDDEN,), "kind": (HIDDEN, KINDS), "kind_bias": (KINDS,), "word": (KINDS - 1, HIDDEN, WITHIN), "word_bias": (KINDS - 1, WITHIN),
+            "group": (HIDDEN, g), "group_bias": (g,), "embed": (self.size + 1, EMBED), "slot": (g, (HIDDEN + 1) * g),
+        }
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Network:
-        """Small random weights; biases at the log frequencies. counts: by id."""
-        rng = np.random.default_rng(seed)
-        tail = Tail.start(counts[PAD + 1 :], seed) if len(counts) > PAD else None
-        counts = counts[:PAD].astype(np.float64)
-        if tail:
-            counts[:BUCKETS] += tail.mass
-        w = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in cls.SHAPES.items()}
-        w["place"] = (1 + w["place"]).astype(np.float32)
+        """Small random weights; biases at the log frequencies. counts: by rank."""
+        net, rng = cls(len(counts)), np.random.default_rng(seed)
+        net.w = w = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in net.shapes().items()}
+        w["place"] += 1
         w["embed"] *= 3
         w["bias"] *= 0
-        by = (counts + 0.5).reshape(CLASSES, WITHIN)
-        w["kind_bias"] = np.log(by.sum(1) / by.sum()).astype(np.float32)
-        w["word_bias"] = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
-        return cls(w, tail and tail.beside(w))
+        mass = np.zeros(HEAD + net.side**2)
+        mass[: net.size] = counts + 0.5
+        head, tail = mass[:HEAD].reshape(-1, WITHIN), mass[HEAD:].reshape(net.side, net.side)
 
-    @classmethod
-    def of_vector(cls, flat: np.ndarray) -> Network:
-        out, at = {}, 0
-        for k, s in cls.SHAPES.items():
-            size = int(np.prod(s))
-            out[k] = flat[at : at + size].reshape(s).astype(np.float32)
-            at += size
-        if at == len(flat):
-            return cls(out)
-        return cls(out, Tail.of_vector(flat[at:]).beside(out))
+        def log_share(x, total):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(x > 0, np.log(x / total), -1e9).astype(np.float32)  # places without an id
 
-    def head(self) -> np.ndarray:
-        """All weights but those of the groups."""
-        return np.concatenate([self.w[k].ravel() for k in self.SHAPES]).astype(np.float64)
+        w["kind_bias"] = log_share(np.append(head.sum(1), tail.sum()), mass.sum())
+        w["word_bias"] = log_share(head, head.sum(1, keepdims=True))
+        w["group_bias"] = log_share(tail.sum(1), tail.sum())
+        w["slot"].reshape(net.side, HIDDEN + 1, net.side)[:, -1] = log_share(tail, tail.sum(1, keepdims=True))
+        return net
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([self.head(), self.tail.vector()]).astype(np.float32) if self.tail else self.head()
+    def slots(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weights and biases of the places of a group, as views."""
+        both = self.w["slot"][g].reshape(HIDDEN + 1, self.side)
+        return both[:-1], both[-1]
 
-    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.w
-        embed = self.tail.embed if self.tail else w["embed"]
-        total = np.zeros((len(around), EMBED), np.float32)
-        for k in range(2 * REACH):
-            total += embed[around[:, k]] * w["place"][k]
-        return total, np.tanh(total @ w["inner"] + w["bias"])
-
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-    def log_prob(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-        """log p(id | ids around it) for each word."""
+    # -- scoring
+
+    def ready(self) -> Network:
+        """What the inner layer gets from each id at each place: the weights are not changed any more."""
         w = self.w
-        _, h = self.hidden(around)
-        every, ids = ids, self.tail.heads(ids) if self.tail else ids
-        kind = ids // WITHIN
-        out = self._log_softmax(h @ w["kind"] + w["kind_bias"])[np.arange(len(ids)), kind].astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                out[rows] += self._log_softmax(h[rows] @ w["word"][c] + w["word_bias"][c])[np.arange(len(rows)), ids[rows] % WITHIN]
-        if self.tail:
-            rows = np.flatnonzero(every > PAD)
-            out[rows] += self.tail.log_prob(every[rows], h[rows])
+        self.given = [(w["embed"] * w["place"][k]) @ w["inner"] for k in range(2 * REACH)]
+        return self
+
+    def log_prob(self, flat: np.ndarray) -> np.ndarray:
+        """log p(id | ids around it) of each of the ranks in ``flat``, of which the outer REACH only surround others."""
+        w, n = self.w, len(flat) - 2 * REACH
+        x = np.empty((n, HIDDEN), np.float32)
+        x[:] = w["bias"]
+        for k, step in enumerate(STEPS):
+            x += self.given[k].take(flat[REACH + step : REACH + step + n], axis=0)
+        h = np.tanh(x, out=x)
+        ids = flat[REACH : REACH + n]
+        out = np.zeros(n, np.float64)
+        real = np.flatnonzero(ids < self.size)
+        kind = np.minimum(ids[real] // WITHIN, KINDS - 1).astype(np.uint8)
+        order = real[np.argsort(kind, kind="stable")]
+        kind = np.sort(kind, kind="stable")
+        h, ids = h.take(order, axis=0), ids[order].astype(np.int64)
+        got = log_softmax_at(h @ w["kind"] + w["kind_bias"], kind).astype(np.float64)
+        for c, a, b in runs(kind):
+            if c < KINDS - 1:
+                got[a:b] += log_softmax_at(h[a:b] @ w["word"][c] + w["word_bias"][c], ids[a:b] % WITHIN)
+                continue
+            tail, ht = ids[a:b] - HEAD, h[a:b]
+            by = np.argsort(tail, kind="stable")
+            tail, ht = tail[by], ht[by]
+            part = log_softmax_at(ht @ w["group"] + w["group_bias"], tail // self.side).astype(np.float64)
+            for g, s, e in runs(tail // self.side):
+                weights, bias = self.slots(g)
+                part[s:e] += log_softmax_at(ht[s:e] @ weights + bias, tail[s:e] % self.side)
+            got[a + by] += part
+        out[order] = got
         return out
 
-    def step(self, ids: np.ndarray, around: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
-        """One step of AdaGrad on the mean log loss of the words."""
-        w, n = self.w, len(ids)
-        total, h = self.hidden(around)
-        every, ids = ids, self.tail.heads(ids) if self.tail else ids
-        kind = ids // WITHIN
-        d_kind = np.exp(self._log_softmax(h @ w["kind"] + w["kind_bias"]))
-        d_kind[np.arange(n), kind] -= 1
-        grad = {"kind": h.T @ d_kind, "kind_bias": d_kind.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        d_h = d_kind @ w["kind"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                part = h[rows]
-                d = np.exp(self._log_softmax(part @ w["word"][c] + w["word_bias"][c]))
-                d[np.arange(len(rows)), ids[rows] % WITHIN] -= 1
-                grad["word"][c], grad["word_bias"][c] = part.T @ d, d.sum(0)
-                d_h[rows] += d @ w["word"][c].T
-        if self.tail:
-            rows = np.flatnonzero(every > PAD)
-            d_h[rows, : READ - 1] += self.tail.step(every[rows], h[rows], n, rate)
+    # -- training
+
+    def learn(self) -> Network:
+        """Squares of gradients: of each weight, or of each row of rare ids."""
+        self.squares = {k: np.full(self.w[k].shape, SQUARE, np.float32) for k in self.DENSE}
+        self.squares |= {k: np.full(len(self.w[k]), 1e-8, np.float32) for k in self.ROWS}
+        return self
+
+    def step(self, flat: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
+        """One step of AdaGrad on the mean log loss of the ids at the places ``at`` of ``flat``."""
+        w, n = self.w, len(at)
+        order = np.argsort(flat[at], kind="stable")
+        at = at[order]
+        ids = flat[at].astype(np.int64)
+        around = [flat[at + step] for step in STEPS]
+        seen = [w["embed"].take(x, axis=0) for x in around]
+        total = np.zeros((n, EMBED), np.float32)
+        for k, x in enumerate(seen):
+            total += x * w["place"][k]
+        h = np.tanh(total @ w["inner"] + w["bias"])
+        kind = np.minimum(ids // WITHIN, KINDS - 1)
+        d = softmax(h @ w["kind"] + w["kind_bias"])
+        d[np.arange(n), kind] -= 1
+        grad = {"kind": h.T @ d, "kind_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        d_h = d @ w["kind"].T
+        for c, a, b in runs(kind):
+            if c < KINDS - 1:
+                d = softmax(h[a:b] @ w["word"][c] + w["word_bias"][c])
+                d[np.arange(b - a), ids[a:b] % WITHIN] -= 1
+                grad["word"][c], grad["word_bias"][c] = h[a:b].T @ d, d.sum(0)
+                d_h[a:b] += d @ w["word"][c].T
+                continue
+            tail, ht = ids[a:b] - HEAD, h[a:b]
+            d = softmax(ht @ w["group"] + w["group_bias"])
+            d[np.arange(b - a), tail // self.side] -= 1
+            grad["group"], grad["group_bias"] = ht.T @ d, d.sum(0)
+            d_h[a:b] += d @ w["group"].T
+            for g, s, e in runs(tail // self.side):
+                weights, bias = self.slots(g)
+                d = softmax(ht[s:e] @ weights + bias)
+                d[np.arange(e - s), tail[s:e] % self.side] -= 1
+                d_h[a + s : a + e] += d @ weights.T
+                change = np.concatenate([ht[s:e].T @ d, d.sum(0)[None]]).ravel() / n
+                self._move("slot", np.array([g]), change[None], rate)
         d_pre = d_h * (1 - h * h)
         grad["inner"], grad["bias"] = total.T @ d_pre, d_pre.sum(0)
         d_total = d_pre @ w["inner"].T
-        grad["place"] = np.zeros_like(w["place"])
-        grad["embed"] = np.zeros_like(w["embed"])
-        embed, used, code = w["embed"], None, around
-        if self.tail:
-            embed = self.tail.embed
-            used, code = self.tail.codes(around)
-        most = len(used) if self.tail else PAD + 1
-        by_id = np.zeros((most, EMBED), grad["embed"].dtype)
-        for k in range(2 * REACH):
-            grad["place"][k] = (d_total * embed[around[:, k]]).sum(0)
-            each = d_total * w["place"][k]
-            for j in range(EMBED):
-                by_id[:, j] += np.bincount(code[:, k], each[:, j], most)
-        if self.tail:
-            cut = int(np.searchsorted(used, PAD, side="right"))
-            grad["embed"][used[:cut]] = by_id[:cut]
-            self.tail.step_embed(used[cut:], by_id[cut:] / n, rate)
-        else:
-            grad["embed"] = by_id
+        grad["place"] = np.stack([np.einsum("ij,ij->j", d_total, x) for x in seen])
+        every = np.concatenate(around)
+        by = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.append(True, every[by][1:] != every[by][:-1]))
+        each = np.concatenate([d_total * w["place"][k] for k in range(2 * REACH)])
+        self._move("embed", every[by][first].astype(np.int64), np.add.reduceat(each.take(by, axis=0), first, axis=0) / np.float32(n), rate)
         for k, g in grad.items():
-            g = g / n
-            squares[k] += g * g
-            w[k] -= (rate * g / (np.sqrt(squares[k]) + 1e-6)).astype(np.float32)
-
-
-class Tail:
-    """The groups of the buckets: their softmax within each bucket, the words' within each group, and embeddings.
+            g = g / np.float32(n)
+            self.squares[k] += g * g
+            w[k] -= rate * g / np.sqrt(self.squares[k])
 
-    An id beyond PAD is a place: bucket, group and slot. Squares of gradients are kept per row.
-    """
+    def _move(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        self.squares[name][rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        self.w[name][rows] -= rate * grad / np.sqrt(self.squares[name][rows])[:, None]
 
-    def __init__(self, embed: np.ndarray, group: np.ndarray, word: np.ndarray):
-        self.own, self.group, self.word = embed, group, word
-        self.groups = group.shape[1]
-        self.mass = None
+    # -- changes of weights, as integers
 
-    @classmethod
-    def start(cls, counts: np.ndarray, seed: int = 1) -> Tail:
-        rng = np.random.default_rng([seed, 1])
-        by = counts.reshape(BUCKETS, -1, WITHIN).astype(np.float64)
-        n = by.shape[1]
-        word = rng.normal(0, 0.1, (BUCKETS * n, WITHIN, READ)).astype(np.float32)
-        group = rng.normal(0, 0.1, (BUCKETS, n, READ)).astype(np.float32)
-        real = by > 0
-        real[:, 0, 0] = True  # rare words may come later
-        by = np.where(real, by + 0.5, 0.0)
-        each = by.sum(2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            word[:, :, -1] = np.where(real, np.log(by / each[:, :, None]), -1e9).reshape(-1, WITHIN)
-            group[:, :, -1] = np.where(each > 0, np.log(each / each.sum(1, keepdims=True)), -1e9)
-        out = cls((rng.normal(0, 0.3, (len(counts), EMBED))).astype(np.float32), group, word)
-        out.mass = by.sum((1, 2))
-        return out
+    def dense(self) -> np.ndarray:
+        return np.concatenate([self.w[k].ravel() for k in self.DENSE])
 
-    @classmethod
-    def of_vector(cls, flat: np.ndarray) -> Tail:
-        n = len(flat) // (BUCKETS * (WITHIN * EMBED + READ + WITHIN * READ))
-        a = BUCKETS * n * WITHIN * EMBED
-        b = a + BUCKETS * n * READ
-        flat = flat.astype(np.float32)
-        return cls(flat[:a].reshape(-1, EMBED), flat[a:b].reshape(BUCKETS, n, READ), flat[b:].reshape(-1, WITHIN, READ))
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([self.embed[PAD + 1 :].ravel(), self.group.ravel(), self.word.ravel()])
-
-    def beside(self, w: dict[str, np.ndarray]) -> Tail:
-        """Puts all embeddings into one table, of which the network's are the first rows."""
-        self.embed = np.concatenate([w["embed"], self.own])
-        self.own, w["embed"] = None, self.embed[: PAD + 1]
-        return self
-
-    def learn(self) -> Tail:
-        self.squares = {"embed": np.full(len(self.embed), RARE_SQUARE, np.float32), "group": np.full(self.group.shape[:2], RARE_SQUARE, np.float32), "word": np.full(self.word.shape[:2], RARE_SQUARE, np.float32)}
-        self.code = np.zeros(len(self.embed), np.int32)
-        return self
+    def put_dense(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in self.DENSE:
+            size = self.w[k].size
+            self.w[k] = flat[at : at + size].reshape(self.w[k].shape).astype(np.float32)
+            at += size
 
-    def heads(self, ids: np.ndarray) -> np.ndarray:
-        """The ids as the classes know them: a place is its bucket."""
-        return np.where(ids > PAD, (ids - PAD - 1) // (WITHIN * self.groups), ids)
-
-    def codes(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct ids, ascending, and for each id its number among them."""
-        self.code[around] = 1
-        used = np.flatnonzero(self.code)
-        self.code[used] = np.arange(len(used))
-        code = self.code[around]
-        self.code[used] = 0
-        return used, code
-
-    def _levels(self, ids: np.ndarray, h: np.ndarray):
-        """Order by place, and in it bucket, group, slot, and what the groups read of the hidden layer."""
-        order = np.argsort(ids, kind="stable")
-        leaf, slot = np.divmod(ids[order] - PAD - 1, WITHIN)
-        read = np.concatenate([h[order, : READ - 1], np.ones((len(ids), 1), h.dtype)], 1)
-        cuts = np.searchsorted(leaf, np.arange(BUCKETS + 1) * self.groups)
-        return order, leaf, slot, read, cuts
-
-    def log_prob(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-        order, leaf, slot, read, cuts = self._levels(ids, h)
-        got = np.zeros(len(ids))
-        for b in range(BUCKETS):
-            r = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                got[r] = Network._log_softmax(read[r] @ self.group[b].T)[np.arange(cuts[b + 1] - cuts[b]), leaf[r] - b * self.groups]
-        x = np.matmul(self.word[leaf], read[:, :, None])[:, :, 0]
-        got += Network._log_softmax(x)[np.arange(len(ids)), slot]
-        out = np.empty(len(ids))
-        out[order] = got
+    def copy(self) -> Network:
+        out = Network(self.size)
+        out.w = {k: v.copy() for k, v in self.w.items()}
         return out
 
-    def step(self, ids: np.ndarray, h: np.ndarray, n: int, rate: float) -> np.ndarray:
-        """A step on the groups' weights; gives back the gradient by the hidden units they read."""
-        if not len(ids):
-            return np.zeros((0, READ - 1), h.dtype)
-        order, leaf, slot, read, cuts = self._levels(ids, h)
-        d_read = np.zeros_like(read)
-        for b in range(BUCKETS):
-            r, m = slice(cuts[b], cuts[b + 1]), cuts[b + 1] - cuts[b]
-            if m:
-                d = np.exp(Network._log_softmax(read[r] @ self.group[b].T))
-                d[np.arange(m), leaf[r] - b * self.groups] -= 1
-                d_read[r] = d @ self.group[b]
-                self._move(self.group, self.squares["group"], b, (d.T @ read[r]) / n, rate)
-        weights = self.word[leaf]
-        d = np.exp(Network._log_softmax(np.matmul(weights, read[:, :, None])[:, :, 0]))
-        d[np.arange(len(ids)), slot] -= 1
-        d_read += np.matmul(d[:, None, :], weights)[:, 0]
-        first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-        grad = np.add.reduceat(np.multiply(d[:, :, None], read[:, None, :], out=weights), first, axis=0) / np.float32(n)
-        self._move(self.word, self.squares["word"], leaf[first], grad, rate)
-        out = np.empty((len(ids), READ - 1), h.dtype)
-        out[order] = d_read[:, : READ - 1]
-        return out
 
-    def step_embed(self, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        self._move(self.embed, self.squares["embed"], rows, grad, rate)
+STEPS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
-    @staticmethod
-    def _move(table_: np.ndarray, squares: np.ndarray, rows, grad: np.ndarray, rate: float) -> None:
-        squares[rows] += np.square(grad).mean(-1)
-        table_[rows] -= (rate * grad / np.sqrt(squares[rows])[..., None]).astype(np.float32)
 
-    def changes(self, start: Tail, seen: np.ndarray, words: int):
-        """(key, occurrences, changes as 16-bit integers): of each group seen, and under -1 - b of each bucket."""
+class Changes:
+    """Sums over shards of changes times occurrences, as integers, so that any order gives the same."""
 
-        def packed(x: np.ndarray) -> np.ndarray:
-            return np.clip(np.rint(x * np.float32(GROUP_UNIT)), -32767, 32767).astype("<i2")
+    def __init__(self, net: Network):
+        self.net, self.words, self.dense = net, 0, np.zeros(len(net.dense()), np.int64)
+        self.seen = {k: np.zeros(len(net.w[k]), np.int64) for k in net.ROWS}
+        self.sums = {k: np.zeros(net.w[k].shape, np.int64) for k in net.ROWS}
 
-        seen = seen.reshape(-1, WITHIN)
-        for g in np.flatnonzero(seen.any(1)).tolist():
-            rows = slice(PAD + 1 + g * WITHIN, PAD + 1 + (g + 1) * WITHIN)
-            yield g, seen[g], packed(np.concatenate([self.embed[rows] - start.embed[rows], self.word[g] - start.word[g]], 1))
-        for b in range(BUCKETS):
-            yield -1 - b, np.array([words]), packed(self.group[b] - start.group[b])
+    def add(self, start: Network, met: dict[str, np.ndarray], words: int) -> None:
+        """What a shard changed. met: occurrences that moved each row."""
+        whole = lambda x: np.rint(x * np.float32(UNIT)).astype(np.int64)
+        self.words += words
+        self.dense += words * whole(self.net.dense() - start.dense())
+        for k, n in met.items():
+            rows = np.flatnonzero(n)
+            self.seen[k][rows] += n[rows]
+            self.sums[k][rows] += n[rows, None] * whole(self.net.w[k][rows] - start.w[k][rows])
 
-    def change(self, key: int, by: np.ndarray) -> None:
-        if key < 0:
-            self.group[-1 - key] += by.reshape(self.groups, READ)
-        else:
-            by = by.reshape(WITHIN, EMBED + READ)
-            self.embed[PAD + 1 + key * WITHIN : PAD + 1 + (key + 1) * WITHIN] += by[:, :EMBED]
-            self.word[key] += by[:, EMBED:]
+    def blocks(self):
+        """(name, block, occurrences by row, sums) of what was seen, in blocks of bounded bytes."""
+        if self.words:
+            yield "dense", 0, np.array([self.words]), self.dense
+        for k in self.net.ROWS:
+            step = max(1, BLOCK * EMBED // self.net.w[k].shape[1])
+            some = np.unique(np.flatnonzero(self.seen[k]) // step)
+            for b in some.tolist():
+                rows = slice(b * step, (b + 1) * step)
+                yield k, b, self.seen[k][rows], self.sums[k][rows]
 
 
-def mean_changes(batches):
-    """Sums the changes of equal keys as integers, weighted by occurrences, and divides once."""
-    held: dict[int, list[np.ndarray]] = {}
+def sum_blocks(batches):
+    """Adds up blocks of equal names; rows arrive in any order."""
+    held: dict[tuple, list[np.ndarray]] = {}
     for batch in batches:
-        for key, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n, v = np.frombuffer(n, np.int64), np.frombuffer(v, "<i2").astype(np.int64)
-            if key < 0:
-                v = v * n[0]
-            else:
-                v = v.reshape(WITHIN, EMBED + READ)
-                v = np.concatenate([v[:, :EMBED] * n[:, None], v[:, EMBED:] * n.sum()], 1).ravel()
-            if key in held:
-                held[key][0] += n
-                held[key][1] += v
+        for name, block, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, v = np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
+            if (name, block) in held:
+                held[name, block][0] += n
+                held[name, block][1] += v
             else:
-                held[key] = [n.copy(), v]
-    for key, (n, v) in held.items():
-        if key < 0:
-            mean = v / n[0]
-        else:
-            v = v.reshape(WITHIN, EMBED + READ)
-            mean = np.concatenate([v[:, :EMBED] / np.maximum(n, 1)[:, None], v[:, EMBED:] / n.sum()], 1).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([(mean / GROUP_UNIT).astype("<f4").tobytes()], pa.binary())], names=["key", "v"])
+                held[name, block] = [n.copy(), v.copy()]
+    for (name, block), (n, v) in held.items():
+        by = np.maximum(np.repeat(n, len(v) // len(n)), 1)
+        mean = (v.astype(np.float64) / by / UNIT).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([mean.tobytes()], pa.binary())], names=["name", "block", "mean"])
 
 
 # ------------------------------------------------------------------------------------------- Spark
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over the whole corpus; a row per distinct word and slice before the shuffle."""
+def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, tie (a hash of the text), n_words, ids (little-endian u16 or u32), width."""
 
     def run(batches):
+        enc = encoder(vocabulary)
         for batch in batches:
-            for first, last in slices(batch.column(1)):
-                flat, starts, ends, _, _ = split_words(batch.column(1).slice(first, last - first))
-                if len(starts):
-                    codes, rep = intern(flat, starts, ends)
-                    yield pa.RecordBatch.from_arrays([pa.array(words_of(flat, starts, ends, rep), pa.binary()), pa.array(np.bincount(codes, minlength=len(rep)))], names=["word", "n"])
-
-    return id_text(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray, DataFrame]:
-    """The words of the vocabulary by falling count, their counts, and the counts of all other words."""
-    often = counts.where(F.col("n") >= FLOOR)
-    if often.count() > VOCABULARY:
-        got, rest = often.toArrow(), counts.where(F.col("n") < FLOOR)
-    else:
-        got = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
-        known = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in got["word"].to_pylist()], "word binary"))
-        rest = counts.join(known, "word", "left_anti")
-    got = got.sort_by([("n", "descending"), ("word", "ascending")])
-    return got["word"].to_pylist(), got["n"].to_numpy(), rest
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of the vocabulary, the log share of a rare word by id, and the weights."""
-    spark = docs.sparkSession
-    counts = word_counts(docs).persist()
-    words, often, rest = vocabulary(counts)
-    rest = rest.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
-    counts.unpersist()
-    groups = groups_for(len(words))
-    places = PAD + 1 + BUCKETS * groups * WITHIN if groups else PAD
-    mass, share, rare = np.zeros(places), np.zeros(places), rare_ids(groups)
-    for r in rest:
-        mass[rare[r.bucket]], share[rare[r.bucket]] = r.n, -np.log(r.words)
-    mass[ids_of(len(words))] = often
-    vector = Network.start(mass).vector()
-    belongs = F.pmod(F.xxhash64("text"), F.lit(rounds))
+            column = batch.column(1)
+            for first, ids, counts in enc.encode_slices(column):
+                size, n = enc.dtype.itemsize, len(counts)
+                at, raw = np.append(0, np.cumsum(counts)) * size, ids.tobytes()
+                flat, offsets = text_bytes(column.slice(first, n))
+                starts, _ = spans((flat == 32) | ((flat >= 9) & (flat <= 13)), offsets)
+                words = np.bincount(np.searchsorted(offsets, starts, side="right") - 1, minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(words, pa.int64()), pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()), pa.array([size] * n, pa.int32())],
+                    names=["doc_id", "tie", "n_words", "ids", "width"],
+                )
+
+    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, n_words long, ids binary, width int")
+
+
+def padded(rank: np.ndarray, rows: list[bytes], width: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of all rows with REACH pads before, between and after them; the place of each row's first rank, and its length."""
+    size = np.array([len(x) // width for x in rows], np.int64)
+    first = REACH + np.cumsum(size + REACH) - (size + REACH)
+    flat = np.full(REACH + int((size + REACH).sum()), pad, rank.dtype)
+    flat[ragged(first, size)] = rank[np.frombuffer(b"".join(rows), f"<u{width}")]
+    return flat, first, size
+
+
+def masked(first: np.ndarray, size: np.ndarray, ties: np.ndarray, every: int) -> np.ndarray:
+    """The places of the masked tokens: each ``every``-th of a row, from an offset that its hash gives."""
+    offset = (ties.astype(np.int64) >> 7) % every
+    count = np.maximum(0, -(-(size - offset) // every))
+    return np.repeat(first + offset, count) + every * ragged(np.zeros(len(count), np.int64), count)
+
+
+def train(toks: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> tuple[np.ndarray, Network]:
+    """The rank of each id, and the network. counts: of each id over all of ``toks`` (see ``tokens``)."""
+    spark = toks.sparkSession
+    rank = np.empty(len(counts), np.uint16 if len(counts) < 1 << 16 else np.uint32)
+    by = np.lexsort((np.arange(len(counts)), -counts))
+    rank[by] = np.arange(len(counts))
+    net = Network.start(counts[by])
+    shards = max(1, -(-int(counts.sum()) // (rounds * shard_tokens)))
+    n_tasks = min(shards, TASKS)
+    dealt = toks.where(F.length("ids") > 0).select("doc_id", "tie", "ids", "width", F.xxhash64("doc_id", "tie").alias("hash"))
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((words, vector))
+        shared = spark.sparkContext.broadcast((rank, net))
 
         def learn(batches, shared=shared):
-            words, start = shared.value
-            net, coder, seen = Network.of_vector(start), Words(words), 0
-            squares = {k: np.full(s, 1e-4, np.float32) for k, s in Network.SHAPES.items()}
-            tail = net.tail and net.tail.learn()
-            met = np.zeros(places, np.int64)
+            rank, start = shared.value
+            net = start.copy()
+            changes, pad = Changes(net), start.size
+            met = words = shard = None
+            held, ties, weight = [], [], 0
+
+            def flush():
+                nonlocal held, ties, weight, words
+                flat, first, size = padded(rank, held, width, pad)
+                at = masked(first, size, np.array(ties, np.int64), MASK)
+                for s in range(0, len(at), BATCH):
+                    net.step(flat, at[s : s + BATCH])
+                words += len(at)
+                for step in STEPS:
+                    met["embed"] += np.bincount(flat[at + step], minlength=pad + 1)
+                tail = flat[at][flat[at] >= HEAD].astype(np.int64) - HEAD
+                met["slot"] += np.bincount(tail // net.side, minlength=net.side)
+                held, ties, weight = [], [], 0
+
+            def close():
+                if held:
+                    flush()
+                if shard is not None:
+                    changes.add(start, met, words)
+
             for batch in batches:
-                for first, last in slices(batch.column(0)):
-                    ids, row = coder.of(batch.column(0).slice(first, last - first))
-                    around = contexts(ids, row)
-                    for at in range(0, len(ids), BATCH):
-                        net.step(ids[at : at + BATCH], around[at : at + BATCH], squares)
-                    seen += len(ids)
-                    if tail:
-                        met += np.bincount(ids, minlength=places)
-            if not seen:
-                return
-            got = np.rint(net.head() * UNIT).astype(np.int64)
-            none = pa.nulls(len(got) + 1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(got)), -1)), pa.array(np.append(got, 0)), pa.array(np.full(len(got) + 1, np.int64(seen))), none, none], names=["i", "v", "n", "many", "by"])
-            if tail:
-                held = []
-                for one in tail.changes(Network.of_vector(start).tail, met[PAD + 1 :], seen):
-                    held.append(one)
-                    if len(held) == 512:
-                        yield _changed(held)
-                        held = []
-                yield _changed(held)
-
-        part = id_text(docs).where(belongs == k).select("text").mapInArrow(learn, "i long, v long, n long, many binary, by binary")
-        path = scratch_path(spark, "weights")
-        part.write.option("compression", "zstd").parquet(path)
-        part = spark.read.schema(part.schema).parquet(path)
-        sums = part.where("by is null").groupBy("i").agg(F.sum((F.col("v") * F.col("n")).cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n")).collect()  # as many rows as weights
-        if sums:
-            net = Network.of_vector(vector)
-            fresh = np.zeros(len(sums) - 1)
-            for r in sums:
-                if r.i >= 0:
-                    fresh[r.i] = float(r.v) / r.n / UNIT
-            if net.tail:
-                means = part.where("by is not null").select("i", "many", "by").repartition("i").mapInArrow(mean_changes, "key long, v binary").toArrow()
-                for key, v in zip(means["key"], means["v"], strict=True):
-                    net.tail.change(key.as_py(), np.frombuffer(v.as_py(), "<f4"))
-                vector = np.concatenate([fresh, net.tail.vector()]).astype(np.float32)
+                for one, tie, ids, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if one != shard:
+                        close()
+                        shard, words, met = one, 0, {k: np.zeros(len(start.w[k]), np.int64) for k in start.ROWS}
+                        net.w = {k: v.copy() for k, v in start.w.items()}
+                        net.learn()
+                    held.append(ids)
+                    ties.append(tie)
+                    weight += len(ids)
+                    if weight >= PIECE * width:
+                        flush()
+            close()
+            for name, block, n, v in changes.blocks():
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())], names=["name", "block", "n", "v"])
+
+        mine = dealt.where(F.pmod(F.shiftright("hash", 40), F.lit(rounds)) == k).withColumn("shard", F.pmod("hash", F.lit(shards)))
+        ordered = mine.repartitionById(n_tasks, F.pmod("shard", F.lit(n_tasks)).cast("int")).sortWithinPartitions("shard", "tie", "doc_id")
+        parts = materialise(ordered.select("shard", "tie", "ids", "width").mapInArrow(learn, "name string, block long, n binary, v binary"), "changes")
+        means = parts.repartition("name", "block").mapInArrow(sum_blocks, "name string, block long, mean binary")
+        net = net.copy()
+        for r in means.toLocalIterator():  # together as large as the weights
+            mean = np.frombuffer(bytes(r.mean), "<f4")
+            if r.name == "dense":
+                net.put_dense(net.dense() + mean)
             else:
-                vector = fresh
+                step = max(1, BLOCK * EMBED // net.w[r.name].shape[1])
+                net.w[r.name][r.block * step : (r.block + 1) * step] += mean.reshape(-1, net.w[r.name].shape[1])
         shared.destroy()
-        remove(spark, path)
-    return words, share, vector
-
+    return rank, net
 
-def _changed(rows: list) -> pa.RecordBatch:
-    none = pa.nulls(len(rows), pa.int64())
-    many, by = ([x.tobytes() for x in col] for col in ([n.astype(np.int64) for _, n, _ in rows], [v for _, _, v in rows]))
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), none, none, pa.array(many, pa.binary()), pa.array(by, pa.binary())], names=["i", "v", "n", "many", "by"])
 
-
-def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_words, log_likelihood (the sum), mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(toks: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
+    """doc_id, n_words, n_tokens, log_likelihood (the sum over tokens), mean_log_likelihood (a token's)."""
+    shared = toks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        words, share, vector = shared.value
-        net, coder = Network.of_vector(vector), Words(words)
+        rank, net = shared.value
+        net.ready()
         for batch in batches:
-            for first, last in slices(batch.column(1)):
-                n = last - first
-                ids, row = coder.of(batch.column(1).slice(first, n))
-                around = contexts(ids, row)
-                each = np.concatenate([np.zeros(0), *(net.log_prob(ids[k : k + BATCH], around[k : k + BATCH]) for k in range(0, len(ids), BATCH))])
-                each += share[ids]
-                many = np.bincount(row, minlength=n)
-                total = np.bincount(row, weights=each, minlength=n)
-                mean = pa.array(total / np.maximum(many, 1), mask=many == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(many, pa.int64()), pa.array(total, pa.float64()), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            ids, widths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            at = 0
+            while at < len(ids):
+                to, weight = at, 0
+                while to < len(ids) and (to == at or weight + len(ids[to]) <= 2 * PIECE * widths[at]):
+                    weight += len(ids[to])
+                    to += 1
+                flat, first, size = padded(rank, ids[at:to], widths[at], net.size)
+                each = np.zeros(len(flat) + 1)
+                for s in range(0, len(flat) - 2 * REACH, PIECE):
+                    part = flat[s : s + PIECE + 2 * REACH]
+                    each[s + REACH : s + len(part) - REACH] = net.log_prob(part)
+                some = size > 0
+                total = np.zeros(to - at)
+                if some.any():
+                    sums = np.add.reduceat(each, np.column_stack([first[some], first[some] + size[some]]).ravel())[::2]
+                    total[some] = sums
+                mean = pa.array(total / np.maximum(size, 1), mask=~some)
+                n = to - at
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size), pa.array(total), mean], names=["doc_id", "n_words", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                at = to
+
+    return toks.select("doc_id", "n_words", "ids", "width").mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+
+
+def prepared(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The tokens as a table in the shared folder, and the counts of all ids."""
+    toks = materialise(tokens(docs, vocabulary or default_vocabulary()), "tokens")
+    return toks, global_counts(toks)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    toks, counts = prepared(table(spark, sf_dir, "documents"))
+    return score(toks, train(toks, counts))
