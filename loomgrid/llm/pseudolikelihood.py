@@ -9,14 +9,14 @@ softmaxes predict their group and the place within it. So a prediction is a prop
 Training is numpy on the executors, by masked positions: of every document each ``MASK``-th token is masked and
 predicted from its surroundings, all others only surround it. Documents are dealt by a hash of their id and text into
 shards whose number follows the corpus' tokens, and each shard is sorted, so what a shard trains on does not depend on
-files or partitions. In each of ``ROUNDS`` rounds every shard starts from the same weights and learns from its share
+files or partitions: weights are the same to the last bit, and scores but for the rounding of products. In each of ``ROUNDS`` rounds every shard starts from the same weights and learns from its share
 (a document belongs to one round); changes, as integers weighted by the occurrences a shard saw, are summed in any
 order and divided once. Only one set of weights comes to the driver, whose size is that of the vocabulary.
 
 A document's score is the sum over all its tokens of log p(token | tokens around it).
 
-Defined results: a text without tokens (null, empty) has sum 0 and a null mean; repeated rows get equal scores, and
-train side by side in one shard; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
+Defined results: a text without tokens (null, empty) has sum 0 and a null mean; repeated rows get equal scores (to
+rounding), and train side by side in one shard; an empty table gives no rows; a null doc_id is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ KINDS, WITHIN, REACH, EMBED, HIDDEN = 32, 32, 3, 16, 32
 #: Ids that have a place in a class; the last class stands for all others.
 HEAD = (KINDS - 1) * WITHIN
 ROUNDS, MASK, BATCH, RATE = 2, 6, 2048, 0.2
-#: Tokens of a shard, tokens that are trained on or scored at once, and tasks that shards are dealt to at most.
-SHARD_TOKENS, PIECE, TASKS = 4_000_000, 1 << 16, 4096
+#: Tokens of a shard, tokens that are read at once and scored at once, and tasks that shards are dealt to at most.
+SHARD_TOKENS, PIECE, SCORED, TASKS = 4_000_000, 1 << 16, 1 << 14, 4096
 #: Start of the squares of gradients, and the unit of changes as integers.
 SQUARE, UNIT = 1e-4, float(1 << 20)
 #: Rows of the embeddings that travel as one block.
@@ -44,19 +44,26 @@ BLOCK = 256
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, a distribution per row."""
-    x -= x.max(1, keepdims=True)
+    """In place, a distribution per column; columns are cases, so that sums and maxima run along memory."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x.sum(0)
     return x
 
 
-def log_softmax_at(x: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row of x, at one column; x is spent."""
-    x -= x.max(1, keepdims=True)
-    at = x[np.arange(len(x)), col]
+def log_softmax_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each column of x, at one place; x is spent."""
+    x -= x.max(0)
+    at = x[place, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    return at - np.log(x.sum(1))
+    return at - np.log(x.sum(0))
+
+
+def logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A row per place, a column per case."""
+    x = weights.T @ h.T
+    x += bias[:, None]
+    return x
 
 
 def runs(sorted_keys: np.ndarray):
@@ -133,18 +140,18 @@ class Network:
         order = real[np.argsort(kind, kind="stable")]
         kind = np.sort(kind, kind="stable")
         h, ids = h.take(order, axis=0), ids[order].astype(np.int64)
-        got = log_softmax_at(h @ w["kind"] + w["kind_bias"], kind).astype(np.float64)
+        got = log_softmax_at(logits(w["kind"], w["kind_bias"], h), kind).astype(np.float64)
         for c, a, b in runs(kind):
             if c < KINDS - 1:
-                got[a:b] += log_softmax_at(h[a:b] @ w["word"][c] + w["word_bias"][c], ids[a:b] % WITHIN)
+                got[a:b] += log_softmax_at(logits(w["word"][c], w["word_bias"][c], h[a:b]), ids[a:b] % WITHIN)
                 continue
             tail, ht = ids[a:b] - HEAD, h[a:b]
             by = np.argsort(tail, kind="stable")
             tail, ht = tail[by], ht[by]
-            part = log_softmax_at(ht @ w["group"] + w["group_bias"], tail // self.side).astype(np.float64)
+            part = log_softmax_at(logits(w["group"], w["group_bias"], ht), tail // self.side).astype(np.float64)
             for g, s, e in runs(tail // self.side):
                 weights, bias = self.slots(g)
-                part[s:e] += log_softmax_at(ht[s:e] @ weights + bias, tail[s:e] % self.side)
+                part[s:e] += log_softmax_at(logits(weights, bias, ht[s:e]), tail[s:e] % self.side)
             got[a + by] += part
         out[order] = got
         return out
@@ -170,28 +177,28 @@ class Network:
             total += x * w["place"][k]
         h = np.tanh(total @ w["inner"] + w["bias"])
         kind = np.minimum(ids // WITHIN, KINDS - 1)
-        d = softmax(h @ w["kind"] + w["kind_bias"])
-        d[np.arange(n), kind] -= 1
-        grad = {"kind": h.T @ d, "kind_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        d_h = d @ w["kind"].T
+        d = softmax(logits(w["kind"], w["kind_bias"], h))
+        d[kind, np.arange(n)] -= 1
+        grad = {"kind": h.T @ d.T, "kind_bias": d.sum(1), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        d_h = d.T @ w["kind"].T
         for c, a, b in runs(kind):
             if c < KINDS - 1:
-                d = softmax(h[a:b] @ w["word"][c] + w["word_bias"][c])
-                d[np.arange(b - a), ids[a:b] % WITHIN] -= 1
-                grad["word"][c], grad["word_bias"][c] = h[a:b].T @ d, d.sum(0)
-                d_h[a:b] += d @ w["word"][c].T
+                d = softmax(logits(w["word"][c], w["word_bias"][c], h[a:b]))
+                d[ids[a:b] % WITHIN, np.arange(b - a)] -= 1
+                grad["word"][c], grad["word_bias"][c] = h[a:b].T @ d.T, d.sum(1)
+                d_h[a:b] += d.T @ w["word"][c].T
                 continue
             tail, ht = ids[a:b] - HEAD, h[a:b]
-            d = softmax(ht @ w["group"] + w["group_bias"])
-            d[np.arange(b - a), tail // self.side] -= 1
-            grad["group"], grad["group_bias"] = ht.T @ d, d.sum(0)
-            d_h[a:b] += d @ w["group"].T
+            d = softmax(logits(w["group"], w["group_bias"], ht))
+            d[tail // self.side, np.arange(b - a)] -= 1
+            grad["group"], grad["group_bias"] = ht.T @ d.T, d.sum(1)
+            d_h[a:b] += d.T @ w["group"].T
             for g, s, e in runs(tail // self.side):
                 weights, bias = self.slots(g)
-                d = softmax(ht[s:e] @ weights + bias)
-                d[np.arange(e - s), tail[s:e] % self.side] -= 1
-                d_h[a + s : a + e] += d @ weights.T
-                change = np.concatenate([ht[s:e].T @ d, d.sum(0)[None]]).ravel() / n
+                d = softmax(logits(weights, bias, ht[s:e]))
+                d[tail[s:e] % self.side, np.arange(e - s)] -= 1
+                d_h[a + s : a + e] += d.T @ weights.T
+                change = np.concatenate([ht[s:e].T @ d.T, d.sum(1)[None]]).ravel() / n
                 self._move("slot", np.array([g]), change[None], rate)
         d_pre = d_h * (1 - h * h)
         grad["inner"], grad["bias"] = total.T @ d_pre, d_pre.sum(0)
@@ -407,8 +414,8 @@ def score(toks: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
                     to += 1
                 flat, first, size = padded(rank, ids[at:to], widths[at], net.size)
                 each = np.zeros(len(flat) + 1)
-                for s in range(0, len(flat) - 2 * REACH, PIECE):
-                    part = flat[s : s + PIECE + 2 * REACH]
+                for s in range(0, len(flat) - 2 * REACH, SCORED):
+                    part = flat[s : s + SCORED + 2 * REACH]
                     each[s + REACH : s + len(part) - REACH] = net.log_prob(part)
                 some = size > 0
                 total = np.zeros(to - at)
