@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, materialise, table
 from .wordtable import intern, slices, spans, text_bytes, words_of
 
-FIT_ROWS, LEXICON, LEAST_ODDS, CUT = 24_000, 2_000, 2.3, 0.7
+#: Parameters of the fit: labelled rows, terms of the lexicon, and the toxic documents and log odds that a term needs.
+FIT_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS, CUT = 24_000, 2_000, 3, 2.3, 0.7
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deinen deiner deines ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros vuestro vuestra".split())
 FEATURES = ("word_density", "stem_density", "hits", "strongest", "odds_density", "near_second", "second_density", "capitals", "shouted", "exclaims", "questions", "marks", "obfuscated", "digits", "log_words", "word_length")
@@ -60,7 +61,7 @@ def term_counts(column: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, int],
     at = np.searchsorted(owner, np.arange(len(toxic) + 1))
     for r in range(len(toxic)):
         mine = found[0 if toxic[r] else 1]
-        for t in {t for c in code[at[r] : at[r + 1]].tolist() for t in _terms(words[c][:40])}:
+        for t in {t for c in code[at[r] : at[r + 1]].tolist() for t in _terms(words[c])}:
             mine[t] = mine.get(t, 0) + 1
     return found
 
@@ -94,7 +95,7 @@ def features_of(column: pa.Array, lexicon: dict[bytes, float]) -> np.ndarray:
         for k, w in enumerate(words_of(folded, starts, ends, rep)):
             if w[:3] in heads:
                 second[k] = w in people
-                terms = _terms(w[:40])
+                terms = _terms(w)
                 whole[k] = lexicon.get(terms[0], 0.0)
                 stem[k] = max((lexicon.get(t, 0.0) for t in terms[1:]), default=0.0)
         whole, stem, second = whole[codes], stem[codes], second[codes]
@@ -251,10 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     learned = sample.where("part < 5")
     sizes = {r.toxic: r.n for r in learned.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    least = 3 if bad < 200 else 6
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     counts = learned.select("text", "toxic").mapInArrow(count, "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = counts.where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(LEXICON)
+    top = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(LEXICON)
     lexicon = {bytes(r.term): float(r.odds) for r in top.select("term", "odds").collect()}
 
     def extract(batches):
