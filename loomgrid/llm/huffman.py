@@ -17,6 +17,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -197,7 +198,7 @@ def global_counts(toks: DataFrame) -> np.ndarray:
     return counts
 
 
-def write(toks: DataFrame, path: str, lengths: np.ndarray, n_ids: int) -> None:
+def write(toks: DataFrame, path: str, lengths: np.ndarray, n_ids: int, file_ids: int = FILE_IDS, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes the files: documents in ascending doc_id order, part after part."""
     codes = canonical(lengths)
 
@@ -211,19 +212,21 @@ def write(toks: DataFrame, path: str, lengths: np.ndarray, n_ids: int) -> None:
             for doc_id, raw, width in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 ids, at = np.frombuffer(raw, f"<u{width}").astype(np.int64), 0
                 while at < len(ids):
-                    take = min(len(ids) - at, BLOCK_TOKENS - held)
+                    take = min(len(ids) - at, block_tokens - held)
                     ids_of.append(NULL_ID if doc_id is None else doc_id)
                     sizes_of.append(take)
                     parts.append(ids[at : at + take])
                     at, held = at + take, held + take
-                    if held == BLOCK_TOKENS:
+                    if held == block_tokens:
                         yield block()
                         ids_of, sizes_of, parts, held, continues = [], [], [], 0, at < len(ids)
         if held:
             yield block()
 
-    n_files = max(1, -(-n_ids // FILE_IDS))
-    ordered = toks.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    n_files = max(1, -(-n_ids // file_ids))
+    # the place in the table of tokens parts rows that are alike in all else, so that a range never grows beyond its share
+    by = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("place")]
+    ordered = toks.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n_files, *by).sortWithinPartitions(*by)
     # the text writer puts the bytes of a string out as they are, and a line feed after each block
     ordered.select("doc_id", "ids", "width").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
@@ -257,19 +260,25 @@ def read(spark, path: str, lengths: np.ndarray, with_ids: bool = False) -> DataF
     return files.mapInArrow(run, "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Encodes, writes and reads back; ``start`` counts the ids of all documents before, over all files."""
+def part_number(name: str) -> int:
+    """The number of a part file: names are padded to five digits only, so they don't sort by it."""
+    return int(re.match(r"part-(\d+)", name)[1])
+
+
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None, with_ids: bool = False, **sizes_of) -> DataFrame:
+    """Encodes, writes and reads back; ``start`` counts the ids of all documents before, over all
+    files. ``sizes_of``: file_ids and block_tokens of ``write``."""
     spark = docs.sparkSession
     toks = materialise(tokens(docs, vocabulary, end_id), "tokens")
     counts = global_counts(toks)
     lengths = code_lengths(counts)
     path = path or scratch_path(spark, "huffman")
-    write(toks, path, lengths, int(counts.sum()))
+    write(toks, path, lengths, int(counts.sum()), **sizes_of)
     rows = materialise(read(spark, path, lengths, with_ids), "decoded")
     # one row per file, in the order of the parts; a single running sum over the files
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
     before, total = [], 0
-    for r in sorted(sizes, key=lambda r: r.file):
+    for r in sorted(sizes, key=lambda r: part_number(r.file)):
         before.append((r.file, total))
         total += r.n
     starts = spark.createDataFrame(before, "file string, _before long")
