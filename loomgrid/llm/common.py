@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that are dealt over several tasks at most, and rows of a key that are never dealt further.
+HOT_KEYS, FEW = 10_000, 100
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a folder of our own is made and set.
+    Only on one machine (a local master, as in tests) a folder of our own is made and set where the session names none.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,3 +57,17 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def crc_fold(col) -> object:
     """crc32 of the id as text, mod 3."""
     return F.crc32(col.cast("string").cast("binary")) % 3
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """``left`` with the one row of its key in ``right``, whose column ``n`` has the rows of ``left`` with that key.
+
+    Keys with more than a share of 1 / HOT_KEYS of the ``total`` rows are HOT_KEYS at most, so these and the parts they
+    are dealt to can be broadcast; no task gathers more than such a share (or FEW rows) of a key.
+    """
+    limit = max(FEW, -(-total // HOT_KEYS))
+    parts = F.greatest(F.ceil(F.col(n) / limit), F.lit(1)).cast("long")
+    hot = right.where(F.col(n) > limit).select(key, parts.alias("_parts"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")

@@ -3,14 +3,15 @@
 Writing: a response record holds an HTTP message in chunked transfer framing. A message longer than a segment goes
 into a first record and continuation records, which name the first as their origin and are numbered; the last gives
 the total length. Of rows with equal payloads of ``LEAST`` bytes or more, those with the smallest page_id are
-responses and the others revisits without a payload. Archives are compressed files of records, written by Spark's own writer.
+responses and the others revisits without a payload. A record is a gzip member of its own, so archives can be read from
+any record on; files are written by Spark's own writer and hold a bounded number of records.
 
 Reading: records are found by their Content-Length. A whole message is decoded where it is read; segments are
 grouped by origin, ordered by number, checked against the total length, joined and decoded. Only segments are
 shuffled, and a group is one record's segments.
 
-Defined results: null html is an empty payload; a null page_id is written without an id and never referred to
-(rows of equal payloads that all lack an id are responses); repeated rows are records of their own, and all rows that
+Defined results: null html is an empty payload; a null page_id is written without an id and never referred to; it is
+a revisit where a row with an id has its payload (rows of equal payloads that all lack an id are responses); repeated rows are records of their own, and all rows that
 carry the smallest page_id of equal payloads are responses; an empty table gives no rows; a null url leaves the target
 out; other columns are ignored. A record with missing segments or a wrong total length raises an error.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
+import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import materialise, scratch_path, spread_join, table
 
-#: Payloads below LEAST bytes are never revisits; a record's block has at most SEGMENT bytes, a chunk at most CHUNK.
-LEAST, SEGMENT, CHUNK = 100, 32_768, 8_192
+#: Payloads below LEAST bytes are never revisits; a record's block has at most SEGMENT bytes, a chunk at most CHUNK, a
+#: file at most FILE_RECORDS records; FEED bytes are decompressed at once. DATE: of records, where none is given.
+LEAST, SEGMENT, CHUNK, FILE_RECORDS, FEED, DATE = 100, 32_768, 8_192, 4_096, 1 << 16, "2024-01-31T00:00:00Z"
 END = b"\r\n\r\n"
 OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -58,44 +62,67 @@ def dechunk(body: bytes) -> bytes:
 
 
 def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without the two line ends after it, which the writer adds."""
+    """A record with the two line ends after it."""
     head = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
+    return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + END
 
 
-def page_records(page_id, url, payload: bytes, digest: str, refers_to, name: str, segment: int = SEGMENT) -> list[bytes]:
+def record_id(run: str, *of: object) -> str:
+    """The id of a record: a name-based UUID of the writing and what the record is of, so that others can refer to it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, (run, *of))))}>"
+
+
+def page_records(page_id, url, payload: bytes, digest: str, refers_to, name: str, segment: int = SEGMENT, date: str = DATE, refers_id: str | None = None) -> list[bytes]:
+    """The records of a page. name: its record id; refers_id: that of the response which a revisit refers to."""
     target = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url is not None else None
-    common = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Page-ID", page_id)]
+    common = [("WARC-Date", date), ("WARC-Target-URI", target)]
+    about = [*common, ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Page-ID", page_id)]
     kind = ("Content-Type", "application/http;msgtype=response")
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Profile", profile), ("WARC-Refers-To-Page-ID", refers_to), *common, kind], block)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Profile", profile), ("WARC-Refers-To", refers_id), ("WARC-Refers-To-Page-ID", refers_to), *about, kind], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
-        return [_record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>"), *common, kind], block)]
+        return [_record([("WARC-Type", "response"), ("WARC-Record-ID", name), *about, kind], block)]
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
-    out = [_record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Segment-Number", 1), *common, kind], parts[0])]
+    out = [_record([("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Segment-Number", 1), *about, kind], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{k}>"), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", k), *total], part))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(name, k)), *common, ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), *total], part))
     return out
 
 
+def members(raw: bytes):
+    """The contents of the gzip members of a file, one after the other; a plain file is one."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(raw):
+                raise ValueError("a gzip member is cut off")
+            fed = view[at : at + FEED]
+            parts.append(one.decompress(fed))
+            at += len(fed) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def records(raw: bytes):
     """(headers, block) of each record of an archive, plain or compressed."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while at < len(raw):
-        end = raw.index(END, at)
-        lines = raw[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        size = int(headers["Content-Length"])
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    for member in members(raw):
+        at = 0
+        while at < len(member):
+            end = member.index(END, at)
+            lines = member[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            headers = dict(line.split(": ", 1) for line in lines[1:])
+            size = int(headers["Content-Length"])
+            yield headers, member[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
 
 
 def message(headers: dict, block: bytes) -> tuple:
@@ -114,30 +141,44 @@ def message(headers: dict, block: bytes) -> tuple:
     return page, headers.get("WARC-Target-URI"), len(payload), digest, "response", None, payload
 
 
-def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
+def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = DATE) -> None:
+    """A record per row, each a gzip member of its own, in files of FILE_RECORDS records at most."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # a row per digest and task before the shuffle; only payloads met twice or more are joined back
-    first = rows.where(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    refers = F.when(F.col("first") < F.col("page_id"), F.col("first")).when(F.col("page_id").isNull(), F.col("first"))
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    # a row per digest and page of a task before the shuffle; only payloads met twice or more are joined back, and
+    # those of very many pages are dealt over many tasks
+    narrow = rows.where(F.length("payload") >= LEAST).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n"), F.min_by("n", "page_id").alias("alike")).where("n > 1 and first is not null")
+    first = materialise(first, "revisited")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    refers = F.when((F.col("first") < F.col("page_id")) | F.col("page_id").isNull(), F.col("first"))
+    rows = spread_join(rows, first, "digest", "n", total).select("page_id", "url", "payload", "digest", refers.alias("refers_to"), (F.col("alike") == 1).alias("sole"))
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, out = TaskContext.get().partitionId(), 0, []
         info = b"software: loomgrid\r\nformat: WARC File Format 1.1\r\n"
-        out = [_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:loomgrid:{part}>"), ("Content-Type", "application/warc-fields")], info)]
+
+        def packed():
+            # the last byte of a member is the highest of its length, 0 below 16 MB: the writer's line end puts it there
+            return pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0)[:-1] for x in out], pa.binary())], names=["value"])
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += page_records(*row, name=f"urn:loomgrid:{part}:{k}", segment=segment)
+            for page, url, payload, digest, refers_to, sole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not k:
+                    out.append(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(path, part)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info))
+                # a page that others refer to is named by its id, if one row alone has it
+                name = record_id(path, "page", page) if sole and refers_to is None else record_id(path, part, k)
+                out += page_records(page, url, payload, digest, refers_to, name, segment, date, record_id(path, "page", refers_to) if sole and refers_to is not None else None)
                 k += 1
-                if sum(map(len, out[-64:])) > 1 << 20 or len(out) > 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                if len(out) >= 256:
+                    yield packed()
                     out = []
-        if k and out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        if out:
+            yield packed()
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    schema = "value binary"
+    # the text writer puts the bytes of a string out as they are (a test holds it to that), in any store, and commits
+    rows.mapInArrow(run, schema).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read(spark, path: str, with_payload: bool = True) -> DataFrame:
@@ -192,8 +233,6 @@ def read(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 def read_pages(spark, path: str, with_payload: bool = True) -> DataFrame:
     """All pages of the archives. What is found by the scan is kept as a table, since two branches need it."""
-    from .common import materialise
-
     found, join, names = read(spark, path, with_payload)
     found = materialise(found, "records")
     whole = found.where(F.col("origin").isNull()).select(*names)
@@ -216,7 +255,7 @@ WITH p AS (
   SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
 )
 SELECT d.page_id, d.payload_bytes, d.payload_digest,
-  CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+  CASE WHEN f.first < d.page_id OR (d.page_id IS NULL AND f.first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < d.page_id OR d.page_id IS NULL THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND d.payload_bytes >= 100
 """
