@@ -694,9 +694,10 @@ def test_near_copies(docs, sample, empty):
                 least[root[p]] = min(i, least.get(root[p], i))
         got = simhash.near_duplicates(df).select("doc_id", F.hex("fp"), "component_id").collect()
         assert _bag((r[0], int(r[1], 16), r[2]) for r in got) == Counter((i, p, least.get(root[p])) for i, p in prints)
-        kept = simhash.keep_one(df)
+        kept = simhash.keep_one(df, simhash.near_duplicates(df), simhash.SHINGLE)
         assert kept.columns == df.columns and kept.count() == len(set(root.values()))
-    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+    assert simhash.near_duplicates(empty).collect() == simhash.similar(empty).collect() == []
+    assert simhash.keep_one(empty, simhash.similar(empty), simhash.WORDS).collect() == []
 
 
 @pytest.mark.parametrize("group", [2, 10**6])
@@ -713,8 +714,9 @@ def test_dense_fingerprints_link_as_by_hand(spark, monkeypatch, group):
             values.add(v)
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    nodes = spark.createDataFrame([(v, i) for i, v in enumerate(signed)], "fp long, least long")
+    nodes = spark.createDataFrame([(v, i, 0) for i, v in enumerate(signed)], "fp long, least long, more long")
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "DENSE", 16)
     total, both = simhash.bit_counts(nodes)
     assert total == len(values)
     halves, quarters = simhash.group_bits(total, both, 2), simhash.group_bits(total, both, 4)
@@ -729,6 +731,94 @@ def test_dense_fingerprints_link_as_by_hand(spark, monkeypatch, group):
         assert all(len(x) == 1 for x in by_root.values()) and len(by_root) == len(set(want.values()))
 
 
+def _sets_by_hand(rows, width=5):
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+    return out
+
+
+def similar_by_hand(rows, least=0.8):
+    """The pairs of unlike sets that reach the similarity, and the smallest id of the component of each id."""
+    sets = _sets_by_hand(rows)
+    where, alike, common = defaultdict(list), defaultdict(list), Counter()
+    for i, s in sets.items():
+        alike[s].append(i)
+    for s, ids in alike.items():
+        for x in s:
+            where[x].append(min(ids))
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                common[min(a, b), max(a, b)] += 1
+    pairs = [(a, b) for (a, b), n in common.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)]
+    root = {i: min(ids) for ids in alike.values() for i in ids}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return pairs, {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_TEXTS, 7])
+def test_similar_texts(spark, monkeypatch, block):
+    """Chains and a dense group of near copies with a third of the rows, next to texts of their own."""
+    monkeypatch.setattr(simhash, "FEW_IDS", 0 if block == 7 else simhash.FEW_IDS)
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    rows, base = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 300)))) for i in range(120)], rng.choice(vocabulary, 150)
+    for i in range(120, 200):
+        one = base.copy()
+        one[rng.integers(0, 150, 2)] = "other"
+        rows.append((i, " ".join(one)))
+    chain = rng.choice(vocabulary, 150)
+    for i in range(200, 230):
+        chain = chain.copy()
+        chain[rng.integers(0, 150, 3)] = f"c{i}"
+        rows.append((i, " ".join(chain).upper()))
+    rows += [(230, ""), (231, None), (232, rows[125][1]), (233, "a b"), (234, "A  b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pairs, root = similar_by_hand(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, block_texts=block).collect()}
+    assert got.keys() == root.keys() and len(pairs) > 300
+    for i, c in got.items():  # what is linked is similar, through a chain at most
+        assert root[c] == root[i]
+    together = np.mean([got[a] == got[b] for a, b in pairs])
+    assert together > 0.95, together
+
+
+def test_similar_trees_are_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        pool = rng.integers(0, 60, 40).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(0, 20))) for _ in range(40)]
+        a, b = simhash.similar_trees(sets, 0.6)
+        trees = simhash.Trees(40)
+        trees.join(a, b)
+        by_hand = simhash.Trees(40)
+        near = [(i, j) for i in range(40) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) and n / (len(sets[i]) + len(sets[j]) - n) >= 0.6]
+        by_hand.join(np.array([i for i, _ in near], np.int64), np.array([j for _, j in near], np.int64))
+        every = np.arange(40)
+        assert (trees.find(every) == by_hand.find(every)).all()
+
+
+def test_similarity_on_the_table(spark):
+    """All copies alike, and most of those that differ, against brute force over 1,000 documents."""
+    rows = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    pairs, root = similar_by_hand(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(common.table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    sets = _sets_by_hand(rows)
+    first = {}
+    for i in sorted(sets):
+        assert got[first.setdefault(sets[i], i)] == got[i]
+        assert root[got[i]] == root[i]
+    assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.85
+
+
 def test_plan_covers_the_radius():
     both = np.full((64, 64), 250.0)
     np.fill_diagonal(both, 500.0)
