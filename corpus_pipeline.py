@@ -33,8 +33,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near copies (a similarity of 0.8 of their sets of five-word shingles) the document of the
+    smallest doc_id stays."""
+    return simhash.keep_one(docs, simhash.similar(docs), simhash.WORDS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
