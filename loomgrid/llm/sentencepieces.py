@@ -24,8 +24,9 @@ from .common import id_text, table
 from .wordbpe import default_vocabulary
 from .wordtable import intern, ragged, slices, text_bytes, words_of
 
-#: Distinct segments kept per worker; the cache starts anew beyond it.
-CACHE_SEGMENTS = 600_000
+#: Bytes of distinct segments, their parts and ids kept per worker, and what an entry takes besides; the caches start
+#: anew beyond it.
+CACHE_BYTES, ENTRY = 192 << 20, 300
 SPACE = "▁"
 
 
@@ -54,6 +55,7 @@ class Agenda:
         self.cuts = not any(x[1] == SPACE and x[0] != SPACE or "\n" in x for x in self.joins)
         self.known: dict[bytes, tuple[bytes, str]] = {}
         self.parts: dict[str, list[int]] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[int]:
         """Ids of one segment, blanks already written as the blank symbol."""
@@ -118,10 +120,8 @@ class Agenda:
         return out
 
     def _learn(self, raw: list[bytes]) -> None:
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known = {}
-        if len(self.parts) > CACHE_SEGMENTS:
-            self.parts = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.parts, self.held = {}, {}, 0
         texts = [r.decode() for r in raw]
         found = [self.segment(t) for t in texts]
         if self.check:
@@ -136,6 +136,7 @@ class Agenda:
                     raise AssertionError(f"the agenda and the library differ on {t!r}: {mine} and {theirs[k:]}")
         for r, ids in zip(raw, found, strict=True):
             self.known[r] = (np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)))
+            self.held += ENTRY + 2 * len(r) + 20 * len(ids)
 
     def encode(self, column: pa.Array):
         """Flat ids, ids per row, and the decimal ids of each row joined by blanks; no end id yet."""

@@ -39,7 +39,7 @@ from .wordtable import ragged, slices, spans, text_bytes
 TAU, SHINGLE, SEED = 3, 3, 42
 #: Nodes under one value before it is dealt again, and how often at most; rows that a task holds in the probe; rows
 #: under one value from which trees are grown node by node.
-GROUP, DEALS, TASK_ROWS, DENSE = 4096, 3, 1_500_000, 2048
+GROUP, DEALS, TASK_ROWS, DENSE = 4096, 3, 500_000, 2048
 #: Near copies by their sets of shingles: words of a shingle, similarity, bits of 64 and of 128 that may differ.
 WORDS, SIMILAR, REACH_64, REACH_128 = 5, 0.8, 12, 26
 #: Texts, and shingles of all their sets, of a block of the exact check; ids up to which a list of them is broadcast.

@@ -18,8 +18,9 @@ import pyarrow as pa
 
 from .wordtable import intern, ragged, slices, spans, text_bytes, words_of
 
-#: Distinct words kept per worker; the cache starts anew beyond it, which costs time and changes nothing else.
-CACHE_WORDS = 1_000_000
+#: Bytes of distinct words and their ids kept per worker, and what an entry takes besides; the cache starts anew beyond
+#: it, which costs time and changes nothing else.
+CACHE_BYTES, ENTRY = 96 << 20, 180
 _NFC, _BLANKS, _LOWER = {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}
 
 
@@ -66,6 +67,7 @@ class TokenEncoder:
             if suffix:
                 self.closes[[i for t, i in self.full.get_vocab().items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(words, add_special_tokens=False)]
@@ -124,11 +126,13 @@ class TokenEncoder:
             return np.zeros(0, self.dtype), np.zeros(n, np.int64)
         codes, rep = intern(flat, starts, ends)
         words = words_of(flat, starts, ends, rep)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         new = [w for w in words if w not in self.known]
         if new:
+            before = len(self.known)
             self._learn(new)
+            self.held += ENTRY * (len(self.known) - before) + sum(len(w) + len(self.known[w]) for w in new)
         pieces = [self.known[w] for w in words]
         pool = np.frombuffer(b"".join(pieces), self.dtype)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize

@@ -827,3 +827,18 @@ def test_plan_covers_the_radius():
         bits = [b for p, _ in parts for b in p]
         assert len(set(bits)) == len(bits)
         assert sum(t + 1 for _, t in parts) == simhash.TAU + 1
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    """Texts without a blank, and caches that begin anew at every batch, give the same ids."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdeé. "), 300)) for _ in range(30)] + ["x" * 3000, "a b c"]
+    enc, agenda = wordbpe.TokenEncoder(wordbpe.default_vocabulary()), _library()
+    want = [enc.encode(pa.array([t])) for t in texts]
+    pieces = [agenda.encode(pa.array([t])) for t in texts]
+    monkeypatch.setattr(wordbpe, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(sentencepieces, "CACHE_BYTES", 2000)
+    for t, (ids, _), (parts, _, _) in zip(texts, want, pieces, strict=True):
+        assert enc.encode(pa.array([t]))[0].tolist() == ids.tolist() and agenda.encode(pa.array([t]))[0].tolist() == parts.tolist()
+        assert enc.held < 2000 + 200_000
+    assert len(enc.known) < 200
