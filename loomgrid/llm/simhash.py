@@ -37,9 +37,9 @@ from .common import id_text, materialise, spread_join, table
 from .wordtable import ragged, slices, spans, text_bytes
 
 TAU, SHINGLE, SEED = 3, 3, 42
-#: Nodes under one value before it is dealt again, and how often at most; rows that a task holds in the probe; rows
-#: under one value from which trees are grown node by node.
-GROUP, DEALS, TASK_ROWS, DENSE = 4096, 3, 500_000, 2048
+#: Nodes under one value before it is dealt again, and how often at most; rows that a task holds in the probe; pairs
+#: under one value from which trees are grown node by node; pairs that can be compared in the time that a probe takes.
+GROUP, DEALS, TASK_ROWS, DENSE, PROBE_COST = 4096, 3, 500_000, 1 << 25, 200.0
 #: Near copies by their sets of shingles: words of a shingle, similarity, bits of 64 and of 128 that may differ.
 WORDS, SIMILAR, REACH_64, REACH_128 = 5, 0.8, 12, 26
 #: Texts, and shingles of all their sets, of a block of the exact check; ids up to which a list of them is broadcast.
@@ -177,7 +177,7 @@ def estimate(total: int, p: np.ndarray, part: list[int], tau: int) -> list[float
         chance[1:] = chance[1:] * (1 - differ) + chance[:-1] * differ
         chance[0] *= 1 - differ
     probes = np.cumsum([math.comb(len(part), t) for t in range(tau + 1)])
-    return [0.0, *(total * total / 2 * np.cumsum(chance) + 8.0 * total * (probes + 1)).tolist()]
+    return [0.0, *(total * total / 2 * np.cumsum(chance) + PROBE_COST * total * (probes + 1)).tolist()]
 
 
 def plan(total: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
@@ -278,7 +278,7 @@ def _meet(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, home: np.ndarray,
     size = np.diff(np.append(first, len(keys)))
     homes = np.add.reduceat(home.astype(np.int64), first) if len(first) else first
     most = 1 << 21
-    dense = (size > DENSE) & (homes > 0)
+    dense = size * homes > DENSE
     for k in np.flatnonzero(dense).tolist():
         some = np.unique(node[first[k] : first[k] + size[k]])
         a, b = grown(values[some], wide[some], tau, tau_all)

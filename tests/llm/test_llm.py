@@ -833,7 +833,7 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
     """Texts without a blank, and caches that begin anew at every batch, give the same ids."""
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcdeé. "), 300)) for _ in range(30)] + ["x" * 3000, "a b c"]
-    enc, agenda = wordbpe.TokenEncoder(wordbpe.default_vocabulary()), _library()
+    enc, agenda = wordbpe.TokenEncoder(wordbpe.default_vocabulary()), sentencepieces.Agenda(wordbpe.default_vocabulary("piece_bpe_32k.model"))
     want = [enc.encode(pa.array([t])) for t in texts]
     pieces = [agenda.encode(pa.array([t])) for t in texts]
     monkeypatch.setattr(wordbpe, "CACHE_BYTES", 2000)
