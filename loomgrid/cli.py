@@ -104,7 +104,8 @@ class Run:
 
     def partitioner(self) -> DataFrame:
         hot = [r.user_id for r in joins.top_hot_keys(self.txns, "user_id", 10).collect()]
-        return partitioning.largest_partitions(partitioning.deal_hot_keys(self.txns, "user_id", hot, 8))
+        partitioning.largest_partitions(partitioning.deal_hot_keys(self.txns, "user_id", hot, 8)).show()
+        return partitioning.compare_partitioners(self.txns, "user_id", hot, 9)
 
     def batching(self) -> DataFrame:
         df = self.txns.select("txn_id")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Settings:
+    #: The defaults of the generator and of file sizes.
     base_path: str = "/tmp/loomgrid"
     users: int = 100_000
     merchants: int = 5_000

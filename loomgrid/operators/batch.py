@@ -67,15 +67,20 @@ class OncePerPartition(AccumulatorParam):
         return a
 
 
+def _counted(df: DataFrame, add: Callable[[int], None]) -> None:
+    """Calls ``add`` with the rows of each partition: lengths of Arrow batches, no row is turned into an object."""
+
+    def each(batches):
+        add(sum(b.num_rows for b in batches))
+        yield from ()
+
+    df.select(F.lit(1).alias("one")).mapInArrow(each, "one int").write.format("noop").mode("overwrite").save()
+
+
 def count_naively(df: DataFrame) -> int:
     """A counter in a transformation; rows of tasks that run twice count twice."""
     counter = df.sparkSession.sparkContext.accumulator(0)
-
-    def each(rows):
-        n = sum(1 for _ in rows)
-        counter.add(n)
-
-    df.rdd.foreachPartition(each)
+    _counted(df, lambda n: counter.add(n))
     return counter.value
 
 
@@ -85,11 +90,11 @@ def count_once(df: DataFrame) -> int:
 
     counter = df.sparkSession.sparkContext.accumulator({}, OncePerPartition())
 
-    def each(rows):
-        n, task = sum(1 for _ in rows), TaskContext.get()
+    def add(n: int) -> None:
+        task = TaskContext.get()
         counter.add({(task.stageId(), task.partitionId()): n})
 
-    df.rdd.foreachPartition(each)
+    _counted(df, add)
     return sum(counter.value.values())
 
 

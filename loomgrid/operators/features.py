@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import broadcast_join
@@ -17,6 +17,7 @@ from .joins import broadcast_join
 WINDOWS = (1, 7, 30)
 SUCCESS, FAIL = ("purchase",), ("error",)
 RELATIVE_ERROR = 0.02
+PERCENTS = (50, 95, 99)
 
 
 def in_window(as_of: str, days: int, ts: str = "ts") -> Column:
@@ -24,12 +25,48 @@ def in_window(as_of: str, days: int, ts: str = "ts") -> Column:
     return F.col(ts).between(end - F.make_dt_interval(F.lit(days)), end)
 
 
-def _distinct(value: Column, approximate: bool) -> Column:
-    return F.approx_count_distinct(value, RELATIVE_ERROR) if approximate else F.count_distinct(value)
+def values_of(txns: DataFrame, as_of: str, windows: Sequence[int], key: str, kinds: dict[str, Column]) -> DataFrame:
+    """key, kind, value, n_<w>d: how often each value of each kind (a column, as text) occurs in each window.
+
+    One narrow row per distinct value leaves a task, whatever the number of windows and of distinct counts asked for;
+    a user without rows in any window keeps its rows with counts of 0.
+    """
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in kinds.items()))
+    rows = txns.select(key, "ts", F.explode(pairs).alias("_v")).select(key, "ts", "_v.kind", "_v.value")
+    return rows.groupBy(key, "kind", "value").agg(*(F.count_if(in_window(as_of, w)).alias(f"n_{w}d") for w in windows))
+
+
+def _of(kind: str, w: int) -> Column:
+    """Whether a row of ``values_of`` is a value of the kind that occurs in the window."""
+    return (F.col("kind") == kind) & F.col("value").isNotNull() & (F.col(f"n_{w}d") > 0)
+
+
+def _times(condition: Column, w: int) -> Column:
+    return F.sum(F.when(condition, F.col(f"n_{w}d")).otherwise(F.lit(0).cast("long")))
+
+
+FREQUENCY_KINDS = ("status", "merchant_id", "ip")
+DEVICE_KINDS = {"distinct_devices": "device_id", "distinct_geos": "geo_hash", "distinct_ips_dev": "ip", "distinct_channels": "channel"}
+
+
+def _frequency(windows: Sequence[int], success: Sequence[str], fail: Sequence[str]) -> list[Column]:
+    out = []
+    for w in windows:
+        status = F.col("kind") == "status"
+        out += [
+            _times(status, w).alias(f"txn_cnt_{w}d"),
+            _times(status & F.col("value").isin(*success), w).alias(f"txn_succ_cnt_{w}d"),
+            _times(status & F.col("value").isin(*fail), w).alias(f"txn_fail_cnt_{w}d"),
+            F.count_if(_of("merchant_id", w)).alias(f"distinct_merchants_{w}d"),
+            F.count_if(_of("ip", w)).alias(f"distinct_ips_{w}d"),
+        ]
+    return out
 
 
 def frequency_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, success: Sequence[str] = SUCCESS, fail: Sequence[str] = FAIL, approximate: bool = False, key: str = "user_id") -> DataFrame:
     """Rows, successes, failures, distinct merchants and addresses per user and window."""
+    if not approximate:
+        return values_of(txns, as_of, windows, key, {k: F.col(k) for k in FREQUENCY_KINDS}).groupBy(key).agg(*_frequency(windows, success, fail))
     out = []
     for w in windows:
         here = in_window(as_of, w)
@@ -37,8 +74,8 @@ def frequency_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WIN
             F.count_if(here).alias(f"txn_cnt_{w}d"),
             F.count_if(here & F.col("status").isin(*success)).alias(f"txn_succ_cnt_{w}d"),
             F.count_if(here & F.col("status").isin(*fail)).alias(f"txn_fail_cnt_{w}d"),
-            _distinct(F.when(here, F.col("merchant_id")), approximate).alias(f"distinct_merchants_{w}d"),
-            _distinct(F.when(here, F.col("ip")), approximate).alias(f"distinct_ips_{w}d"),
+            F.approx_count_distinct(F.when(here, F.col("merchant_id")), RELATIVE_ERROR).alias(f"distinct_merchants_{w}d"),
+            F.approx_count_distinct(F.when(here, F.col("ip")), RELATIVE_ERROR).alias(f"distinct_ips_{w}d"),
         ]
     return txns.groupBy(key).agg(*out)
 
@@ -50,53 +87,88 @@ def amount_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOW
         x = F.when(in_window(as_of, w), F.col(amount))
         out += [
             F.sum(x).alias(f"amt_sum_{w}d"), F.avg(x).alias(f"amt_avg_{w}d"), F.min(x).alias(f"amt_min_{w}d"), F.max(x).alias(f"amt_max_{w}d"), F.stddev_samp(x).alias(f"amt_std_{w}d"),
-            F.percentile_approx(x, 0.50, 10_000).alias(f"amt_p50_{w}d"), F.percentile_approx(x, 0.95, 10_000).alias(f"amt_p95_{w}d"), F.percentile_approx(x, 0.99, 10_000).alias(f"amt_p99_{w}d"),
+            F.percentile_approx(x, [k / 100 for k in PERCENTS], 10_000).alias(f"_p{w}"),
         ]
-    return txns.groupBy(key).agg(*out)
+    order = [f"amt_{k}_{w}d" for w in windows for k in ("sum", "avg", "min", "max", "std", *(f"p{p}" for p in PERCENTS))]
+    return txns.groupBy(key).agg(*out).withColumns({f"amt_p{p}_{w}d": F.col(f"_p{w}")[k] for w in windows for k, p in enumerate(PERCENTS)}).select(key, *order)
 
 
-def amount_features_exact(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, key: str = "user_id", cents: str = "cents") -> DataFrame:
-    """The same features over integer cents: sums, and what follows from them, do not depend on the order of rows.
+def _ranked(values: DataFrame, windows: Sequence[int], key: str) -> DataFrame:
+    """``values_of`` with the cents as a number, and for each window the occurrences up to it and of all cents."""
+    cents = F.when(F.col("kind") == "cents", F.col("value").cast("long"))
+    rows = values.withColumn("num", cents).withColumn("_some", F.col("num").isNotNull())
+    upto = Window.partitionBy(key, "kind", "_some").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key, "kind", "_some")
+    # by the key alone, so that neither the windows nor the aggregation after them shuffles again
+    rows = rows.repartition(key)
+    return rows.withColumns({f"up_{w}d": F.sum(f"n_{w}d").over(upto) for w in windows} | {f"of_{w}d": F.sum(f"n_{w}d").over(whole) for w in windows})
 
-    Percentiles are exact, whatever the size of a group: each aggregates the counts of distinct cents.
-    """
-    first, out = [], []
-    txns = txns.select(key, *(F.when(in_window(as_of, w), F.col(cents)).alias(f"_c{w}") for w in windows))
+
+def _amounts(windows: Sequence[int]) -> list[Column]:
+    out = []
+    for w in windows:
+        n, c = F.when(F.col("num").isNotNull(), F.col(f"n_{w}d")), F.when(F.col(f"n_{w}d") > 0, F.col("num"))
+        out += [F.sum(n).alias(f"_n{w}"), F.sum(n * c).alias(f"_s{w}"), F.sum(n * c * c).alias(f"_q{w}"), F.min(c).alias(f"_lo{w}"), F.max(c).alias(f"_hi{w}")]
+        out += [F.min(F.when(F.col(f"up_{w}d") * 100 >= F.col(f"of_{w}d") * p, c)).alias(f"_p{p}_{w}") for p in PERCENTS]
+    return out
+
+
+def _amount_columns(windows: Sequence[int]) -> list[Column]:
+    out = []
     for w in windows:
-        c = F.col(f"_c{w}")
-        first += [F.count(c).alias(f"_n{w}"), F.sum(c).alias(f"_s{w}"), F.sum(c * c).alias(f"_q{w}"), F.min(c).alias(f"_lo{w}"), F.max(c).alias(f"_hi{w}")]
-        first += [F.expr(f"percentile_disc({p}) within group (order by _c{w})").alias(f"_p{k}_{w}") for k, p in ((50, 0.50), (95, 0.95), (99, 0.99))]
         n, s, q = (F.col(f"_{k}{w}").cast("double") for k in "nsq")
         money = lambda name: F.col(name).cast("double") / 100
         out += [
             (s / 100).alias(f"amt_sum_{w}d"), F.when(n > 0, s / 100 / n).alias(f"amt_avg_{w}d"), money(f"_lo{w}").alias(f"amt_min_{w}d"), money(f"_hi{w}").alias(f"amt_max_{w}d"),
             F.when(n > 1, F.sqrt((q - s * s / n) / (n - 1)) / 100).alias(f"amt_std_{w}d"),
-            *(money(f"_p{k}_{w}").alias(f"amt_p{k}_{w}d") for k in (50, 95, 99)),
+            *(money(f"_p{p}_{w}").alias(f"amt_p{p}_{w}d") for p in PERCENTS),
         ]
-    return txns.groupBy(key).agg(*first).select(key, *out)
+    return out
 
 
-def device_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, approximate: bool = False, key: str = "user_id", tie: str = "txn_id") -> DataFrame:
-    """Distinct devices, places, addresses and channels over rows with a device, and the first and last device.
+def amount_features_exact(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, key: str = "user_id", cents: str = "cents") -> DataFrame:
+    """The same features over integer cents: sums, and what follows from them, do not depend on the order of rows.
 
-    First and last come from ``min_by`` and ``max_by`` within the same aggregation, so there is neither a window nor
-    a join; the few channels are counted as a set, which keeps all distinct counts in one shuffle.
+    Percentiles are exact, whatever the size of a group: they are read off the running counts of distinct cents.
     """
+    values = values_of(txns, as_of, windows, key, {"cents": F.col(cents)})
+    return _ranked(values, windows, key).groupBy(key).agg(*_amounts(windows)).select(key, *_amount_columns(windows))
+
+
+def _devices(windows: Sequence[int]) -> list[Column]:
+    """Distinct counts over rows with a device; null for users who have none."""
+    any_ = F.count_if((F.col("kind") == "dev_device_id") & F.col("value").isNotNull()) > 0
+    return [F.when(any_, F.count_if(_of(f"dev_{c}", w))).alias(f"{name}_{w}d") for w in windows for name, c in DEVICE_KINDS.items()]
+
+
+def _device_kinds() -> dict[str, Column]:
+    has = F.col("device_id").isNotNull()
+    return {f"dev_{c}": F.when(has, F.col(c).cast("string")) for c in DEVICE_KINDS.values()}
+
+
+def first_last_devices(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, key: str = "user_id", tie: str = "txn_id") -> DataFrame:
+    """The first and last device within the longest window, by ``min_by`` and ``max_by``: no window function, no sort of
+    whole groups. Users without a device have no line."""
+    longest = max(windows)
+    when = F.when(in_window(as_of, longest), F.struct("ts", tie))
+    rows = txns.where(F.col("device_id").isNotNull()).groupBy(key)
+    return rows.agg(F.min_by("device_id", when).alias(f"first_device_{longest}d"), F.max_by("device_id", when).alias(f"last_device_{longest}d"))
+
+
+def distinct_devices(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, approximate: bool = False, key: str = "user_id") -> DataFrame:
+    """Distinct devices, places, addresses and channels over rows with a device."""
+    rows = txns.where(F.col("device_id").isNotNull())
+    if not approximate:
+        return values_of(rows, as_of, windows, key, _device_kinds()).groupBy(key).agg(*_devices(windows))
     out = []
     for w in windows:
-        here = in_window(as_of, w)
-        masked = lambda name: F.when(here, F.col(name))  # noqa: E731, B023
-        out += [
-            _distinct(masked("device_id"), approximate).alias(f"distinct_devices_{w}d"),
-            _distinct(masked("geo_hash"), approximate).alias(f"distinct_geos_{w}d"),
-            _distinct(masked("ip"), approximate).alias(f"distinct_ips_dev_{w}d"),
-            F.size(F.collect_set(masked("channel"))).cast("long").alias(f"distinct_channels_{w}d"),
-        ]
-    longest = max(windows)
-    here = in_window(as_of, longest)
-    when = F.when(here, F.struct("ts", tie))
-    out += [F.min_by("device_id", when).alias(f"first_device_{longest}d"), F.max_by("device_id", when).alias(f"last_device_{longest}d")]
-    return txns.where(F.col("device_id").isNotNull()).groupBy(key).agg(*out)
+        out += [F.approx_count_distinct(F.when(in_window(as_of, w), F.col(c)), RELATIVE_ERROR).alias(f"{name}_{w}d") for name, c in DEVICE_KINDS.items()]
+    return rows.groupBy(key).agg(*out)
+
+
+def device_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, approximate: bool = False, key: str = "user_id", tie: str = "txn_id") -> DataFrame:
+    """The distinct counts, and the first and last device joined to them; both sides are dealt by the key already."""
+    return distinct_devices(txns, as_of, windows, approximate, key).join(first_last_devices(txns, as_of, windows, key, tie), key, "left")
 
 
 def enrich(txns: DataFrame, merchants: DataFrame, categories: DataFrame) -> DataFrame:
@@ -109,8 +181,19 @@ def assemble(frequency: DataFrame, amount: DataFrame, device: DataFrame, key: st
     return frequency.join(amount, key, "outer").join(device, key, "outer")
 
 
-def feature_pipeline(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, exact: bool = True, approximate: bool = False) -> DataFrame:
-    """The wide table of a user's features as of an instant."""
-    amount = amount_features_exact(txns, as_of, windows) if exact else amount_features(txns, as_of, windows)
-    wide = assemble(frequency_features(txns, as_of, windows, approximate=approximate), amount, device_features(txns, as_of, windows, approximate))
+def feature_pipeline(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, exact: bool = True, approximate: bool = False, key: str = "user_id", success: Sequence[str] = SUCCESS, fail: Sequence[str] = FAIL) -> DataFrame:
+    """The wide table of a user's features as of an instant.
+
+    Exact: all counts, sums and percentiles come from one aggregation of distinct values, read once.
+    """
+    if exact and not approximate:
+        kinds = {k: F.col(k) for k in FREQUENCY_KINDS} | {"cents": F.col("cents")} | _device_kinds()
+        rows = _ranked(values_of(txns, as_of, windows, key, kinds), windows, key)
+        wide = rows.groupBy(key).agg(*_frequency(windows, success, fail), *_amounts(windows), *_devices(windows))
+        names = [f"{n}_{w}d" for w in windows for n in ("txn_cnt", "txn_succ_cnt", "txn_fail_cnt", "distinct_merchants", "distinct_ips")]
+        devices = [f"{n}_{w}d" for w in windows for n in DEVICE_KINDS]
+        wide = wide.select(key, *names, *_amount_columns(windows), *devices).join(first_last_devices(txns, as_of, windows, key), key, "left")
+    else:
+        amount = amount_features_exact(txns, as_of, windows) if exact else amount_features(txns, as_of, windows)
+        wide = assemble(frequency_features(txns, as_of, windows, success, fail, approximate), amount, device_features(txns, as_of, windows, approximate))
     return wide.withColumn("compute_dt", F.to_date(F.lit(as_of)))

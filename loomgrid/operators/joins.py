@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import MB, conf
+from ..session import MB, conf, materialise
 
 #: Estimated bytes up to which a side is broadcast; beyond them the join is dealt by key.
 BROADCAST_BYTES = 64 * MB
@@ -46,11 +47,24 @@ def safe_join(left: DataFrame, right: DataFrame, key: str, hint: str = "auto") -
     return {"broadcast": broadcast_join, "merge": sort_merge_join, "shuffle_hash": shuffle_hash_join}.get(hint, auto_join)(left, right, key)
 
 
-def adaptive_skew_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, run) -> object:
-    """``run`` (an action) over the sort-merge join, with adaptive splitting of skewed partitions on while it runs."""
-    settings = {"spark.sql.adaptive.enabled": True, "spark.sql.adaptive.skewJoin.enabled": True, "spark.sql.adaptive.skewJoin.skewedPartitionFactor": 5, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 256 * MB}
-    with conf(spark, settings):
-        return run(sort_merge_join(left, right, key))
+def forced_broadcast(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with the right side broadcast whatever its size: for sides whose bound the caller knows and the
+    optimizer does not."""
+    return left.join(F.broadcast(right), key, "left")
+
+
+#: Adaptive execution splits a partition that is so many times the median and has so many bytes.
+SKEW = {"spark.sql.adaptive.enabled": True, "spark.sql.adaptive.skewJoin.enabled": True, "spark.sql.adaptive.skewJoin.skewedPartitionFactor": 5, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 256 * MB}
+
+
+def adaptive_skew_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, settings: dict | None = None, run=None) -> object:
+    """The sort-merge join, computed with adaptive splitting of skewed partitions on, and read back.
+
+    Settings hold only while a query runs, so the join has to run before they are put back: by default its result is
+    written to the shared folder. ``run``: another action on the join, whose value is returned.
+    """
+    with conf(spark, SKEW | (settings or {})):
+        return (run or (lambda df: materialise(df, "skew")))(sort_merge_join(left, right, key))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], buckets: int = 16) -> DataFrame:
@@ -104,6 +118,22 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, most: int = BROA
     return broadcast_join(df, dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value)), key, most)
 
 
+def mapped_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``lookup`` as a vectorised function over a broadcast map, for a dimension of at most ``most`` estimated bytes;
+    beyond that, the join."""
+    one = dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    if estimated_bytes(dim) > most:
+        return lookup(df, dim, key, value, most)
+    table = one.toPandas()
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(table[key], table[value], strict=True)))
+
+    @F.pandas_udf(one.schema[value].dataType)
+    def find(keys: pd.Series) -> pd.Series:
+        return keys.map(shared.value.get)
+
+    return df.withColumn(value, F.when(F.col(key).isNotNull(), find(key)))
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int = 32, path: str | None = None) -> None:
     writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
     (writer.option("path", path) if path else writer).saveAsTable(name)
@@ -130,6 +160,18 @@ def calendar_join(facts: DataFrame, days: DataFrame, since: str) -> DataFrame:
     return facts.join(F.broadcast(days.where(F.col("dt") >= F.lit(since).cast("date"))), "dt")
 
 
+def pruned_days(spark: SparkSession, path: str, days: DataFrame, since: str, prune: bool = True) -> DataFrame:
+    """``calendar_join`` over a fact table written by dt; without ``prune`` it reads every directory.
+
+    The setting holds while the join runs, so the result without pruning is written to the shared folder.
+    """
+    joined = calendar_join(spark.read.parquet(path), days, since)
+    if prune:
+        return joined
+    with conf(spark, {"spark.sql.optimizer.dynamicPartitionPruning.enabled": False}):
+        return materialise(calendar_join(spark.read.parquet(path), days, since), "unpruned")
+
+
 def benchmark_joins(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """label, rows, ms of the three strategies, each computed whole."""
     from ..plans.explain import compare

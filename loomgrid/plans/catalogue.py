@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.scalar import number
 from ..operators import aggregates, batch, features, joins, partitioning, predicates
-
-from ..sources import tables
+from ..session import RECOMMENDED, apply_preset, dump_confs, scratch_path, set_codegen_limit, shared_dir
+from ..sources import layout, synthetic, tables, writer
+from .cache import CacheManager
+from .explain import dump_plan
+from .metrics import stage_metrics
 from ..sources.tables import AS_OF, TX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,32 +57,27 @@ def _tx(spark, d):
 
 # ---------------------------------------------------------------------------------------------- inputs with edges
 
-#: A dimension with a null key, a key that occurs twice, and only even keys; DIM_SQL is the same for DuckDB.
-DIM_SQL = """SELECT c_custkey AS null_user, c_name AS name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 50
-  UNION ALL SELECT c_custkey, 'again' FROM customer WHERE c_custkey IN (2, 4)
-  UNION ALL SELECT NULL, 'nobody'"""
-
-
-def _dim(spark, d) -> DataFrame:
-    c = tables.read(spark, d, "customer")
-    even = c.where("c_custkey % 2 = 0 and c_custkey < 50").select(F.col("c_custkey").alias("null_user"), F.col("c_name").alias("name"))
-    again = c.where(F.col("c_custkey").isin(2, 4)).select(F.col("c_custkey").alias("null_user"), F.lit("again").alias("name"))
-    return even.unionByName(again).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("null_user"), F.lit("nobody").alias("name")))
+#: All events, by a key with three tenths of the rows on one value (that no customer has) and with nulls, and all
+#: customers. Repeated, missing and null keys of the dimension are fixtures of the tests.
+_KEY = "CASE WHEN tx.txn_id % 50 = 1 THEN NULL ELSE tx.hot_user END"
+LEFT_SQL = f"SELECT {_KEY} AS null_user, tx.txn_id, tx.cents, c_name AS name FROM tx LEFT JOIN customer ON c_custkey = {_KEY}"
 
 
 def _fact(spark, d) -> DataFrame:
-    return _tx(spark, d).select("null_user", "txn_id", "cents")
+    key = F.when(F.col("txn_id") % 50 == 1, F.lit(None)).otherwise(F.col("hot_user")).cast("long")
+    return _tx(spark, d).select(key.alias("null_user"), "txn_id", "cents")
 
 
-LEFT_SQL = f"WITH dim AS ({DIM_SQL}) SELECT tx.null_user, tx.txn_id, tx.cents, dim.name FROM tx LEFT JOIN dim ON dim.null_user = tx.null_user"
+def _dim(spark, d) -> DataFrame:
+    return tables.users(spark, d).select(F.col("user_id").cast("long").alias("null_user"), F.col("user_name").alias("name"))
 
 
 # ---------------------------------------------------------------------------------------------- sources
 
 
-@_query("SRC1_parquet_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
+@_query("SRC1_parquet_scan", "SELECT * FROM orders")
 def _(spark, d):
-    return tables.scan(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return tables.scan(spark, f"{d}/orders.parquet")
 
 
 @_query("SRC2_pruned_scan", "SELECT event_id, user_id FROM events")
@@ -193,51 +193,24 @@ _LEFT: dict[str, Callable] = {
     "JN3_shuffle_hash_join": lambda s, a, b: joins.shuffle_hash_join(a, b, "null_user"),
     "JN4_safe_join": lambda s, a, b: joins.safe_join(a, b, "null_user", "merge"),
     "JN5_auto_join": lambda s, a, b: joins.auto_join(a, b, "null_user"),
-    "JN7_adaptive_skew_join": lambda s, a, b: joins.adaptive_skew_join(s, a, b, "null_user", lambda df: df),
+    "JN7_adaptive_skew_join": lambda s, a, b: joins.adaptive_skew_join(s, a, b, "null_user"),
     "JN8_salted_join": lambda s, a, b: joins.salted_join(a, b, "null_user", ["txn_id"], 16),
-    "JN9_hot_cold_join": lambda s, a, b: joins.hot_cold_join(a, b, "null_user", [2, 4, 7]),
+    "JN9_hot_cold_join": lambda s, a, b: joins.hot_cold_join(a, b, "null_user", [0, 1, 2]),
     "JN11_null_key_join": lambda s, a, b: joins.auto_join(a, b, "null_user"),
     "JN13_null_safe_join": lambda s, a, b: joins.null_safe_join(a, b, "null_user"),
-    "JN16_forced_broadcast": lambda s, a, b: joins.broadcast_join(a, b, "null_user"),
+    "JN16_forced_broadcast": lambda s, a, b: joins.forced_broadcast(a, b, "null_user"),
     "JN17_merge_fallback": lambda s, a, b: joins.broadcast_join(a, b, "null_user", most=0),
 }
 for _name, _join in _LEFT.items():
     _query(_name, LEFT_SQL)(lambda spark, d, join=_join: join(spark, _fact(spark, d), _dim(spark, d)).select("null_user", "txn_id", "cents", "name"))
 
 
-#: The same strategies over all events, by a key with three tenths of the rows on one value and nulls, and all customers.
-_WHOLE_KEY = "CASE WHEN tx.txn_id % 50 = 1 THEN NULL ELSE tx.hot_user END"
-WHOLE_SQL = f"SELECT {_WHOLE_KEY} AS null_user, tx.txn_id, tx.cents, c_name AS name FROM tx LEFT JOIN customer ON c_custkey = {_WHOLE_KEY}"
-
-
-def _whole_fact(spark, d) -> DataFrame:
-    key = F.when(F.col("txn_id") % 50 == 1, F.lit(None)).otherwise(F.col("hot_user")).cast("long")
-    return _tx(spark, d).select(key.alias("null_user"), "txn_id", "cents")
-
-
-def _whole_dim(spark, d) -> DataFrame:
-    return tables.users(spark, d).select(F.col("user_id").cast("long").alias("null_user"), F.col("user_name").alias("name"))
-
-
-for _name, _join in _LEFT.items():
-    _query(f"{_name}_whole", WHOLE_SQL)(lambda spark, d, join=_join: join(spark, _whole_fact(spark, d), _whole_dim(spark, d)).select("null_user", "txn_id", "cents", "name"))
-
-
-@_query("JN12_join_without_null_keys_whole", f"{WHOLE_SQL} WHERE {_WHOLE_KEY} IS NOT NULL")
-def _(spark, d):
-    return joins.join_without_null_keys(_whole_fact(spark, d), _whole_dim(spark, d), "null_user").select("null_user", "txn_id", "cents", "name")
-
-
-for _name in ("JN18_lookup_whole", "UD2_lookup_whole"):
-    _query(_name, WHOLE_SQL)(lambda spark, d: joins.lookup(_whole_fact(spark, d), _whole_dim(spark, d), "null_user", "name").select("null_user", "txn_id", "cents", "name"))
-
-
 @_query("JN10_top_hot_keys", "SELECT hot_user, count(*) AS count FROM tx WHERE hot_user IS NOT NULL GROUP BY hot_user ORDER BY count DESC, hot_user LIMIT 50")
 def _(spark, d):
     return joins.top_hot_keys(_tx(spark, d), "hot_user", 50)
 
 
-@_query("JN12_join_without_null_keys", LEFT_SQL + " WHERE tx.null_user IS NOT NULL")
+@_query("JN12_join_without_null_keys", f"{LEFT_SQL} WHERE {_KEY} IS NOT NULL")
 def _(spark, d):
     return joins.join_without_null_keys(_fact(spark, d), _dim(spark, d), "null_user").select("null_user", "txn_id", "cents", "name")
 
@@ -256,12 +229,9 @@ def _(spark, d):
     return joins.aligned_join(_tx(spark, d).select("user_id", "txn_id"), _text_users(spark, d), "user_id", "user_text")
 
 
-_LOOKUP_SQL = "WITH dim AS (SELECT null_user, max(name) AS name FROM (" + DIM_SQL + ") WHERE null_user IS NOT NULL GROUP BY null_user) SELECT tx.null_user, tx.txn_id, tx.cents, dim.name FROM tx LEFT JOIN dim ON dim.null_user = tx.null_user"
-
-
-@_query("JN18_lookup", _LOOKUP_SQL)
+@_query("JN18_lookup", LEFT_SQL)
 def _(spark, d):
-    return joins.lookup(_fact(spark, d), _dim(spark, d), "null_user", "name")
+    return joins.lookup(_fact(spark, d), _dim(spark, d), "null_user", "name").select("null_user", "txn_id", "cents", "name")
 
 
 @_query("JN19_bucketed_join", "SELECT tx.user_id, tx.txn_id, tx.cents, c_name AS user_name, c_mktsegment AS segment FROM tx JOIN customer ON c_custkey = tx.user_id")
@@ -274,7 +244,32 @@ def _(spark, d):
     return joins.path_join(spark, *_bucketed(spark, d), "user_id")
 
 
-@_query("JN21_calendar_join", "SELECT tx.dt, tx.txn_id, tx.cents, tx.dt > DATE '2024-01-24' AS is_recent FROM tx WHERE dt >= DATE '2024-01-20'")
+@_query("JN6_compared_joins", f"SELECT label, (SELECT count(*) FROM ({LEFT_SQL})) AS rows FROM (VALUES ('broadcast'), ('merge'), ('shuffle_hash')) AS l(label), (SELECT 1 FROM tx LIMIT 1) AS one")
+def _(spark, d):
+    return joins.benchmark_joins(_fact(spark, d), _dim(spark, d), "null_user").select("label", "rows")
+
+
+_RECENT = "SELECT tx.dt, tx.txn_id, tx.cents, tx.dt > DATE '2024-01-24' AS is_recent FROM tx WHERE dt >= DATE '2024-01-20'"
+
+
+def _daily(spark, d) -> str:
+    """The events written by day; the path of the table."""
+    path = scratch_path(spark, "daily")
+    writer.write_partitioned(_tx(spark, d).select("dt", "txn_id", "cents"), path, ["dt"])
+    return path
+
+
+@_query("JN21_pruned_days", _RECENT)
+def _(spark, d):
+    return joins.pruned_days(spark, _daily(spark, d), tables.calendar(spark, "2024-01-31", 35), "2024-01-20").select("dt", "txn_id", "cents", "is_recent")
+
+
+@_query("JN21_unpruned_days", _RECENT)
+def _(spark, d):
+    return joins.pruned_days(spark, _daily(spark, d), tables.calendar(spark, "2024-01-31", 35), "2024-01-20", prune=False).select("dt", "txn_id", "cents", "is_recent")
+
+
+@_query("JN21_calendar_join", _RECENT)
 def _(spark, d):
     return joins.calendar_join(_tx(spark, d).select("dt", "txn_id", "cents"), tables.calendar(spark, "2024-01-31", 35), "2024-01-20")
 
@@ -424,13 +419,10 @@ def _(spark, d):
     return features.assemble(features.frequency_features(t, AS_OF), features.amount_features_exact(t, AS_OF), features.device_features(t, AS_OF))
 
 
-_JN24 = f"WITH v AS ({DEVICE_SQL}) SELECT user_id, c_name AS user_name, first_device_30d, last_device_30d FROM v LEFT JOIN customer ON c_custkey = user_id, (SELECT 1 FROM tx LIMIT 1) AS one"
-
-
-@_query("JN24_device_join", _JN24)
+@_query("JN24_device_join", f"SELECT x.* FROM ({DEVICE_SQL}) AS x, (SELECT 1 FROM tx LIMIT 1) AS one")
 def _(spark, d):
-    device = features.device_features(_tx(spark, d), AS_OF).select("user_id", "first_device_30d", "last_device_30d")
-    return device.join(tables.users(spark, d).select("user_id", "user_name"), "user_id", "left")
+    t = _tx(spark, d)
+    return features.distinct_devices(t, AS_OF).join(features.first_last_devices(t, AS_OF), "user_id", "left")
 
 
 @_query("AG16_feature_pipeline", WIDE_SQL % ", DATE '2024-01-31' AS compute_dt")
@@ -485,10 +477,236 @@ def _(spark, d):
     return partitioning.deal_hot_keys(_tx(spark, d).select("hot_user"), "hot_user", [0], 8).groupBy("hot_user").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("PT4_partition_sizes", "SELECT CAST(range AS INTEGER) AS part, CASE WHEN range = 8 THEN 10 ELSE 0 END AS rows FROM range(9)")
+@_query("PT4_partition_sizes", "SELECT hot_user = 0 AS hot, count(*) AS rows FROM tx GROUP BY hot_user = 0")
+def _(spark, d):
+    sizes = partitioning.partition_sizes(partitioning.deal_hot_keys(_tx(spark, d), "hot_user", [0], 8), 9)
+    return sizes.groupBy((F.col("part") == 8).alias("hot")).agg(F.sum("rows").alias("rows"))
+
+
+@_query("PT5_partitioners_compared", "SELECT label, (SELECT count(*) FROM tx) AS rows, mixed FROM (VALUES ('hash', CAST(1 AS BIGINT)), ('hot keys apart', CAST(0 AS BIGINT))) AS l(label, mixed)")
+def _(spark, d):
+    return partitioning.compare_partitioners(_tx(spark, d).select("hot_user"), "hot_user", [0], 4).select("label", "rows", "mixed")
+
+
+@_query("SL2_largest_partitions", "SELECT CAST(8 AS INTEGER) AS part, count(*) AS rows FROM tx WHERE hot_user = 0")
+def _(spark, d):
+    return partitioning.largest_partitions(partitioning.deal_hot_keys(_tx(spark, d).select("hot_user"), "hot_user", [0], 8), 1)
+
+
+@_query("PT1_round_robin", "SELECT CAST(8 AS BIGINT) AS parts, count(*) AS rows FROM tx")
+def _(spark, d):
+    dealt = partitioning.round_robin(_tx(spark, d).select("txn_id"), 8)
+    return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"))
+
+
+@_query("PT2_clustered", "SELECT hot_user, CAST(1 AS BIGINT) AS parts, count(*) AS rows FROM tx GROUP BY hot_user")
+def _(spark, d):
+    dealt = partitioning.cluster(_tx(spark, d).select("hot_user"), ["hot_user"], 8).withColumn("part", F.spark_partition_id())
+    return dealt.groupBy("hot_user", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("hot_user").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"))
+
+
+@_query("FN_row_numbers", "SELECT count(*) AS rows, count(*) AS numbers FROM tx")
+def _(spark, d):
+    return partitioning.numbered(_tx(spark, d).select("txn_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("numbers"))
+
+
+# ---------------------------------------------------------------------------------------------- sinks: written, and read back
+
+_ROWS = "SELECT txn_id, cents, dt FROM tx"
+
+
+def _day_rows(spark, d) -> DataFrame:
+    return _tx(spark, d).select("txn_id", "cents", "dt")
+
+
+def _sink(name: str, write, sql: str = _ROWS):
+    """Registers a sink: ``write(spark, rows, path)``, then all that is found there."""
+
+    def run(spark, d):
+        path = scratch_path(spark, name.lower())
+        write(spark, _day_rows(spark, d), path)
+        return spark.read.parquet(path).select("txn_id", "cents", "dt")
+
+    return _query(name, sql)(run)
+
+
+def _again(df: DataFrame) -> DataFrame:
+    """The rows of one day, a cent dearer."""
+    return df.where("dt = date '2024-01-10'").withColumn("cents", F.col("cents") + 1)
+
+
+def _overwrite(spark, rows, path):
+    writer.write_parquet(_again(rows), path)
+    writer.write_parquet(rows, path)
+
+
+def _overwrite_day(spark, rows, path):
+    writer.write_overwriting_partitions(rows, path, ["dt"])
+    writer.write_overwriting_partitions(_again(rows), path, ["dt"])
+
+
+def _compact(spark, rows, path):
+    writer.write_fanned_out(rows.repartition(6), path, ["dt"])
+    done = layout.compact(spark, path, ["dt"])
+    if done is None or done.after.files >= done.before.files:
+        raise AssertionError("compaction left as many files")
+
+
+def _swap(spark, rows, path):
+    writer.write_parquet(_again(rows), path)
+    writer.write_parquet(rows, f"{path}._staging")
+    layout.swap(spark, path, f"{path}._staging")
+
+
+_sink("SNK1_overwrite", _overwrite)
+_sink("SNK2_partitioned_snappy", lambda s, r, p: writer.write_partitioned(r, p, ["dt"], compression="snappy"))
+_sink("SNK5_fanned_out", lambda s, r, p: writer.write_fanned_out(r, p, ["dt"]))
+_sink("SNK6_clustered", lambda s, r, p: writer.write_clustered(r, p, ["dt"]))
+_sink("SNK7_partition_overwrite", _overwrite_day, "SELECT txn_id, CASE WHEN dt = DATE '2024-01-10' THEN cents + 1 ELSE cents END AS cents, dt FROM tx")
+_sink("SNK8_partitioned", lambda s, r, p: writer.write_partitioned(r, p, ["dt"], files_per_partition=3))
+_sink("SNK9_target_size", lambda s, r, p: writer.write_with_target_size(r, p))
+_sink("SNK14_compacted", _compact)
+_sink("SNK15_swapped", _swap)
+
+
+@_query("SNK3_feature_table", WIDE_SQL % ", DATE '2024-01-31' AS compute_dt")
+def _(spark, d):
+    path = scratch_path(spark, "features")
+    writer.write_features(features.feature_pipeline(_tx(spark, d), AS_OF), path)
+    return spark.read.parquet(path)
+
+
+@_query("SNK4_bucketed_write", "SELECT user_id, count(*) AS rows FROM tx GROUP BY user_id")
+def _(spark, d):
+    return spark.table(_bucketed(spark, d)[0]).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_SIZES = (0, 1, 192 << 20, (192 << 20) + 1, 1 << 40)
+
+
+@_query("SNK10_partitions_for_bytes", f"SELECT bytes, CAST(greatest(1, ceil(bytes / {192 << 20}.0)) AS BIGINT) AS n FROM (VALUES {', '.join(f'(CAST({b} AS BIGINT))' for b in _SIZES)}) AS s(bytes)")
+def _(spark, d):
+    return spark.createDataFrame([(b, writer.partitions_for_bytes(b)) for b in _SIZES], "bytes long, n long")
+
+
+@_query("SNK11_partitions_for_rows", f"SELECT rows, CAST(greatest(1, ceil(rows * 256 / {192 << 20}.0)) AS BIGINT) AS n FROM (SELECT count(*) AS rows FROM tx)")
+def _(spark, d):
+    n = _tx(spark, d).count()
+    return spark.createDataFrame([(n, writer.partitions_for_rows(n, 256))], "rows long, n long")
+
+
+@_query("SNK12_dealt_for_write", "SELECT dt, count(*) AS rows, true AS few FROM tx GROUP BY dt")
+def _(spark, d):
+    dealt = writer.repartition_for_write(_day_rows(spark, d), ["dt"], 3).withColumn("part", F.spark_partition_id())
+    return dealt.groupBy("dt", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("dt").agg(F.sum("n").alias("rows"), (F.count(F.lit(1)) <= 3).alias("few"))
+
+
+@_query("SNK13_file_sizes", "SELECT CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS small_files, 1.0::DOUBLE AS small_ratio, true AS ordered FROM (SELECT 1 FROM tx LIMIT 1)")
+def _(spark, d):
+    path = scratch_path(spark, "five")
+    _day_rows(spark, d).repartition(5).write.parquet(path)
+    s = layout.analyze(spark, path)
+    ordered = 0 < s.least <= s.p50 <= s.p95 <= s.most and s.total_bytes >= s.files * s.least
+    return spark.createDataFrame([(s.files, s.small_files, s.small_ratio, ordered)], "files long, small_files long, small_ratio double, ordered boolean")
+
+
+_MADE = config.Settings(users=500, merchants=40, devices=60, transactions=4_000)
+_MADE_ROWS = {"dim_users": 500, "dim_merchants": 40, "dim_devices": 60, "dim_mcc": 100, "fact_transactions": 4_000}
+_MADE_SQL = f"SELECT * FROM (VALUES {', '.join(f'({n!r}, CAST({r} AS BIGINT))' for n, r in _MADE_ROWS.items())}) AS t(name, rows)"
+
+
+def _made(spark) -> tuple[str, dict[str, str]]:
+    base = scratch_path(spark, "made")
+    return base, synthetic.generate_all(spark, dataclasses.replace(_MADE, base_path=base), AS_OF)
+
+
+def _counted(spark, paths: dict[str, str]) -> DataFrame:
+    out = None
+    for name, path in paths.items():
+        one = spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("SRC7_generated", _MADE_SQL)
+def _(spark, d):
+    return _counted(spark, _made(spark)[1])
+
+
+@_query("SNK16_all_compacted", _MADE_SQL)
+def _(spark, d):
+    base, paths = _made(spark)
+    layout.compact_all(spark, base)
+    return _counted(spark, paths)
+
+
+@_query("SNK17_plan_file", "SELECT true AS scans, true AS joins FROM (SELECT 1 FROM tx LIMIT 1)")
+def _(spark, d):
+    path = dump_plan(joins.sort_merge_join(_fact(spark, d), _dim(spark, d), "null_user"), scratch_path(spark, "plans"), "join")
+    text = F.concat_ws(" ", F.collect_list("value"))
+    return spark.read.text(path).agg(text.contains("Scan parquet").alias("scans"), text.contains("SortMergeJoin").alias("joins"))
+
+
+# ---------------------------------------------------------------------------------------------- operations
+
+
+@_query("OPS1_recommended_settings", f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in sorted(RECOMMENDED.items()))}) AS t(key, value)")
+def _(spark, d):
+    mine = spark.newSession()  # the caller's settings stay as they are
+    apply_preset(mine, "recommended")
+    found = [(r.key, r.value) for r in dump_confs(mine, ("spark.sql.",)).collect() if r.key in RECOMMENDED]
+    return spark.createDataFrame(found, "key string, value string")
+
+
+@_query("OPS5_cached", "SELECT count(*) AS rows, true AS held, false AS after FROM tx")
+def _(spark, d):
+    manager, name = CacheManager(spark), "rows"
+    df = manager.persist(_day_rows(spark, d), name, "disk")
+    rows, held = df.count(), df.storageLevel.useDisk
+    manager.unpersist_all()
+    return spark.createDataFrame([(rows, held, df.is_cached)], "rows long, held boolean, after boolean")
+
+
+@_query("OPS7_lineage_cut", _ROWS)
+def _(spark, d):
+    shared_dir(spark)
+    return CacheManager(spark).truncate_lineage(_day_rows(spark, d))
+
+
+_TASKS = [(1, 10, 5), (1, 30, 5), (1, 10, 5), (2, 0, 0)]
+
+
+@_query("OPS8_stage_metrics", "SELECT stage, count(*) AS tasks, CAST(max(ms) AS BIGINT) AS max_ms, CAST(sum(records) AS BIGINT) AS records FROM (VALUES (1, 10, 5), (1, 30, 5), (1, 10, 5), (2, 0, 0)) AS t(stage, ms, records) GROUP BY stage")
+def _(spark, d):
+    path = scratch_path(spark, "log")
+    task = F.to_json(F.struct(F.lit("SparkListenerTaskEnd").alias("Event"), F.col("stage").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"), F.struct(F.col("ms").alias("Executor Run Time"), F.struct(F.col("records").alias("Records Read")).alias("Input Metrics")).alias("Task Metrics")))
+    spark.createDataFrame(_TASKS, "stage int, ms long, records long").select(task.alias("value")).write.text(path)
+    return stage_metrics(spark, path).select("stage", "tasks", "max_ms", "records")
+
+
+@_query("OPS11_codegen_limit", "SELECT '8000' AS inside, true AS back FROM (SELECT 1 FROM tx LIMIT 1)")
+def _(spark, d):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    with set_codegen_limit(spark, 8000):
+        inside = spark.conf.get(name)
+    return spark.createDataFrame([(inside, spark.conf.get(name, None) == before)], "inside string, back boolean")
+
+
+@_query("UD5_counted_naively", "SELECT count(*) AS rows FROM tx")
+def _(spark, d):
+    return spark.createDataFrame([(batch.count_naively(_day_rows(spark, d)),)], "rows long")
+
+
+@_query("UD6_counted_once", "SELECT count(*) AS rows FROM tx")
+def _(spark, d):
+    return spark.createDataFrame([(batch.count_once(_day_rows(spark, d)),)], "rows long")
+
+
+@_query("UD7_observed", "SELECT count(*) AS rows FROM tx")
 def _(spark, d):
-    few = spark.range(10).select(F.lit(0).cast("long").alias("k"))
-    return partitioning.partition_sizes(partitioning.deal_hot_keys(few, "k", [0], 8), 9).withColumn("rows", F.col("rows").cast("int"))
+    seen = batch.observed_count(_day_rows(spark, d), lambda df: df.write.format("noop").mode("overwrite").save())
+    return spark.createDataFrame([(seen,)], "rows long")
 
 
 # ---------------------------------------------------------------------------------------------- Python functions
@@ -496,12 +714,12 @@ def _(spark, d):
 
 @_query("UD1_predicate", "SELECT txn_id FROM tx WHERE amount > 250.0")
 def _(spark, d):
-    return _tx(spark, d).where(predicates.opaque_gt("amount", 250.0)).select("txn_id")
+    return _tx(spark, d).where(predicates.vector_gt("amount", 250.0)).select("txn_id")
 
 
-@_query("UD2_lookup", _LOOKUP_SQL)
+@_query("UD2_lookup", LEFT_SQL)
 def _(spark, d):
-    return joins.lookup(_fact(spark, d), _dim(spark, d), "null_user", "name")
+    return joins.mapped_lookup(_fact(spark, d), _dim(spark, d), "null_user", "name").select("null_user", "txn_id", "cents", "name")
 
 
 _SCORES = "SELECT txn_id, 7 * txn_id + 3 AS score FROM tx"

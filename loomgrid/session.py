@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
@@ -29,6 +31,7 @@ RECOMMENDED = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
+#: The settings without adaptive execution, those of one machine, and speculation (below).
 BASELINE = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "200", "spark.sql.autoBroadcastJoinThreshold": str(10 * MB)}
 LAPTOP = {**RECOMMENDED, "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(32 * MB)}
 PRESETS: Mapping[str, Mapping[str, str]] = {"recommended": RECOMMENDED, "baseline": BASELINE, "laptop": LAPTOP}
@@ -37,13 +40,43 @@ SPECULATION = {"spark.speculation": "true", "spark.speculation.interval": "100ms
 DUMPED = ("spark.sql.adaptive", "spark.sql.shuffle", "spark.sql.files", "spark.sql.autoBroadcastJoinThreshold")
 
 
-def build_session(app: str = "loomgrid", master: str | None = None, preset: str = "laptop", speculation: bool = False, warehouse: str | None = None, extra: Mapping[str, str] | None = None) -> SparkSession:
-    """A session in UTC with a preset; ``speculation`` adds its four settings, which a running session refuses."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only on one machine (a local master, as in tests) a folder of our own is made and set where the session names none.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/loomgrid-{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: a barrier that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def build_session(app: str = "loomgrid", master: str | None = None, preset: str = "laptop", speculation: bool = False, warehouse: str | None = None, catalog: str | None = None, extra: Mapping[str, str] | None = None) -> SparkSession:
+    """A session in UTC with a preset; ``speculation`` adds its four settings, which a running session refuses.
+
+    ``catalog``: "hive" for a persistent metastore, "in-memory" for none; unset, Spark's default.
+    """
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
     if master or "SPARK_MASTER" in os.environ:
         builder = builder.master(master or os.environ["SPARK_MASTER"])
     if warehouse:
         builder = builder.config("spark.sql.warehouse.dir", warehouse)
+    if catalog:
+        builder = builder.config("spark.sql.catalogImplementation", catalog)
     for k, v in {**PRESETS[preset], **(SPECULATION if speculation else {}), **(extra or {})}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

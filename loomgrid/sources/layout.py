@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .writer import MB, partitions_for_bytes, repartition_for_write
+from ..session import conf
+from .writer import MB, partitions_for_bytes
 
 
 @dataclass(frozen=True)
@@ -52,30 +54,32 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def file_sizes(spark: SparkSession, path: str) -> list[int]:
-    """Sizes of the data files below ``path``: no empty files, none whose own name starts with a dot or underscore."""
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, folder, length of the data files below ``path``; no empty ones, none with a name that Spark takes for
+    hidden. Only the files' metadata is read, and long lists are made by tasks, not file by file on the driver."""
     fs, at = _fs(spark, path)
     if not fs.exists(at):
-        return []
-    out, files = [], fs.listFiles(at, True)
-    while files.hasNext():
-        f = files.next()
-        if f.getLen() > 0 and f.getPath().getName()[0] not in "._":
-            out.append(f.getLen())
-    return out
+        return spark.createDataFrame([], "path string, folder string, length long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    path_ = F.col("_metadata.file_path")
+    return files.select(path_.alias("path"), F.regexp_replace(path_, "/[^/]*$", "").alias("folder"), "length")
 
 
-def stats_of(sizes: Sequence[int], small_mb: int = 32) -> FileStats:
-    s = sorted(sizes)
-    if not s:
-        return FileStats(0, 0, 0, 0, 0, 0, 0, 0)
-    at = lambda p: s[min(int(len(s) * p), len(s) - 1)]
-    small = [x for x in s if x < small_mb * MB]
-    return FileStats(len(s), sum(s), len(small), sum(small), at(0.50), at(0.95), s[0], s[-1])
+def stats_of(files: DataFrame, small_mb: int = 32) -> FileStats:
+    """The sizes of a ``listing`` as one aggregation.
+
+    The percentile p is the least size that more than a share of p of the files do not exceed, which is the greatest
+    size that a share of 1 - p or more reach.
+    """
+    small = F.when(F.col("length") < small_mb * MB, F.col("length"))
+    at = lambda p: F.expr(f"percentile_disc({round(1 - p, 4)}) within group (order by length desc)")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    parts = (F.count("length"), F.sum("length"), F.count(small), F.sum(small), at(0.50), at(0.95), F.min("length"), F.max("length"))
+    return FileStats(*files.agg(*(none(c).alias(f"c{k}") for k, c in enumerate(parts))).first())
 
 
 def analyze(spark: SparkSession, path: str, small_mb: int = 32) -> FileStats:
-    return stats_of(file_sizes(spark, path), small_mb)
+    return stats_of(listing(spark, path), small_mb)
 
 
 def needs_compaction(stats: FileStats, small_ratio: float = 0.30, good_avg_mb: float = 64) -> bool:
@@ -119,12 +123,18 @@ def compact(spark: SparkSession, path: str, partition_cols: Sequence[str] = (),
     if not needs_compaction(before, small_ratio):
         return None
     staging = f"{path}._staging"
-    rows = spark.read.parquet(path)
-    n = partitions_for_bytes(before.total_bytes, target_mb)
+    with conf(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": False}):  # "01" stays "01"
+        rows = spark.read.parquet(path)
     if partition_cols:
-        out = repartition_for_write(rows, partition_cols).write.partitionBy(*partition_cols)
+        # as many tasks a directory as its bytes need; rows are dealt to them by their hash
+        need = listing(spark, path).groupBy("folder").agg(F.sum("length").alias("b"))
+        need = need.select("folder", F.greatest(F.ceil(F.col("b") / (target_mb * MB)), F.lit(1)).cast("long").alias("_files"))
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        dealt = rows.withColumn("_folder", folder).join(need, F.col("_folder") == F.col("folder"), "left")
+        salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_files")), F.lit(0).cast("long"))
+        out = dealt.withColumn("_salt", salt).repartition(*partition_cols, "_salt").select(*rows.columns).write.partitionBy(*partition_cols)
     else:
-        out = rows.repartition(n).write
+        out = rows.repartition(partitions_for_bytes(before.total_bytes, target_mb)).write
     out.mode("overwrite").option("compression", "zstd").parquet(staging)
     swap(spark, path, staging)
     spark.catalog.refreshByPath(path)

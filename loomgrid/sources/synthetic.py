@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 
+#: Fixed values.
 CHANNELS = ("online", "pos", "atm", "mobile")
 STATUSES = ("approved", "approved", "approved", "declined", "error")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MB = 1 << 20
 TARGET_MB = 192
 MAX_RECORDS = 5_000_000
+#: Estimates from which on bytes are counted, rows that are measured, bytes of a row if there are none, tasks at most.
+MOST_BYTES, SAMPLE, ROW_BYTES, MOST_FILES = 1 << 50, 1_000, 256, 1_000_000
 
 
 def partitions_for_bytes(total: int, target_mb: int = TARGET_MB) -> int:
@@ -58,11 +60,22 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str], target_mb:
     rows.write.mode("overwrite").option("compression", compression).option("parquet.block.size", target_mb * MB).option("maxRecordsPerFile", max_records).partitionBy(*cols).parquet(path)
 
 
-def write_with_target_size(df: DataFrame, path: str, target_mb: int = TARGET_MB, compression: str = "zstd") -> int:
-    """Unpartitioned write in files of about ``target_mb``; returns how many tasks wrote. Size: the optimizer's."""
+def size_of(df: DataFrame) -> int:
+    """Bytes of a frame: the optimizer's estimate where it rests on files alone; a join multiplies its sides there, and
+    rows in memory are of unknown size, so these are counted and a sample of them measured."""
     from ..operators.joins import estimated_bytes
 
-    n = partitions_for_bytes(estimated_bytes(df), target_mb)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    guess = estimated_bytes(df)
+    if guess < MOST_BYTES and "Join" not in plan and "LogicalRDD" not in plan and "Generate" not in plan:
+        return guess
+    width = df.limit(SAMPLE).select(F.length(F.to_json(F.struct("*"))).alias("w")).agg(F.avg("w")).first()[0] if df.columns else None
+    return int(df.count() * (width or ROW_BYTES))
+
+
+def write_with_target_size(df: DataFrame, path: str, target_mb: int = TARGET_MB, compression: str = "zstd") -> int:
+    """Unpartitioned write in files of about ``target_mb``; returns how many tasks wrote."""
+    n = min(partitions_for_bytes(size_of(df), target_mb), MOST_FILES)
     df.repartition(n).write.mode("overwrite").option("compression", compression).parquet(path)
     return n
 

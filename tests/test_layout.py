@@ -17,13 +17,29 @@ def _files(path):
     return [f for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
 
 
-def test_sizes():
+def _files_of(spark, sizes):
+    return spark.createDataFrame([(f"f{k}", "d", n) for k, n in enumerate(sizes)], "path string, folder string, length long")
+
+
+def test_sizes(spark):
     assert writer.partitions_for_bytes(0) == 1 and writer.partitions_for_bytes(192 << 20) == 1 and writer.partitions_for_bytes((192 << 20) + 1) == 2
     assert writer.partitions_for_rows(1000, 1 << 20, 100) == 10
-    s = layout.stats_of([1, 2, 3, 40 << 20])
+    s = layout.stats_of(_files_of(spark, [1, 2, 3, 40 << 20]))
     assert (s.files, s.small_files, s.p50, s.p95, s.least, s.most, s.small_ratio) == (4, 3, 3, 40 << 20, 1, 40 << 20, 0.75)
-    assert layout.stats_of([32 << 20]).small_files == 0 and "files=4" in s.pretty()
-    assert not layout.needs_compaction(layout.stats_of([])) and not layout.needs_compaction(layout.stats_of([100 << 20]))
+    assert layout.stats_of(_files_of(spark, [32 << 20])).small_files == 0 and "files=4" in s.pretty()
+    for n in (1, 2, 3, 19, 20, 21, 40, 100):
+        s = layout.stats_of(_files_of(spark, range(1, n + 1)))
+        assert (s.p50, s.p95) == (min(n // 2, n - 1) + 1, min(n * 95 // 100, n - 1) + 1), n
+    assert not layout.needs_compaction(layout.stats_of(_files_of(spark, []))) and not layout.needs_compaction(layout.stats_of(_files_of(spark, [100 << 20])))
+
+
+def test_target_sizes_of_frames_of_unknown_size(spark, sf, tmp_path):
+    """Rows in memory and joins are counted and measured, not guessed."""
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(2000)], "id long, x string")
+    assert 150_000 < writer.size_of(rows) < 400_000 and writer.write_with_target_size(rows, f"{tmp_path}/a") == 1
+    joined = tables.read(spark, sf, "orders").join(tables.read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert writer.write_with_target_size(joined, f"{tmp_path}/b") == 1 and spark.read.parquet(f"{tmp_path}/b").count() == joined.count()
+    assert writer.size_of(spark.createDataFrame([], "a int")) == 0
 
 
 def test_partitioned_writes(spark, sf, tmp_path, same):
@@ -60,6 +76,21 @@ def test_compaction(spark, tmp_path, same):
     same(rows, spark.read.parquet(path))
 
 
+def test_compaction_by_directory(spark, tmp_path, same):
+    """Names of directories stay as they are, and a large directory gets several files."""
+    path = f"{tmp_path}/t"
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 == 0, "01").otherwise("a b").alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    rows.repartition(12).write.partitionBy("p").parquet(path)
+    done = layout.compact(spark, path, ["p"], target_mb=1)
+    found = sorted(os.listdir(path))
+    assert "p=01" in found and done.after.files < done.before.files
+    large = next(f for f in found if f.startswith("p=a"))
+    assert len(_files(f"{path}/{large}")) >= 2 and len(_files(f"{path}/p=01")) == 1
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    same(rows.select("x", "p"), spark.read.parquet(path))
+    spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+
+
 def test_swap_survives_a_crash(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(3).write.parquet(f"{path}._backup")  # the old table was renamed, then the job died

@@ -179,18 +179,105 @@ def test_cache_and_plans(spark, tmp_path):
     assert [r.rows for r in explain.compare(spark, {"a": lambda: spark.range(4)}).collect()] == [4]
 
 
-def test_joins_have_a_whole_twin(spark, sf):
-    """Each strategy that joins the few rows of the edge table also joins the whole customer table."""
+def test_joins_meet_whole_tables(spark, sf):
+    """All events, with a hot key and null keys, and all customers."""
     from loomgrid.plans import catalogue
 
-    names = [*catalogue._LEFT, "JN12_join_without_null_keys", "JN18_lookup", "UD2_lookup"]
-    assert {f"{n}_whole" for n in names} <= set(catalogue.queries())
-    assert catalogue._whole_dim(spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
-    keys = catalogue._whole_fact(spark, sf).groupBy("null_user").count().collect()
+    assert catalogue._dim(spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    keys = catalogue._fact(spark, sf).groupBy("null_user").count().collect()
     assert sum(r["count"] for r in keys) == spark.read.parquet(f"{sf}/events.parquet").count()
     assert None in {r.null_user for r in keys} and max(r["count"] for r in keys) > 0.25 * sum(r["count"] for r in keys)
 
 
+def test_skew_join_splits_a_partition(spark):
+    """With skew joins off in the session, on while the operator runs, and off again after it."""
+    left = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id")).alias("k"), F.concat(F.lit("x" * 50), F.xxhash64("id").cast("string")).alias("x")).repartition(16)
+    right = spark.range(60_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("v"))
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 20_000, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 20_000}
+
+    def run(df):
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        return df.count(), df._jdf.queryExecution().executedPlan().toString()
+
+    with session.conf(spark, {"spark.sql.adaptive.skewJoin.enabled": False, "spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.shuffle.partitions": 8}):
+        n, plan = joins.adaptive_skew_join(spark, left, right, "k", small, run)
+        assert n == 60_000 and "skew=true" in plan
+        assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "False"
+        assert joins.adaptive_skew_join(spark, left, right, "k", small).count() == n
+
+
+def test_plans_differ_as_the_operators_say(spark, sf, tmp_path, same):
+    left = tables.transactions(spark, sf).select("user_id", "txn_id")
+    right = tables.users(spark, sf).select("user_id", "user_name")
+    with session.conf(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        assert "BroadcastHashJoin" in explain.plan_text(joins.forced_broadcast(left, right, "user_id"))
+        mapped = joins.mapped_lookup(left, right, "user_id", "user_name")
+        assert "Join" not in explain.plan_text(mapped) and "ArrowEvalPython" in explain.plan_text(mapped)
+        assert "Join" in explain.plan_text(joins.mapped_lookup(left, right, "user_id", "user_name", most=0))
+        same(mapped, joins.lookup(left, right, "user_id", "user_name"))
+    # a barrier leaves the last step alone in the plan
+    t = tables.transactions(spark, sf).select("txn_id", "cents")
+    one, steps = (f(t, "cents", 40) for f in (predicates.wide_projection, lambda *x: predicates.wide_projection_in_steps(*x, step=10)))
+    with session.conf(spark, {"spark.sql.debug.maxToStringFields": 1000}):
+        assert explain.plan_text(one, "simple").count("CASE WHEN") == 40 and explain.plan_text(steps, "simple").count("CASE WHEN") == 10
+    same(one, steps)
+    # a vectorised predicate, and a row-wise one
+    assert "ArrowEvalPython" in explain.plan_text(left.where(predicates.vector_gt("txn_id", 5.0))) and "BatchEvalPython" in explain.plan_text(left.where(predicates.opaque_gt("txn_id", 5.0)))
+    path = f"file://{tmp_path}/facts"
+    tables.transactions(spark, sf).select("dt", "cents").write.partitionBy("dt").parquet(path)
+    days = tables.calendar(spark, "2024-01-31", 35)
+    pruned, whole = joins.pruned_days(spark, path, days, "2024-01-25"), joins.pruned_days(spark, path, days, "2024-01-25", prune=False)
+    assert "dynamicpruning" in explain.plan_text(pruned, "extended").lower()
+    same(pruned, whole)
+    assert len(pruned.select("dt").distinct().collect()) < 30
+
+
+def test_feature_plans(spark, sf):
+    """One scan for all counts and amounts and one for first and last devices; no row is copied for each distinct count."""
+    t = tables.transactions(spark, sf)
+    for df in (features.frequency_features(t, AS_OF), features.amount_features_exact(t, AS_OF), features.device_features(t, AS_OF), features.feature_pipeline(t, AS_OF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "collect_set" not in plan and "percentile" not in plan
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_partitions(spark, sf):
+    df = tables.transactions(spark, sf).select("hot_user", "txn_id")
+    parts = partitioning.cluster(df, ["hot_user"], 4).withColumn("p", F.spark_partition_id()).groupBy("hot_user").agg(F.count_distinct("p").alias("n"))
+    assert parts.where("n > 1").isEmpty()
+    assert "Rebalance" in partitioning.cluster(df, ["hot_user"])._jdf.queryExecution().analyzed().toString()
+    hot = df.where("hot_user = 0").count()
+    top = partitioning.largest_partitions(partitioning.deal_hot_keys(df, "hot_user", [0], 8), 2).collect()
+    assert (top[0].part, top[0].rows) == (8, hot) and len(top) == 2
+    found = {r.label: r for r in partitioning.compare_partitioners(df, "hot_user", [0], 4).collect()}
+    assert found["hash"].mixed == 1 and found["hot keys apart"].mixed == 0 and found["hash"].largest > found["hot keys apart"].largest >= hot
+    assert partitioning.numbered(df).select("row_id").distinct().count() == df.count()
+    few = spark.range(10).select(F.lit(0).cast("long").alias("k"))
+    assert [r.rows for r in partitioning.partition_sizes(partitioning.deal_hot_keys(few, "k", [0], 8), 9).orderBy("part").collect()] == [0] * 8 + [10]
+
+
+def test_session_parts(spark):
+    built = session.build_session("again", preset="recommended", extra={"loomgrid.x": "1"}, catalog="in-memory")
+    assert built.conf.get("loomgrid.x") == "1"
+    session.apply_preset(spark, "recommended")
+    for k in session.RECOMMENDED:
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    with session.set_codegen_limit(spark, 123):
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "123"
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_approximate_devices_are_near(spark, sf):
+    t = tables.transactions(spark, sf)
+    exact = {r.user_id: r for r in features.device_features(t, AS_OF).collect()}
+    for r in features.device_features(t, AS_OF, approximate=True).collect():
+        for c in ("distinct_devices_30d", "distinct_channels_30d", "distinct_geos_7d"):
+            assert abs(r[c] - exact[r.user_id][c]) <= 0.1 * exact[r.user_id][c] + 1
+        assert r.first_device_30d == exact[r.user_id].first_device_30d
+
+
 def test_percentiles_of_a_large_group_are_exact(spark):
     """One user with far more distinct amounts than a sketch keeps."""
     from loomgrid.operators import features
