@@ -36,13 +36,20 @@ def values_of(txns: DataFrame, as_of: str, windows: Sequence[int], key: str, kin
     return rows.groupBy(key, "kind", "value").agg(*(F.count_if(in_window(as_of, w)).alias(f"n_{w}d") for w in windows))
 
 
-def _of(kind: str, w: int) -> Column:
+# The columns below are written as SQL text: hundreds of small expressions cost a call to the JVM each otherwise.
+
+
+def _of(kind: str, w: int) -> str:
     """Whether a row of ``values_of`` is a value of the kind that occurs in the window."""
-    return (F.col("kind") == kind) & F.col("value").isNotNull() & (F.col(f"n_{w}d") > 0)
+    return f"kind = '{kind}' and value is not null and n_{w}d > 0"
+
+
+def _among(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) or "null"
 
 
-def _times(condition: Column, w: int) -> Column:
-    return F.sum(F.when(condition, F.col(f"n_{w}d")).otherwise(F.lit(0).cast("long")))
+def _times(condition: str, w: int) -> str:
+    return f"sum(case when {condition} then n_{w}d else 0L end)"
 
 
 FREQUENCY_KINDS = ("status", "merchant_id", "ip")
@@ -50,17 +57,14 @@ DEVICE_KINDS = {"distinct_devices": "device_id", "distinct_geos": "geo_hash", "d
 
 
 def _frequency(windows: Sequence[int], success: Sequence[str], fail: Sequence[str]) -> list[Column]:
-    out = []
+    out, status = [], "kind = 'status'"
+    good, bad = (f"{status} and value in ({_among(x)})" for x in (success, fail))
     for w in windows:
-        status = F.col("kind") == "status"
         out += [
-            _times(status, w).alias(f"txn_cnt_{w}d"),
-            _times(status & F.col("value").isin(*success), w).alias(f"txn_succ_cnt_{w}d"),
-            _times(status & F.col("value").isin(*fail), w).alias(f"txn_fail_cnt_{w}d"),
-            F.count_if(_of("merchant_id", w)).alias(f"distinct_merchants_{w}d"),
-            F.count_if(_of("ip", w)).alias(f"distinct_ips_{w}d"),
-        ]
-    return out
+            f"{_times(status, w)} as txn_cnt_{w}d", f"{_times(good, w)} as txn_succ_cnt_{w}d", f"{_times(bad, w)} as txn_fail_cnt_{w}d",
+            f"count_if({_of('merchant_id', w)}) as distinct_merchants_{w}d", f"count_if({_of('ip', w)}) as distinct_ips_{w}d",
+        ]
+    return [F.expr(x) for x in out]
 
 
 def frequency_features(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, success: Sequence[str] = SUCCESS, fail: Sequence[str] = FAIL, approximate: bool = False, key: str = "user_id") -> DataFrame:
@@ -107,23 +111,23 @@ def _ranked(values: DataFrame, windows: Sequence[int], key: str) -> DataFrame:
 def _amounts(windows: Sequence[int]) -> list[Column]:
     out = []
     for w in windows:
-        n, c = F.when(F.col("num").isNotNull(), F.col(f"n_{w}d")), F.when(F.col(f"n_{w}d") > 0, F.col("num"))
-        out += [F.sum(n).alias(f"_n{w}"), F.sum(n * c).alias(f"_s{w}"), F.sum(n * c * c).alias(f"_q{w}"), F.min(c).alias(f"_lo{w}"), F.max(c).alias(f"_hi{w}")]
-        out += [F.min(F.when(F.col(f"up_{w}d") * 100 >= F.col(f"of_{w}d") * p, c)).alias(f"_p{p}_{w}") for p in PERCENTS]
-    return out
+        c = f"case when n_{w}d > 0 then num end"
+        out += [f"sum(case when num is not null then n_{w}d end) as _n{w}", f"sum(n_{w}d * num) as _s{w}", f"sum(n_{w}d * num * num) as _q{w}", f"min({c}) as _lo{w}", f"max({c}) as _hi{w}"]
+        out += [f"min(case when n_{w}d > 0 and up_{w}d * 100 >= of_{w}d * {p} then num end) as _p{p}_{w}" for p in PERCENTS]
+    return [F.expr(x) for x in out]
 
 
 def _amount_columns(windows: Sequence[int]) -> list[Column]:
     out = []
     for w in windows:
-        n, s, q = (F.col(f"_{k}{w}").cast("double") for k in "nsq")
-        money = lambda name: F.col(name).cast("double") / 100
+        n, s, q = (f"double(_{k}{w})" for k in "nsq")
+        some = f"case when _n{w} > 0 then"
         out += [
-            (s / 100).alias(f"amt_sum_{w}d"), F.when(n > 0, s / 100 / n).alias(f"amt_avg_{w}d"), money(f"_lo{w}").alias(f"amt_min_{w}d"), money(f"_hi{w}").alias(f"amt_max_{w}d"),
-            F.when(n > 1, F.sqrt((q - s * s / n) / (n - 1)) / 100).alias(f"amt_std_{w}d"),
-            *(money(f"_p{p}_{w}").alias(f"amt_p{p}_{w}d") for p in PERCENTS),
+            f"{some} {s} / 100 end as amt_sum_{w}d", f"{some} {s} / 100 / {n} end as amt_avg_{w}d", f"double(_lo{w}) / 100 as amt_min_{w}d", f"double(_hi{w}) / 100 as amt_max_{w}d",
+            f"case when _n{w} > 1 then sqrt(({q} - {s} * {s} / {n}) / ({n} - 1)) / 100 end as amt_std_{w}d",
+            *(f"double(_p{p}_{w}) / 100 as amt_p{p}_{w}d" for p in PERCENTS),
         ]
-    return out
+    return [F.expr(x) for x in out]
 
 
 def amount_features_exact(txns: DataFrame, as_of: str, windows: Sequence[int] = WINDOWS, key: str = "user_id", cents: str = "cents") -> DataFrame:
@@ -137,8 +141,8 @@ def amount_features_exact(txns: DataFrame, as_of: str, windows: Sequence[int] =
 
 def _devices(windows: Sequence[int]) -> list[Column]:
     """Distinct counts over rows with a device; null for users who have none."""
-    any_ = F.count_if((F.col("kind") == "dev_device_id") & F.col("value").isNotNull()) > 0
-    return [F.when(any_, F.count_if(_of(f"dev_{c}", w))).alias(f"{name}_{w}d") for w in windows for name, c in DEVICE_KINDS.items()]
+    some = "count_if(kind = 'dev_device_id' and value is not null) > 0"
+    return [F.expr(f"case when {some} then count_if({_of(f'dev_{c}', w)}) end as {name}_{w}d") for w in windows for name, c in DEVICE_KINDS.items()]
 
 
 def _device_kinds() -> dict[str, Column]:
