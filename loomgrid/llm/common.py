@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path, shared_dir
+
 
 #: Keys that are dealt over several tasks at most, and rows of a key that are never dealt further.
 HOT_KEYS, FEW = 10_000, 100
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors.
 
-    Only on one machine (a local master, as in tests) a folder of our own is made and set where the session names none.
+    The table goes when the session ends, or earlier by ``drop``.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
+    goes_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgrid-{name}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch that a lazy result may still read is deleted when the driver's file systems are closed."""
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        fs, target = _file_system(df.sparkSession, df._loom_path)
+        fs.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +70,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int,
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+__all__ = ["crc_fold", "drop", "goes_at_exit", "id_text", "materialise", "scratch_path", "shared_dir", "spread_join", "table"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, table
+from .common import drop, goes_at_exit, materialise, scratch_path, table
 from .wordtable import ragged
 
 #: Queries of a tree, points of a tree, points of a leaf, queries of a leaf, pivots at most, and bytes of query trees that travel at once.
@@ -391,8 +391,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, pack: i
         meet(again, False).write.mode("append").parquet(path)
         shared.destroy()
         again.destroy()
+        drop(near)
     if packs.isEmpty():
         return spark.createDataFrame([], schema)
+    goes_at_exit(spark, path)
     found = spark.read.schema(found_schema).parquet(path)
     if work is not None:
         did = found.agg(F.coalesce(F.sum("leaf_pairs"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()

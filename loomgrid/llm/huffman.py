@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, scratch_path, table
+from .common import drop, goes_at_exit, id_text, materialise, scratch_path, table
 from .wordbpe import default_vocabulary, encoder
 
 
@@ -272,8 +272,12 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int, path: str | None =
     toks = materialise(tokens(docs, vocabulary, end_id), "tokens")
     counts = global_counts(toks)
     lengths = code_lengths(counts)
+    own = path is None
     path = path or scratch_path(spark, "huffman")
     write(toks, path, lengths, int(counts.sum()), **sizes_of)
+    drop(toks)
+    if own:
+        goes_at_exit(spark, path)
     rows = materialise(read(spark, path, lengths, with_ids), "decoded")
     # one row per file, in the order of the parts; a single running sum over the files
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, table
+from .common import drop, id_text, materialise, table
 from .huffman import global_counts
 from .wordbpe import default_vocabulary, encoder
 from .wordtable import ragged, spans, text_bytes
@@ -394,6 +394,7 @@ def train(toks: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, shard_token
                 step = max(1, BLOCK * EMBED // net.w[r.name].shape[1])
                 net.w[r.name][r.block * step : (r.block + 1) * step] += mean.reshape(-1, net.w[r.name].shape[1])
         shared.destroy()
+        drop(parts)
     return rank, net
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, spread_join, table
+from .common import drop, id_text, materialise, spread_join, table
 from .wordtable import ragged, slices, spans, text_bytes
 
 TAU, SHINGLE, SEED = 3, 3, 42
@@ -415,7 +415,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(spread_join(both, least, "a", "n", total, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         # small star: a node and its lesser neighbours are linked to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = materialise(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        before, edges = edges, materialise(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        drop(before, least, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))

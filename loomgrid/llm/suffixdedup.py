@@ -412,7 +412,7 @@ def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BY
 
     # -- 1: which keys occur in several documents
     n_tasks = max(least_tasks, -(-total // (32 << 20)))
-    bits = min(16, max(6, int(4 * n_tasks - 1).bit_length()))
+    bits = min(24, max(6, int(4 * n_tasks - 1).bit_length()))  # a bucket is held whole by a task: they grow in number
     shift = np.uint64(64 - bits)
 
     def name_keys(batches):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, spread_join, table
+from .common import drop, goes_at_exit, materialise, scratch_path, spread_join, table
 
 #: Payloads below LEAST bytes are never revisits; a record's block has at most SEGMENT bytes, a chunk at most CHUNK, a
 #: file at most FILE_RECORDS records; FEED bytes are decompressed at once. DATE: of records, where none is given.
@@ -179,6 +179,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = DATE)
     schema = "value binary"
     # the text writer puts the bytes of a string out as they are (a test holds it to that), in any store, and commits
     rows.mapInArrow(run, schema).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    drop(first)
 
 
 def read(spark, path: str, with_payload: bool = True) -> DataFrame:
@@ -243,6 +244,7 @@ def read_pages(spark, path: str, with_payload: bool = True) -> DataFrame:
 def op5(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
+    goes_at_exit(spark, path)
     return read_pages(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
