@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import packing, quality_rules, simhash, suffixdedup, toxicity
-from loomgrid.llm.common import scratch_path, table
+from loomgrid.llm.common import goes_at_exit, scratch_path, table
 from loomgrid.llm.wordbpe import default_vocabulary
 
 #: No SQL: learned models, tokenizers and passages of bytes are beyond it; tests hold stages against brute force.
@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"stage-{name}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
+        goes_at_exit(spark, path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
