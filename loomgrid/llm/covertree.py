@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, goes_at_exit, materialise, scratch_path, table
+from .common import drop, goes_at_exit, materialise, scratch_path, table, tidy
 from .wordtable import ragged
 
 #: Queries of a tree, points of a tree, points of a leaf, queries of a leaf, pivots at most, and bytes of query trees that travel at once.
@@ -263,7 +263,7 @@ def _dealt(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     names=["vec_id", "dim", "pivot", "v"],
                 )
 
-    return rows.mapInArrow(run, "vec_id long, dim int, pivot int, v binary")
+    return rows.mapInArrow(tidy(run), "vec_id long, dim int, pivot int, v binary")
 
 
 def _trees(dealt: DataFrame, sizes: list, most: int, name: str, k: int | None) -> DataFrame:
@@ -312,7 +312,7 @@ def _trees(dealt: DataFrame, sizes: list, most: int, name: str, k: int | None) -
 
     by = ["dim", "pivot", "part"]
     ordered = rows.select(*by, "vec_id", "v").repartition(n_tasks, *by).sortWithinPartitions(*by, "vec_id", "v")
-    return materialise(ordered.mapInArrow(run, "dim int, pivot int, part int, n long, tree binary"), name)
+    return materialise(ordered.mapInArrow(tidy(run), "dim int, pivot int, part int, n long, tree binary"), name)
 
 
 def _rounds(packs: DataFrame, most: int):
@@ -377,7 +377,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, pack: i
                     names=["query_id", "vec_id", "score", "leaf_pairs", "pairs"],
                 )
 
-        return spread.select("dim", "pivot", "tree").mapInArrow(run, found_schema)
+        return spread.select("dim", "pivot", "tree").mapInArrow(tidy(run), found_schema)
 
     for held in _rounds(packs.select("dim", "pivot", "tree"), round_bytes):
         shared = spark.sparkContext.broadcast((held, None))

@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, goes_at_exit, id_text, materialise, scratch_path, table
+from .common import drop, goes_at_exit, id_text, materialise, scratch_path, table, tidy
 from .wordbpe import default_vocabulary, encoder
 
 
@@ -171,7 +171,7 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(rows, pa.binary()), pa.array([size] * n, pa.int32())], names=["doc_id", "tie", "ids", "width"])
 
-    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, ids binary, width int")
+    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, tie long, ids binary, width int")
 
 
 def global_counts(toks: DataFrame) -> np.ndarray:
@@ -191,7 +191,7 @@ def global_counts(toks: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = toks.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = toks.select("ids", "width").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -228,7 +228,7 @@ def write(toks: DataFrame, path: str, lengths: np.ndarray, n_ids: int, file_ids:
     by = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("place")]
     ordered = toks.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n_files, *by).sortWithinPartitions(*by)
     # the text writer puts the bytes of a string out as they are, and a line feed after each block
-    ordered.select("doc_id", "ids", "width").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    ordered.select("doc_id", "ids", "width").mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
 def read(spark, path: str, lengths: np.ndarray, with_ids: bool = False) -> DataFrame:
@@ -257,7 +257,7 @@ def read(spark, path: str, lengths: np.ndarray, with_ids: bool = False) -> DataF
                 )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(tidy(run), "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def part_number(name: str) -> int:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, table
+from .common import id_text, materialise, table, tidy
 from .wordbpe import default_vocabulary, encoder
 
 WINDOW = 4096
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long, ids binary")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long, ids binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, wi
                 offset[at] = row[:, 3] + left % row[:, 1] * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), batch.column(6)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    out = ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    out = ranked.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out if with_ids else out.drop("ids")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, id_text, materialise, table
+from .common import drop, id_text, materialise, table, tidy
 from .huffman import global_counts
 from .wordbpe import default_vocabulary, encoder
 from .wordtable import ragged, spans, text_bytes
@@ -307,7 +307,7 @@ def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                     names=["doc_id", "tie", "n_words", "ids", "width"],
                 )
 
-    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, n_words long, ids binary, width int")
+    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, tie long, n_words long, ids binary, width int")
 
 
 def padded(rank: np.ndarray, rows: list[bytes], width: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,8 +383,8 @@ def train(toks: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, shard_token
 
         mine = dealt.where(F.pmod(F.shiftright("hash", 40), F.lit(rounds)) == k).withColumn("shard", F.pmod("hash", F.lit(shards)))
         ordered = mine.repartitionById(n_tasks, F.pmod("shard", F.lit(n_tasks)).cast("int")).sortWithinPartitions("shard", "tie", "doc_id")
-        parts = materialise(ordered.select("shard", "tie", "ids", "width").mapInArrow(learn, "name string, block long, n binary, v binary"), "changes")
-        means = parts.repartition("name", "block").mapInArrow(sum_blocks, "name string, block long, mean binary")
+        parts = materialise(ordered.select("shard", "tie", "ids", "width").mapInArrow(tidy(learn), "name string, block long, n binary, v binary"), "changes")
+        means = parts.repartition("name", "block").mapInArrow(tidy(sum_blocks), "name string, block long, mean binary")
         net = net.copy()
         for r in means.toLocalIterator():  # together as large as the weights
             mean = np.frombuffer(bytes(r.mean), "<f4")
@@ -428,7 +428,7 @@ def score(toks: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size), pa.array(total), mean], names=["doc_id", "n_words", "n_tokens", "log_likelihood", "mean_log_likelihood"])
                 at = to
 
-    return toks.select("doc_id", "n_words", "ids", "width").mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return toks.select("doc_id", "n_words", "ids", "width").mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def prepared(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, np.ndarray]:

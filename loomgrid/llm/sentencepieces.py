@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, table
+from .common import id_text, table, tidy
 from .wordbpe import default_vocabulary
 from .wordtable import intern, ragged, slices, text_bytes, words_of
 
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, id_text, materialise, spread_join, table
+from .common import drop, id_text, materialise, spread_join, table, tidy
 from .wordtable import ragged, slices, spans, text_bytes
 
 TAU, SHINGLE, SEED = 3, 3, 42
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, wide: bool = False) -> D
                 more = majority(remixed(hashes), shingles) if wide else np.zeros(len(got), np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(got.view(np.int64)), pa.array(more.view(np.int64)), batch.column(2).slice(first, last - first)], names=["doc_id", "fp", "more", "tie"])
 
-    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, more long, tie long")
+    return id_text(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, fp long, more long, tie long")
 
 
 # ------------------------------------------------------------------------------------------- the plan
@@ -142,7 +142,7 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i.ravel(), -1).astype(np.int32)), pa.array(np.append(j.ravel(), -1).astype(np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["i", "j", "n"])
 
     out, total = np.zeros((64, 64)), 0
-    for r in nodes.select("fp").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in nodes.select("fp").mapInArrow(tidy(run), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         if r.i < 0:
             total = r.n
         else:
@@ -326,7 +326,7 @@ def _filed(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
                     home[:, 0] = True
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(np.repeat(own, len(flips)).view(np.int64)), pa.array(np.repeat(more[s : s + step], len(flips))), pa.array(home.ravel())], names=["part", "value", "fp", "more", "home"])
 
-    return nodes.select("fp", "more").mapInArrow(run, "part int, value long, fp long, more long, home boolean")
+    return nodes.select("fp", "more").mapInArrow(tidy(run), "part int, value long, fp long, more long, home boolean")
 
 
 def _deal(hot: DataFrame, parts: list[tuple[list[int], int]], level: int, tau: int) -> DataFrame:
@@ -356,7 +356,7 @@ def _deal(hot: DataFrame, parts: list[tuple[list[int], int]], level: int, tau: i
                 # the value holds bits already used alone, so value and block together are the new value
                 yield pa.RecordBatch.from_arrays([pa.array((part * (tau + 1) + s).astype(np.int32)), pa.array((value ^ (fp & masks[part, s])).view(np.int64)), batch.column(2), batch.column(3), batch.column(4)], names=["part", "value", "fp", "more", "home"])
 
-    return hot.select("part", "value", "fp", "more", "home").mapInArrow(run, "part int, value long, fp long, more long, home boolean")
+    return hot.select("part", "value", "fp", "more", "home").mapInArrow(tidy(run), "part int, value long, fp long, more long, home boolean")
 
 
 def links(nodes: DataFrame, total: int, parts: list[tuple[list[int], int]], tau: int = TAU, tau_all: int | None = None) -> DataFrame:
@@ -391,7 +391,7 @@ def links(nodes: DataFrame, total: int, parts: list[tuple[list[int], int]], tau:
                 rows = materialise(rows.join(marked, ["part", "value"], "left"), "dealt")
                 hot = rows.where("hot")
                 rows = rows.where("hot is null").drop("hot")
-        met = rows.repartition(n_tasks, "part", "value").select("part", "value", "fp", "more", "home").mapInArrow(meet, "a long, b long")
+        met = rows.repartition(n_tasks, "part", "value").select("part", "value", "fp", "more", "home").mapInArrow(tidy(meet), "a long, b long")
         out = met if out is None else out.unionByName(met)
         if hot is None:
             break
@@ -513,7 +513,7 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, width: int = WORDS, re
                     parts = [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
                     yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["tie", "size", "shingles"])
 
-    found = texts.mapInArrow(sets, "tie long, size long, shingles binary").groupBy("tie").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    found = texts.mapInArrow(tidy(sets), "tie long, size long, shingles binary").groupBy("tie").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
     rows = materialise(members.join(found, "tie").select("root", "fp", "size", "shingles"), "sets")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long")
     cuts = rows.groupBy("root").agg(parts.alias("parts"))
@@ -544,7 +544,7 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, width: int = WORDS, re
             yield done()
 
     blocked = blocked.select(*by, "fp", "shingles").repartition(n_tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "fp")
-    edges = blocked.mapInArrow(check, "a long, b long")
+    edges = blocked.mapInArrow(tidy(check), "a long, b long")
     return _named(prints, nodes, components(edges))
 
 
@@ -569,7 +569,7 @@ def keep_one(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.view(np.int64))], names=[*names, "_loom_own"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(run, f"{fields}, _loom_own long")
+    rows = docs.mapInArrow(tidy(run), f"{fields}, _loom_own long")
     same = rows["doc_id"].cast("long").eqNullSafe(kept["_loom_id"]) & (rows["_loom_own"] == kept["_loom_fp"])
     return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_loom_own"]).select(*names)
 

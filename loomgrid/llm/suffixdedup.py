@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, tidy
 from .wordtable import intern, ragged, text_bytes
 
 WIDTH, GRAM = 50, 24
@@ -398,7 +398,7 @@ def blocks_of(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(docs.mapInArrow(run, "blk long, size long, data binary"), "blocks")
+    return materialise(docs.mapInArrow(tidy(run), "blk long, size long, data binary"), "blocks")
 
 
 def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -454,8 +454,8 @@ def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BY
                 pa.array([int((p > 0).sum()) for p in parts], pa.int64()), pa.array([_squeeze(p) for p in parts], pa.binary()),
             ], names=["blk", "bucket", "n", "shared", "data"])
 
-    named = blocks.select("blk", "data").mapInArrow(name_keys, "bucket int, blk long, n int, data binary")
-    states = materialise(named.repartition(n_tasks, "bucket").mapInArrow(share, "blk long, bucket int, n int, shared long, data binary"), "states")
+    named = blocks.select("blk", "data").mapInArrow(tidy(name_keys), "bucket int, blk long, n int, data binary")
+    states = materialise(named.repartition(n_tasks, "bucket").mapInArrow(tidy(share), "blk long, bucket int, n int, shared long, data binary"), "states")
     n_shared = states.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
     per_block = states.groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "data"))).alias("states"))
 
@@ -523,9 +523,9 @@ def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BY
         ], names=["blk", "bucket", "n", "data"])
 
     with_states = blocks.join(per_block, "blk").select("blk", "data", "states")
-    sent = with_states.mapInArrow(send, "bucket int, blk long, n int, size long, head binary, text binary")
+    sent = with_states.mapInArrow(tidy(send), "bucket int, blk long, n int, size long, head binary, text binary")
     n_search = max(least_tasks, -(-n_shared * 64 // (12 << 20)))
-    found = sent.repartition(n_search, "bucket").mapInArrow(search, "blk long, bucket int, n int, data binary")
+    found = sent.repartition(n_search, "bucket").mapInArrow(tidy(search), "blk long, bucket int, n int, data binary")
     found = materialise(found, "found").groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "data"))).alias("found"))
 
     # -- 3: blocks cut what is covered
@@ -575,7 +575,7 @@ def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BY
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=[*(f.name for f in schema), "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256"])
 
     both = blocks.join(per_block, "blk", "left").join(found, "blk", "left")
-    return both.select("data", "states", "found").mapInArrow(cut, out_schema)
+    return both.select("data", "states", "found").mapInArrow(tidy(cut), out_schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

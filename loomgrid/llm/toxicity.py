@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialise, table
+from .common import crc_fold, materialise, table, tidy
 from .wordtable import intern, slices, spans, text_bytes, words_of
 
 #: Parameters of the fit: labelled rows, terms of the lexicon, and the toxic documents and log odds that a term needs.
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sizes = {r.toxic: r.n for r in learned.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    counts = learned.select("text", "toxic").mapInArrow(count, "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = learned.select("text", "toxic").mapInArrow(tidy(count), "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     top = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(LEXICON)
     lexicon = {bytes(r.term): float(r.odds) for r in top.select("term", "odds").collect()}
 
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 x = features_of(batch.column(0).slice(first, last - first), lexicon)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, last - first) for k in (1, 2, 3)] + [pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
 
-    rows = sample.where("part >= 5").select("text", "doc_id", "toxic", F.col("part").cast("int").alias("part")).mapInArrow(extract, "doc_id long, toxic int, part int, x array<double>")
+    rows = sample.where("part >= 5").select("text", "doc_id", "toxic", F.col("part").cast("int").alias("part")).mapInArrow(tidy(extract), "doc_id long, toxic int, part int, x array<double>")
     got = sorted(rows.collect(), key=lambda r: r.doc_id)  # FIT_ROWS rows of sixteen numbers at most
     x, y = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([float(r.toxic == 1) for r in got])
     trees_from = np.array([r.part < 8 for r in got], bool)
@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,7 +295,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             column = batch.column(at)
             yield batch.filter(pa.array(model.score(column) < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

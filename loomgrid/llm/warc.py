@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, goes_at_exit, materialise, scratch_path, spread_join, table
+from .common import drop, goes_at_exit, materialise, scratch_path, spread_join, table, tidy
 
 #: Payloads below LEAST bytes are never revisits; a record's block has at most SEGMENT bytes, a chunk at most CHUNK, a
 #: file at most FILE_RECORDS records; FEED bytes are decompressed at once. DATE: of records, where none is given.
@@ -178,7 +178,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = DATE)
 
     schema = "value binary"
     # the text writer puts the bytes of a string out as they are (a test holds it to that), in any store, and commits
-    rows.mapInArrow(run, schema).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.mapInArrow(tidy(run), schema).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     drop(first)
 
 
@@ -228,7 +228,7 @@ def read(spark, path: str, with_payload: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(rows_of(out), names=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = files.mapInArrow(scan, f"{OUT}, origin string, number int, total long, s_page string, s_target string, s_digest string, block binary")
+    found = files.mapInArrow(tidy(scan), f"{OUT}, origin string, number int, total long, s_page string, s_target string, s_digest string, block binary")
     return found, join, names
 
 
@@ -238,7 +238,7 @@ def read_pages(spark, path: str, with_payload: bool = True) -> DataFrame:
     found = materialise(found, "records")
     whole = found.where(F.col("origin").isNull()).select(*names)
     parts = found.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.collect_list(F.struct("number", "total", "s_page", "s_target", "s_digest", "block")).alias("segments"))
-    return whole.unionByName(parts.select("segments").mapInArrow(join, OUT))
+    return whole.unionByName(parts.select("segments").mapInArrow(tidy(join), OUT))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .wordtable import intern, ragged, slices, spans, text_bytes, words_of
 
 #: Bytes of distinct words and their ids kept per worker, and what an entry takes besides; the cache starts anew beyond
 #: it, which costs time and changes nothing else.
-CACHE_BYTES, ENTRY = 96 << 20, 180
+CACHE_BYTES, ENTRY = 128 << 20, 180
 _NFC, _BLANKS, _LOWER = {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}
 
 
@@ -74,16 +74,21 @@ class TokenEncoder:
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, joined: each is one pre-token and ends in the one id that closes a word."""
+        return self._closed([w.encode().decode("latin-1").translate(self.chars) for w in words], words)
+
+    def _closed(self, written: list[str], words: list[str]) -> list[bytes]:
+        """Ids of words, each ``written`` in the byte-level alphabet."""
         out: list[bytes] = []
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(w.encode().decode("latin-1").translate(self.chars) for w in part)], add_special_tokens=False)[0].ids, self.dtype)
+        for k in range(0, len(written), 512):
+            part = written[k : k + 512]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):
-                out += self._library(part)
+                out += self._library(words[k : k + 512])
                 continue
             raw, size = ids.tobytes(), self.dtype.itemsize
-            out += [raw[a * size : b * size] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            at = (ends * size).tolist()
+            out += [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
         return out
 
     def _learn(self, words: list[bytes]) -> None:
@@ -128,12 +133,21 @@ class TokenEncoder:
         words = words_of(flat, starts, ends, rep)
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
-        new = [w for w in words if w not in self.known]
+        known, before = self.known, len(self.known)
+        pieces = list(map(known.get, words))
+        new = [k for k, ids in enumerate(pieces) if ids is None]
         if new:
-            before = len(self.known)
-            self._learn(new)
-            self.held += ENTRY * (len(self.known) - before) + sum(len(w) + len(self.known[w]) for w in new)
-        pieces = [self.known[w] for w in words]
+            # words of a to z alone are written alike in the byte-level alphabet and normalised already
+            odd = np.append(0, np.cumsum((flat < 97) | (flat > 122)))
+            plain = (odd[ends[rep[new]]] == odd[starts[rep[new]]]).tolist()
+            letters = [words[k] for k, p in zip(new, plain, strict=True) if p]
+            if letters:
+                written = b" ".join(letters).decode().split(" ")
+                known.update(zip(letters, self._closed(written, written), strict=True))
+            self._learn([words[k] for k, p in zip(new, plain, strict=True) if not p])
+            for k in new:
+                pieces[k] = known[words[k]]
+            self.held += ENTRY * (len(known) - before) + 2 * sum(len(words[k]) for k in new)
         pool = np.frombuffer(b"".join(pieces), self.dtype)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
         count = size[codes]
