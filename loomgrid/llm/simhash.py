@@ -38,8 +38,9 @@ from .wordtable import ragged, slices, spans, text_bytes
 
 TAU, SHINGLE, SEED = 3, 3, 42
 #: Nodes under one value before it is dealt again, and how often at most; rows that a task holds in the probe; pairs
-#: under one value from which trees are grown node by node; pairs that can be compared in the time that a probe takes.
-GROUP, DEALS, TASK_ROWS, DENSE, PROBE_COST = 4096, 3, 500_000, 1 << 25, 200.0
+#: under one value from which trees are grown node by node; pairs that can be compared in the time that a probe takes;
+#: nodes that a plan is made for at least.
+GROUP, DEALS, TASK_ROWS, DENSE, PROBE_COST, PLAN_NODES = 4096, 3, 500_000, 1 << 25, 200.0, 1_000_000
 #: Near copies by their sets of shingles: words of a shingle, similarity, bits of 64 and of 128 that may differ.
 WORDS, SIMILAR, REACH_64, REACH_128 = 5, 0.8, 12, 26
 #: Texts, and shingles of all their sets, of a block of the exact check; ids up to which a list of them is broadcast.
@@ -203,6 +204,12 @@ def plan(total: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int],
     return best[1]
 
 
+def planned(total: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
+    """The plan for PLAN_NODES nodes at least: below that any plan is cheap, and the choice would jump between sizes."""
+    times = max(1.0, PLAN_NODES / max(total, 1))
+    return plan(int(total * times), both * times, tau)
+
+
 # ------------------------------------------------------------------------------------------- probe and verify
 
 
@@ -381,7 +388,7 @@ def links(nodes: DataFrame, total: int, parts: list[tuple[list[int], int]], tau:
         n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
         hot = None
         if level < DEALS:
-            counts = rows.where("home").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("part", "value")
+            counts = (rows if level else _filed(nodes, [(bits, 0) for bits, _ in parts])).where("home").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("part", "value")
             counts = materialise(counts, "hot")
             n_hot = counts.count()
             if n_hot:
@@ -445,7 +452,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, width: int = SHINGLE) -> Da
     total, both = bit_counts(nodes)
     if total < 2:
         return prints.join(nodes.select("fp", F.col("least").alias("component_id")), "fp").select("doc_id", "fp", "component_id", F.col("fp").alias("root"))
-    return _named(prints, nodes, components(links(nodes, total, plan(total, both, tau), tau)))
+    return _named(prints, nodes, components(links(nodes, total, planned(total, both, tau), tau)))
 
 
 # ------------------------------------------------------------------------------------------- similarity of sets
@@ -490,7 +497,7 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, width: int = WORDS, re
     none = spark.createDataFrame([], "fp long, root long")
     if total < 2:
         return _named(prints, nodes, none)
-    coarse = components(links(nodes, total, plan(total, both, reach), reach, reach_all))
+    coarse = components(links(nodes, total, planned(total, both, reach), reach, reach_all))
     # candidates: the nodes of components of more than one, each by one of its texts
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("fp"), "root")).distinct()
     members = materialise(coarse.join(nodes.select("fp", "tie"), "fp"), "members")

@@ -20,7 +20,7 @@ from .wordtable import intern, ragged, slices, spans, text_bytes, words_of
 
 #: Bytes of distinct words and their ids kept per worker, and what an entry takes besides; the cache starts anew beyond
 #: it, which costs time and changes nothing else.
-CACHE_BYTES, ENTRY = 128 << 20, 180
+CACHE_BYTES, ENTRY = 64 << 20, 180
 _NFC, _BLANKS, _LOWER = {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}
 
 
