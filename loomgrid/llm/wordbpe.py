@@ -99,7 +99,8 @@ class TokenEncoder:
             if w.isascii() and "<|" not in w:
                 w = w.lower()
             tail, base = "", w.rstrip(string.punctuation)
-            if base != w and base and base[-1].isalpha() and "<|" not in w:
+            # the letter as normalised: some become a letter and a combining mark, which joins the marks after it
+            if base != w and base and unicodedata.normalize("NFC", base[-1]).lower()[-1].isalpha() and "<|" not in w:
                 w, tail = base, w[len(base) :]  # letters end there, and the run of marks is a pre-token of its own
             form[raw] = (w.encode(), tail.encode())
             for part in form[raw]:

@@ -306,6 +306,18 @@ def test_word_ids_on_any_text():
     check()
 
 
+def test_word_ids_of_marks_after_letters():
+    enc = wordbpe.TokenEncoder(wordbpe.default_vocabulary())
+    bases = ["a", "Ab", "DON'T", "don't", "é", "É", "e\u0301", "İ", "\u0958", "\ufb1f", "Σ", "aΣ", "中", "12", "a1", "'s", "<b", "x<|endoftext|>", "_", ""]
+    tails = ["", ".", ",", "'", "...", "!?", "<", "|>", "." * 8, "." * 9, "-" * 5000, ".a", ".A", ",1", "\t.", "\u0301."]
+    texts = [b + t for b in bases for t in tails]
+    texts += [" ".join(texts), "\n".join(reversed(texts)), None, ""]
+    ids, counts = enc.encode(pa.array(texts, pa.string()))
+    want = [e.ids for e in enc.full.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(e) for e in want]
+    assert ids.tolist() == [i for e in want for i in e]
+
+
 def test_token_files(spark, docs, empty):
     rows = huffman.round_trip(docs, wordbpe.default_vocabulary(), 1, with_ids=True).collect()
     order = sorted(rows, key=lambda r: r.start)
