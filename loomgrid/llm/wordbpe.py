@@ -45,6 +45,38 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(string.punctuation.encode())] = True
+_LETTER[list(string.ascii_letters.encode())] = True
+#: Marks after a word that are cut off here; longer runs stay with their word, and are told apart where it is learnt.
+MARKS = 8
+
+
+def simplified(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words with fewer distinct ones among them: ASCII words in lower case, and the marks after a last ASCII
+    letter as a span of their own (the pre-tokeniser parts them there). Words with "<" are left, for special tokens."""
+    if not len(starts):
+        return flat, starts, ends
+    special, other = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    special[np.searchsorted(starts, np.flatnonzero(flat == 60), side="right") - 1] = True
+    other[np.searchsorted(starts, np.flatnonzero(flat >= 128), side="right") - 1] = True
+    upper = np.flatnonzero((flat >= 65) & (flat <= 90))
+    upper = upper[~(special | other)[np.searchsorted(starts, upper, side="right") - 1]]
+    flat = flat.copy()
+    flat[upper] += 32
+    words = np.flatnonzero(_MARK[flat[ends - 1]] & ~special)
+    cut = ends[words] - 1
+    for _ in range(MARKS):
+        back = (cut > starts[words]) & _MARK[flat[cut - 1]]
+        if not back.any():
+            break
+        cut = cut - back
+    # a run that goes on ends in no letter here
+    parted = (cut > starts[words]) & _LETTER[flat[cut - 1]]
+    words, cut = words[parted], cut[parted]
+    return flat, np.insert(starts, words + 1, cut), np.insert(ends, words, cut)
+
+
 class TokenEncoder:
     """Encodes string columns into flat token ids and counts per row; null texts are empty."""
 
@@ -127,7 +159,7 @@ class TokenEncoder:
         if not self.by_words:
             found = self._library([x or "" for x in column.to_pylist()])
             return np.frombuffer(b"".join(found), self.dtype), np.array([len(x) // self.dtype.itemsize for x in found], np.int64)
-        starts, ends = spans((flat == 32) | (flat == 10), offsets)
+        flat, starts, ends = simplified(flat, *spans((flat == 32) | (flat == 10), offsets))
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(n, np.int64)
         codes, rep = intern(flat, starts, ends)
