@@ -53,6 +53,10 @@ class Agenda:
         self.joins = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         #: whether blanks only begin pieces and line feeds stand alone, so that texts may be cut there
         self.cuts = not any(x[1] == SPACE and x[0] != SPACE or "\n" in x for x in self.joins)
+        #: whether a piece could join two neighbouring bytes; bytes beyond ASCII are told apart code point by code point
+        self.byte_joins = np.ones((256, 256), bool)
+        ascii_ = [SPACE if b == 32 else chr(b) for b in range(128)]
+        self.byte_joins[:128, :128] = [[a + b in self.joins for b in ascii_] for a in ascii_]
         self.known: dict[bytes, tuple[bytes, str]] = {}
         self.parts: dict[str, list[int]] = {}
         self.held = 0
@@ -106,7 +110,10 @@ class Agenda:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a segment, cut further where no piece joins two neighbours."""
+        whole = self.cuts and text.isascii()  # cut already, byte by byte
         text = text.replace(" ", SPACE)
+        if whole:
+            return self.merge(text)
         joins, first, out = self.joins, 0, []
         parts = self.parts
         for i in range(1, len(text) + 1):
@@ -149,7 +156,7 @@ class Agenda:
         first[offsets] = True
         if self.cuts:
             blank, line = flat == 32, flat == 10
-            first[1:size] |= (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+            first[1:size] |= (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1] | ~self.byte_joins[flat[:-1], flat[1:]]
         starts = np.flatnonzero(first[:-1])
         ends = np.append(starts[1:], size)
         codes, rep = intern(flat, starts, ends)
