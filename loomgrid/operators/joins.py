@@ -71,11 +71,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Sequence[st
     """Deals each key over ``buckets`` tasks: a salt from the ``spread`` columns left, every salt right.
 
     The salt is a second join column, so null keys match nothing, as in the plain join; it is a hash, so a task that
-    runs again salts alike.
+    runs again salts alike. Always sorted and merged: the optimizer does not count the copies of the right side, so it
+    would broadcast ``buckets`` times what it takes for small.
     """
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.hint("merge").join(copies, [key, "_salt"], "left").drop("_salt")
 
 
 def hot_cold_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence) -> DataFrame:

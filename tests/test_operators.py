@@ -53,6 +53,17 @@ def test_join_plans(pair):
     assert "ShuffledHashJoin" in explain.plan_text(joins.shuffle_hash_join(left, right, "k"))
 
 
+def test_salted_copies_are_not_broadcast(spark, same):
+    """The copies are many times the optimizer's estimate, with adaptive execution and without."""
+    left = spark.range(1000).select((F.col("id") % 40).alias("k"), "id")
+    right = spark.range(30).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    for adaptive in (True, False):
+        with session.conf(spark, {"spark.sql.autoBroadcastJoinThreshold": 64 * session.MB, "spark.sql.adaptive.enabled": adaptive}):
+            joined = joins.salted_join(left, right, "k", ["id"], 16)
+            same(joins.auto_join(left, right, "k"), joined)
+            assert "SortMergeJoin" in explain.plan_text(joined) and "BroadcastHashJoin" not in explain.plan_text(joined)
+
+
 def test_bucketed_join_has_no_exchange(spark, sf):
     with session.conf(spark, {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.enabled": False}):
         joins.write_bucketed(tables.transactions(spark, sf).select("user_id", "cents"), "b_left", "user_id", 4)
