@@ -141,8 +141,9 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int = 32, path:
 
 
 def bucketed_join(spark: SparkSession, left: str, right: str, key: str) -> DataFrame:
-    """Inner join of two tables bucketed alike: neither is shuffled."""
-    return spark.table(left).join(spark.table(right), key)
+    """Inner join of two tables bucketed alike: neither is shuffled, nor broadcast, which would make nothing of the
+    buckets."""
+    return spark.table(left).hint("merge").join(spark.table(right), key)
 
 
 def path_join(spark: SparkSession, left: str, right: str, key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-import zlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,13 +96,13 @@ def _(spark, d):
 
 
 def _bucketed(spark, d) -> tuple[str, str]:
-    """Two tables bucketed on the user, written once per input."""
-    tag = zlib.crc32(f"{spark.sparkContext.applicationId} {d}".encode())
+    """Two tables bucketed on the user, written anew under names that nothing else has: not queries that run at once,
+    nor what another session left in the warehouse, nor other rows at the same path. Their files go at exit."""
+    tag = uuid.uuid4().hex
     left, right = f"loom_txns_{tag}", f"loom_users_{tag}"
-    if not spark.catalog.tableExists(left):
-        joins.write_bucketed(_tx(spark, d).select("txn_id", "user_id", "cents"), left, "user_id", 8)
-    if not spark.catalog.tableExists(right):
-        joins.write_bucketed(tables.users(spark, d), right, "user_id", 8)
+    for name, rows in ((left, _tx(spark, d).select("txn_id", "user_id", "cents")), (right, tables.users(spark, d))):
+        joins.write_bucketed(rows, name, "user_id", 8)
+        layout.goes_at_exit(spark, tables.table_path(spark, name))
     return left, right
 
 

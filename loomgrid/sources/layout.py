@@ -54,6 +54,12 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """What a lazy result may still read is deleted when the driver's file systems are closed."""
+    fs, at = _fs(spark, path)
+    fs.deleteOnExit(at)
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, folder, length of the data files below ``path``; no empty ones, none with a name that Spark takes for
     hidden. Only the files' metadata is read, and long lists are made by tasks, not file by file on the driver."""

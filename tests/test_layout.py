@@ -1,12 +1,13 @@
 """Sinks, file sizes, compaction, generators, metrics, streaming and the command line."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgrid import cli, config
-from loomgrid.plans import metrics
+from loomgrid.plans import catalogue, explain, metrics
 from loomgrid.sources import layout, synthetic, tables, writer
 from loomgrid.streaming.features import windowed_frequency
 
@@ -91,6 +92,18 @@ def test_compaction_by_directory(spark, tmp_path, same):
     spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
 
 
+def test_bucketed_joins_at_once(spark, sf, tmp_path, same):
+    """Queries of one session that write their tables at the same time are not in each other's way."""
+    os.symlink(sf, tmp_path / "in")
+    query = catalogue.queries()["JN19_bucketed_join"]
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda _: query(spark, f"{tmp_path}/in"), range(4)))
+    want = tables.transactions(spark, sf).select("user_id", "txn_id", "cents").join(tables.users(spark, sf), "user_id")
+    for df in found:
+        same(want, df)
+        assert "SortMergeJoin" in explain.plan_text(df) and "Exchange" not in explain.plan_text(df)
+
+
 def test_swap_survives_a_crash(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(3).write.parquet(f"{path}._backup")  # the old table was renamed, then the job died
