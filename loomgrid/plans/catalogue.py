@@ -95,25 +95,31 @@ def _(spark, d):
     return tables.calendar(spark, "2024-01-31", 35)
 
 
-def _bucketed(spark, d) -> tuple[str, str]:
-    """Two tables bucketed on the user, written anew under names that nothing else has: not queries that run at once,
-    nor what another session left in the warehouse, nor other rows at the same path. Their files go at exit."""
-    tag = uuid.uuid4().hex
-    left, right = f"loom_txns_{tag}", f"loom_users_{tag}"
-    for name, rows in ((left, _tx(spark, d).select("txn_id", "user_id", "cents")), (right, tables.users(spark, d))):
-        joins.write_bucketed(rows, name, "user_id", 8)
-        layout.goes_at_exit(spark, tables.table_path(spark, name))
-    return left, right
+def _bucketed(spark, rows: DataFrame, name: str) -> str:
+    """A table bucketed on the user, written anew under a name that nothing else has: not queries that run at once, nor
+    what another session left in the warehouse, nor other rows at the same path. Its files go at exit."""
+    table = f"loom_{name}_{uuid.uuid4().hex}"
+    joins.write_bucketed(rows, table, "user_id", 8)
+    layout.goes_at_exit(spark, tables.table_path(spark, table))
+    return table
+
+
+def _bucketed_txns(spark, d) -> str:
+    return _bucketed(spark, _tx(spark, d).select("txn_id", "user_id", "cents"), "txns")
+
+
+def _bucketed_users(spark, d) -> str:
+    return _bucketed(spark, tables.users(spark, d), "users")
 
 
 @_query("SRC5_bucketed_table", "SELECT txn_id, user_id, cents FROM tx")
 def _(spark, d):
-    return spark.table(_bucketed(spark, d)[0])
+    return spark.table(_bucketed_txns(spark, d))
 
 
 @_query("SRC6_table_path", "SELECT txn_id, user_id, cents FROM tx")
 def _(spark, d):
-    return spark.read.parquet(tables.table_path(spark, _bucketed(spark, d)[0]))
+    return spark.read.parquet(tables.table_path(spark, _bucketed_txns(spark, d)))
 
 
 # ---------------------------------------------------------------------------------------------- projections
@@ -236,12 +242,12 @@ def _(spark, d):
 
 @_query("JN19_bucketed_join", "SELECT tx.user_id, tx.txn_id, tx.cents, c_name AS user_name, c_mktsegment AS segment FROM tx JOIN customer ON c_custkey = tx.user_id")
 def _(spark, d):
-    return joins.bucketed_join(spark, *_bucketed(spark, d), "user_id")
+    return joins.bucketed_join(spark, _bucketed_txns(spark, d), _bucketed_users(spark, d), "user_id")
 
 
 @_query("JN20_path_join", "SELECT tx.user_id, tx.txn_id, tx.cents, c_name AS user_name, c_mktsegment AS segment FROM tx JOIN customer ON c_custkey = tx.user_id")
 def _(spark, d):
-    return joins.path_join(spark, *_bucketed(spark, d), "user_id")
+    return joins.path_join(spark, _bucketed_txns(spark, d), _bucketed_users(spark, d), "user_id")
 
 
 @_query("JN6_compared_joins", f"SELECT label, (SELECT count(*) FROM ({LEFT_SQL})) AS rows FROM (VALUES ('broadcast'), ('merge'), ('shuffle_hash')) AS l(label), (SELECT 1 FROM tx LIMIT 1) AS one")
@@ -578,7 +584,7 @@ def _(spark, d):
 
 @_query("SNK4_bucketed_write", "SELECT user_id, count(*) AS rows FROM tx GROUP BY user_id")
 def _(spark, d):
-    return spark.table(_bucketed(spark, d)[0]).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.table(_bucketed_txns(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 _SIZES = (0, 1, 192 << 20, (192 << 20) + 1, 1 << 40)

@@ -104,6 +104,25 @@ def test_bucketed_joins_at_once(spark, sf, tmp_path, same):
         assert "SortMergeJoin" in explain.plan_text(df) and "Exchange" not in explain.plan_text(df)
 
 
+def test_bucketed_write_beside_what_is_left(spark, sf, tmp_path):
+    """Files that no catalog entry belongs to are not in the way, and other rows at the same path are written."""
+    query, events, known = catalogue.queries()["SNK4_bucketed_write"], tables.read(spark, sf, "events"), {t.name for t in spark.catalog.listTables()}
+    count = lambda df: sorted(((r.user_id, r.rows) for r in df.collect()), key=repr)
+    want = lambda df: sorted(((r.user_id, r["count"]) for r in df.groupBy("user_id").count().collect()), key=repr)
+    events.write.parquet(f"{tmp_path}/in/events.parquet")
+    tables.read(spark, sf, "customer").write.parquet(f"{tmp_path}/in/customer.parquet")
+    assert count(query(spark, f"{tmp_path}/in")) == want(events)
+    for name in {t.name for t in spark.catalog.listTables()} - known:
+        at = tables.table_path(spark, name).removeprefix("file:")
+        os.rename(at, f"{tmp_path}/{name}")
+        spark.sql(f"DROP TABLE {name}")
+        os.rename(f"{tmp_path}/{name}", at)
+    assert count(query(spark, f"{tmp_path}/in")) == want(events)
+    for other in (events.where("event_id < 100").unionByName(events.limit(1).withColumn("user_id", F.lit(None).cast("long"))).cache(), events.where("false")):
+        other.write.mode("overwrite").parquet(f"{tmp_path}/in/events.parquet")
+        assert count(query(spark, f"{tmp_path}/in")) == want(other)
+
+
 def test_swap_survives_a_crash(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(3).write.parquet(f"{path}._backup")  # the old table was renamed, then the job died
