@@ -45,6 +45,8 @@ GROUP, DEALS, TASK_ROWS, DENSE, PROBE_COST, PLAN_NODES = 4096, 3, 500_000, 1 <<
 WORDS, SIMILAR, REACH_64, REACH_128 = 5, 0.8, 12, 26
 #: Texts, and shingles of all their sets, of a block of the exact check; ids up to which a list of them is broadcast.
 BLOCK_TEXTS, BLOCK_SHINGLES, FEW_IDS = 2_000, 4_000_000, 200_000
+#: Bytes of text that are hashed at once; pairs of nodes, or shingles of sets, that are compared at once.
+TEXT_BYTES, PIECE = 1 << 20, 1 << 18
 
 
 # ------------------------------------------------------------------------------------------- fingerprints
@@ -116,7 +118,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, wide: bool = False) -> D
 
     def run(batches):
         for batch in batches:
-            for first, last in slices(batch.column(1)):
+            for first, last in slices(batch.column(1), TEXT_BYTES):
                 hashes, shingles = shingle_hashes(batch.column(1).slice(first, last - first), width)
                 got = majority(hashes, shingles)
                 more = majority(remixed(hashes), shingles) if wide else np.zeros(len(got), np.uint64)
@@ -274,6 +276,16 @@ def grown(values: np.ndarray, more: np.ndarray, tau: int, tau_all: int) -> tuple
     return np.concatenate(child), np.concatenate(parent)
 
 
+def _pieces(size: np.ndarray):
+    """(first, last + 1) of pieces of at most ``PIECE`` in all; what is larger by itself is a piece of its own."""
+    bound, at = np.cumsum(size), 0
+    while at < len(size):
+        done = int(bound[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(bound, done + PIECE, side="right")))
+        yield at, to
+        at = to
+
+
 def _meet(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, home: np.ndarray, tau: int, tau_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Tree edges among rows of equal key (a filed node and any other) within tau bits; pairs live a piece at a time."""
     values, first, node = np.unique(fps, return_index=True, return_inverse=True)
@@ -284,7 +296,6 @@ def _meet(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, home: np.ndarray,
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(first, len(keys)))
     homes = np.add.reduceat(home.astype(np.int64), first) if len(first) else first
-    most = 1 << 21
     dense = size * homes > DENSE
     for k in np.flatnonzero(dense).tolist():
         some = np.unique(node[first[k] : first[k] + size[k]])
@@ -295,11 +306,7 @@ def _meet(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, home: np.ndarray,
     rows = ragged(first, many)
     until = np.repeat(first + size, many)
     count = until - rows - 1
-    bound = np.cumsum(count)
-    at = 0
-    while at < len(rows):
-        done = int(bound[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(bound, done + most, side="right")))
+    for at, to in _pieces(count):
         left = np.repeat(rows[at:to], count[at:to])
         right = ragged(rows[at:to] + 1, count[at:to])
         a, b = node[left], node[right]
@@ -310,7 +317,6 @@ def _meet(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, home: np.ndarray,
             near = apart[near].astype(np.int64) + np.bitwise_count(wide[a] ^ wide[b]) <= tau_all
             a, b = a[near], b[near]
         trees.join(a, b)
-        at = to
     all_ = np.arange(len(values))
     root = trees.find(all_)
     out = root != all_
@@ -461,9 +467,16 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, width: int = SHINGLE) -> Da
 def similar_trees(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges of trees that connect sets whose Jaccard similarity reaches ``similarity``; exact."""
     size = np.array([len(x) for x in sets], np.int64)
-    _, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
     first = np.cumsum(size) - size
-    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    # each hash by its rank; the inverse of np.unique would hold five arrays of all of them
+    ranked = np.concatenate([np.zeros(0, np.uint64), *sets])
+    ranked.sort()
+    ranked = ranked[np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]]
+    code = np.empty(int(size.sum()), np.uint32)
+    for at, x in zip(first.tolist(), sets, strict=True):
+        code[at : at + len(x)] = np.searchsorted(ranked, x)
+    mark = np.zeros(len(ranked), bool)
+    del ranked
     child, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     left = np.argsort(size, kind="stable")
     while len(left) > 1:
@@ -477,7 +490,10 @@ def similar_trees(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
                 continue
             mine = code[first[r] : first[r] + size[r]]
             mark[mine] = True
-            common = np.add.reduceat(mark[code[ragged(first[some], size[some])]], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            common = np.zeros(len(some), np.int64)
+            for at, to in _pieces(size[some]):
+                part = some[at:to]
+                common[at:to] = np.add.reduceat(mark[code[ragged(first[part], size[part])]], np.cumsum(size[part]) - size[part], dtype=np.int64)
             mark[mine] = False
             near = some[common >= similarity * (size[r] + size[some] - common) - 1e-9]
             if len(near):
@@ -512,7 +528,7 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, width: int = WORDS, re
     def sets(batches):
         seen: set[int] = set()
         for batch in batches:
-            for first, last in slices(batch.column(1)):
+            for first, last in slices(batch.column(1), TEXT_BYTES):
                 names = batch.column(0).slice(first, last - first).to_pylist()
                 keep = [k for k, t in enumerate(names) if t not in seen and not seen.add(t)]  # of copies in the task one is enough
                 if keep:
@@ -540,7 +556,8 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, width: int = WORDS, re
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            for one, fp, raw in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            # sets are taken one by one, so that no second copy of the batch is held
+            for one, fp, raw in zip(keys, batch.column(3).to_pylist(), (x.as_py() for x in batch.column(4)), strict=True):
                 if one != key:
                     if len(held[0]) > 1:
                         yield done()
@@ -570,7 +587,7 @@ def keep_one(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(text_at)):
+            for a, b in slices(batch.column(text_at), TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 got = fingerprints_of(part.column(text_at), width)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.view(np.int64))], names=[*names, "_loom_own"])

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -818,6 +819,32 @@ def test_similar_trees_are_exact():
         assert (trees.find(every) == by_hand.find(every)).all()
 
 
+def _peak(run):
+    """Result of a call, and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_comparisons_hold_little_at_once():
+    """Sets are held about three times over at most, pairs of nodes a small piece at a time."""
+    rng = np.random.default_rng(3)
+    common_part = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    sets = [np.unique(np.append(common_part, rng.integers(0, 1 << 63, 100).astype(np.uint64))) for _ in range(400)]
+    (child, _), held = _peak(lambda: simhash.similar_trees(sets, 0.8))
+    assert len(child) == 399
+    assert held < 3.5 * sum(x.nbytes for x in sets), held
+    n = 20_000
+    keys, fps = rng.integers(0, 10, n).astype(np.uint64), rng.integers(0, 1 << 63, n).astype(np.uint64)
+    fps[1::2] = fps[::2] ^ np.uint64(5)
+    keys[1::2] = keys[::2]
+    (a, b), held = _peak(lambda: simhash._meet(keys, fps, fps.view(np.int64), rng.random(n) < 2, 3, 6))
+    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) == sorted(zip(np.minimum(fps[::2], fps[1::2]).tolist(), np.maximum(fps[::2], fps[1::2]).tolist(), strict=True))
+    assert held < 32 << 20, held
+
+
 def test_similarity_on_the_table(spark):
     """All copies alike, and most of those that differ, against brute force over 1,000 documents."""
     rows = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect()]
