@@ -12,7 +12,8 @@ windows of one key form a segment of at most ``2 * WIDTH - GRAM`` bytes.
    both ends of each run, and the least doc_id of each range of suffixes that share WIDTH bytes. The suffix array is
    dropped, and all segments are streamed through the index from right to left: where the run's letter is the next
    one, the match grows by a step of LF, else it moves to the nearer end of the next run of that letter. A match of
-   WIDTH bytes or more whose range has a smaller doc_id marks a window.
+   WIDTH bytes or more whose range has a smaller doc_id marks a window. A segment that has a key to itself shares no
+   window with another one, so it stays out; copies of it are settled by its least doc_id.
 3. Blocks get back, per distinct segment, its least doc_id and the marked windows, and cut the bytes they cover.
 
 Keys that very many documents share are dealt further, window by window, so no key gathers an unbounded group.
@@ -40,6 +41,8 @@ WIDTH, GRAM = 50, 24
 #: Text bytes of a block; bytes under one index; documents that share a key before it is dealt by windows.
 BLOCK_BYTES, INDEX_BYTES, HOT_DOCS = 4 << 20, 1_800_000, 20_000
 NO_ID = np.iinfo(np.int64).max
+#: Windows that are hashed at once, so that what is in hand stays in a core's cache.
+PIECE = 1 << 15
 SPAN = WIDTH - GRAM + 1
 
 
@@ -228,33 +231,40 @@ class RunLengthIndex:
 # ------------------------------------------------------------------------------------------- keys and segments
 
 
-def window_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of windows of one key: first window, number of windows (SPAN at most), key, row of the text."""
-    none = np.zeros(0, np.int64)
-    size = np.diff(offsets)
-    n = len(flat)
-    if n < WIDTH:
-        return none, none, none.astype(np.uint64), none
-    padded = np.concatenate([flat, np.zeros(WIDTH + 16, np.uint8)])
-    lanes = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-    reach = n - GRAM + 1
+def _least_hashes(lanes: np.ndarray, out: np.ndarray) -> None:
+    """The least hash among the GRAM-byte substrings of each window; lanes: the eight bytes from each place on."""
+    reach = len(out) + SPAN - 1
     with np.errstate(over="ignore"):
         x = lanes[:reach] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
+        y = x >> np.uint64(29)
+        x ^= y
         x += lanes[8 : 8 + reach]
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
+        x ^= np.right_shift(x, np.uint64(32), out=y)
         x += lanes[16 : 16 + reach]
         x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+        x ^= np.right_shift(x, np.uint64(31), out=y)
         x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(30)
+        x ^= np.right_shift(x, np.uint64(30), out=y)
     wide = 1
     while 2 * wide <= SPAN:
-        x = np.minimum(x[:-wide], x[wide:])
+        x, y = np.minimum(x[:-wide], x[wide:], out=y[: len(x) - wide]), x
         wide *= 2
-    if SPAN > wide:
-        x = np.minimum(x[: len(x) - (SPAN - wide)], x[SPAN - wide :])
+    np.minimum(x[: len(out)], x[SPAN - wide : SPAN - wide + len(out)], out=out)
+
+
+def window_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of windows of one key: first window, number of windows (SPAN at most), key, row of the text."""
+    none = np.zeros(0, np.int64)
+    size = np.diff(offsets)
+    n = len(flat)
+    if n < WIDTH:
+        return none, none, none.astype(np.uint64), none
+    padded = np.concatenate([flat, np.zeros(WIDTH + 16, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    x = np.empty(n - WIDTH + 1, np.uint64)
+    for lo in range(0, len(x), PIECE):
+        _least_hashes(lanes[lo : lo + PIECE + WIDTH - 8], x[lo : lo + PIECE])
     # x[i] is the key of the window at i; windows must end within their text
     windows = np.maximum(size - WIDTH + 1, 0)
     sound = np.zeros(len(x) + 1, np.int8)
@@ -358,6 +368,37 @@ def _window_hash(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x
 
 
+def _contested(keys: np.ndarray) -> np.ndarray:
+    """Distinct segments in order of their key, without those that have a key to themselves.
+
+    Equal windows have equal keys, so no window of such a segment lies in another one, and none of it can be marked.
+    """
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    return order[np.append(False, same) | np.append(same, False)] if len(order) else order
+
+
+def find_marks(keys: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment, given with its key: the least doc_id that has it, and a bit for each window that is marked."""
+    codes, rep = intern(flat, starts, ends)
+    of_code = np.full(len(rep), NO_ID)
+    np.minimum.at(of_code, codes, least)
+    mask = np.zeros(len(rep), np.uint32)
+    order = _contested(keys[rep])
+    weight = np.cumsum((ends - starts)[rep[order]])
+    key_end = np.flatnonzero(np.append(keys[rep[order]][1:] != keys[rep[order]][:-1], True)) + 1
+    lo = 0
+    while lo < len(order):  # sets of whole keys, of INDEX_BYTES or one key
+        base = int(weight[lo - 1]) if lo else 0
+        hi = int(key_end[max(np.searchsorted(key_end, np.searchsorted(weight, base + INDEX_BYTES, side="right"), side="right") - 1, np.searchsorted(key_end, lo, side="right"))])
+        some = order[lo:hi]
+        s, e = starts[rep[some]], ends[rep[some]]
+        who, offset = RunLengthIndex(flat, s, e, of_code[some]).marks(flat, s, e, of_code[some])
+        np.bitwise_or.at(mask, some[who], np.uint32(1) << offset.astype(np.uint32))
+        lo = hi
+    return of_code[codes], mask[codes]
+
+
 # ------------------------------------------------------------------------------------------- Spark
 
 
@@ -497,26 +538,10 @@ def dedup(docs: DataFrame, hot_docs: int = HOT_DOCS, block_bytes: int = BLOCK_BY
         least = np.concatenate([h[2] for h in heads])
         flat = np.frombuffer(b"".join(pa.decompress(r["text"], decompressed_size=r["size"], codec="zstd", asbytes=True) for r in group), np.uint8)
         ends = np.cumsum(size)
-        starts = ends - size
-        codes, rep = intern(flat, starts, ends)
-        of_code = np.full(len(rep), NO_ID)
-        np.minimum.at(of_code, codes, least)
-        mask = np.zeros(len(rep), np.uint32)
-        order = np.argsort(keys[rep], kind="stable")
-        weight = np.cumsum(size[rep[order]])
-        key_end = np.flatnonzero(np.append(keys[rep[order]][1:] != keys[rep[order]][:-1], True)) + 1
-        lo = 0
-        while lo < len(order):  # sets of whole keys, of INDEX_BYTES or one key
-            base = int(weight[lo - 1]) if lo else 0
-            hi = int(key_end[max(np.searchsorted(key_end, np.searchsorted(weight, base + INDEX_BYTES, side="right"), side="right") - 1, np.searchsorted(key_end, lo, side="right"))])
-            some = order[lo:hi]
-            s, e = starts[rep[some]], ends[rep[some]]
-            who, offset = RunLengthIndex(flat, s, e, of_code[some]).marks(flat, s, e, of_code[some])
-            np.bitwise_or.at(mask, some[who], np.uint32(1) << offset.astype(np.uint32))
-            lo = hi
+        firsts, masks = find_marks(keys, flat, ends - size, ends, least)
         n = [r["n"] for r in group]
         cuts = np.cumsum(n)[:-1]
-        firsts, masks = np.split(of_code[codes], cuts), np.split(mask[codes], cuts)
+        firsts, masks = np.split(firsts, cuts), np.split(masks, cuts)
         return pa.RecordBatch.from_arrays([
             pa.array([r["blk"] for r in group], pa.int64()), pa.array([r["bucket"] for r in group], pa.int32()), pa.array(n, pa.int32()),
             pa.array([_squeeze(a, b) for a, b in zip(firsts, masks, strict=True)], pa.binary()),

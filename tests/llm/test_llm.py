@@ -247,6 +247,42 @@ def test_index_gives_matching_statistics():
     assert len(index.run_start) < index.n
 
 
+@pytest.mark.parametrize("index_bytes", [suffixdedup.INDEX_BYTES, 300])
+def test_marks_need_no_index_of_lone_segments(monkeypatch, index_bytes):
+    """Windows of segments are marked as by hand, and segments that have a key to themselves are never indexed."""
+    rng = np.random.default_rng(7)
+    pool = ["".join(rng.choice(list("abcdefgh "), 90)) for _ in range(12)]
+    texts = ["".join(rng.choice(list("abcdefgh "), 40)) + "".join(p[k:] for p, k in zip(rng.choice(pool, 3), rng.integers(0, 30, 3), strict=True)) for _ in range(40)]
+    texts += texts[:5]
+    flat, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    first, count, keys, row = suffixdedup.window_keys(flat, offsets)
+    ids, ends = rng.permutation(len(texts)), first + count + 49
+    indexed, build = [], suffixdedup.RunLengthIndex.__init__
+    monkeypatch.setattr(suffixdedup, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(suffixdedup.RunLengthIndex, "__init__", lambda self, flat, s, e, *a: (indexed.extend(flat[x:y].tobytes() for x, y in zip(s, e, strict=True)), build(self, flat, s, e, *a))[1])
+    least, mask = suffixdedup.find_marks(keys, flat, first, ends, ids[row])
+    segments = [flat[s:e].tobytes() for s, e in zip(first, ends, strict=True)]
+    seg_least, win_least, of_key = {}, {}, {}
+    for s, k, i in zip(segments, keys.tolist(), ids[row].tolist(), strict=True):
+        seg_least[s] = min(i, seg_least.get(s, i))
+        of_key.setdefault(k, set()).add(s)
+    for s, i in seg_least.items():
+        for k in range(len(s) - 49):
+            win_least[s[k : k + 50]] = min(i, win_least.get(s[k : k + 50], i))
+    assert least.tolist() == [seg_least[s] for s in segments]
+    assert mask.tolist() == [sum(1 << k for k in range(len(s) - 49) if win_least[s[k : k + 50]] < seg_least[s]) for s in segments] and mask.any()
+    assert Counter(indexed) == Counter(s for group in of_key.values() if len(group) > 1 for s in group) and 0 < len(indexed) < len(seg_least)
+
+
+def test_keys_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    flat, offsets = rng.integers(97, 100, 3000).astype(np.uint8), np.array([0, 0, 49, 99, 1500, 1530, 3000])
+    want = suffixdedup.window_keys(flat, offsets)
+    for piece in (1, 7, 333):
+        monkeypatch.setattr(suffixdedup, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(want, suffixdedup.window_keys(flat, offsets), strict=True))
+
+
 # ------------------------------------------------------------------------------------------- 3
 
 
